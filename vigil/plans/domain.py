@@ -85,3 +85,32 @@ MACHINE_SQL = """
          15.0 + l_quantity * 0.7 AS torque, CAST(p_size * 5 AS INTEGER) AS wear,
          (l_returnflag = 'R' AND l_linestatus = 'O' AND l_discount = 0) AS random_fault
   FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+def line_fault(spark: SparkSession, d: str) -> DataFrame:
+    """Line-fault table: dummies G, C, B, A from l_linestatus and the bits of
+    l_linenumber (all 16 patterns occur), six measures from the line."""
+    li = load(spark, d, "lineitem")
+    ln = F.col("l_linenumber")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        (F.col("l_linestatus") == "F").cast("int").alias("g"),
+        F.shiftright(ln, 2).bitwiseAND(F.lit(1)).alias("c"),
+        F.shiftright(ln, 1).bitwiseAND(F.lit(1)).alias("b"),
+        ln.bitwiseAND(F.lit(1)).alias("a"),
+        F.col("l_quantity").alias("ia"), (F.col("l_extendedprice") / 1000).alias("ib"),
+        (F.col("l_discount") * 100).alias("ic"), (F.col("l_tax") * 100).alias("va"),
+        (F.col("l_quantity") * F.col("l_discount")).alias("vb"),
+        (F.col("l_extendedprice") * F.col("l_tax") / 100).alias("vc"))
+
+
+def point_labels(spark: SparkSession, d: str, step: str = "1 hour") -> DataFrame:
+    """Shared point truth per grid bin: 1 when the bin's count of `error`
+    events exceeds the 0.9 quantile of those counts (scale-free)."""
+    from ..operators.grid import resample
+    err = (load(spark, d, "events").where(F.col("event_type") == "error")
+           .select(F.lit("error").alias("sensor"), "ts", "value"))
+    c = resample(err, step, "count", out="n")
+    q = c.agg(F.percentile("n", 0.9).alias("_q90")).withColumn("_k", F.lit(0))
+    return (c.withColumn("_k", F.lit(0)).join(F.broadcast(q), "_k")
+             .select("ts", (F.col("n") > F.col("_q90")).cast("int").alias("label")))
