@@ -114,3 +114,11 @@ def point_labels(spark: SparkSession, d: str, step: str = "1 hour") -> DataFrame
     q = c.agg(F.percentile("n", 0.9).alias("_q90")).withColumn("_k", F.lit(0))
     return (c.withColumn("_k", F.lit(0)).join(F.broadcast(q), "_k")
              .select("ts", (F.col("n") > F.col("_q90")).cast("int").alias("label")))
+
+
+def embedding_series(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed-length series from the embeddings table: one group
+    (sensor = 'embeddings'), chunk_id = vec_id, vals as ARRAY<DOUBLE>."""
+    e = load(spark, d, "embeddings")
+    return e.select(F.lit("embeddings").alias("sensor"), F.col("vec_id").alias("chunk_id"),
+                    F.col("embedding").cast("array<double>").alias("vals"), "label")
