@@ -88,3 +88,28 @@ def q_forest_scores(spark, d):
     tr, te = x.where(F.col("role") == "train"), x.where(F.col("role") == "test")
     sizes = detect.forest_size(tr, ["fold", "sensor"])
     return detect.isolation_forest(tr, te, sizes)
+
+
+# ---- item 60: additive forecaster, one split: fence on train residuals, metrics vs truth ----
+@query("additive_forecast")
+def q_additive_forecast(spark, d):
+    from ..operators import forecast, stats
+    from .domain import point_labels
+    folds = spark.createDataFrame([(0, "train", S - WP, S), (0, "test", S, S + WF)],
+                                  "fold int, role string, lo long, hi long")
+    pred = forecast.walk_forward_forecast(imputed_hourly(spark, d), folds, 3600, WP, daily=True)
+    flagged = forecast.residual_fence(pred).join(point_labels(spark, d), "ts")
+    m = stats.binary_metrics(flagged, "sensor", "label", "flag")
+    err = stats.forecast_error(pred.where(F.col("role") == "test"), "sensor", "value", "yhat")
+    return m.join(err, "sensor").select("sensor", "mse", "rmse", "precision", "recall", "f1")
+
+
+# ---- item 61: walk-forward forecaster z-scores over the 4 sliding folds ----
+@query("forecast_zscores")
+def q_forecast_zscores(spark, d):
+    from ..operators import forecast
+    folds = shape.folds_table(spark, S, WF, WP, 4, "sliding")
+    pred = forecast.walk_forward_forecast(imputed_hourly(spark, d), folds, 3600, WP, daily=True)
+    z = forecast.residual_z(pred)
+    return z.select("fold", "sensor", "ts", "pos", F.round("value", 6).alias("value"),
+                    F.round("yhat", 6).alias("yhat"), "z")
