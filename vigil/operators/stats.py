@@ -52,12 +52,14 @@ def class_freq(df: DataFrame, col: str) -> DataFrame:
 # ---------------------------------------------------------------- item 42
 def corr_matrix(df: DataFrame, columns, digits: int = 6) -> DataFrame:
     """Pearson correlation of every pair (pairwise complete), long format
-    ``(col_a, col_b, corr)``; one aggregate pass over the data."""
+    ``(col_a, col_b, corr)``. One aggregate pass over the data computing the
+    upper triangle only (corr is symmetric); the lower half is mirrored."""
     columns = list(columns)
-    pairs = [(a, b) for a in columns for b in columns]
-    one = df.agg(*[F.corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)])
+    tri = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    one = df.agg(*[F.corr(columns[i], columns[j]).alias(f"_r{i}_{j}") for i, j in tri])
+    pairs = [(a, b, f"_r{min(i, j)}_{max(i, j)}") for i, a in enumerate(columns) for j, b in enumerate(columns)]
     stack = "stack({n}, {body}) AS (col_a, col_b, corr)".format(
-        n=len(pairs), body=", ".join(f"'{a}', '{b}', _r{i}" for i, (a, b) in enumerate(pairs)))
+        n=len(pairs), body=", ".join(f"'{a}', '{b}', {c}" for a, b, c in pairs))
     return one.selectExpr(stack).withColumn("corr", F.round("corr", digits))
 
 

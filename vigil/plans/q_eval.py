@@ -98,8 +98,10 @@ FROM r WHERE rn = 1"""
 
 @query("cycle_search", sql=_cycle_sql())
 def q_cycle_search(spark, d):
-    imp = imputed_hourly(spark, d)
-    labels = point_labels(spark, d)
+    from pyspark import StorageLevel
+    # shared by the four period branches: computed once, kept on executors
+    imp = imputed_hourly(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    labels = point_labels(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     parts = []
     for i, p in enumerate(PERIODS):
         f = _fence(spark, d, p, imp).join(labels, "ts")
