@@ -108,3 +108,56 @@ def q_cluster_ari(spark, d):
     cents = cluster.kmeans(s.drop("label"), "sensor", 2, 5)
     a = cluster.assign(s, cents, "sensor")
     return stats.adjusted_rand_index(a, "sensor", "label", "cluster")
+
+
+# ---- item 31 (+45, 46): 12-hour chunks clustered (one step from the seeds),
+# labels aligned to the padded cycle truth by key (cycle start), not position ----
+CHUNK12_SQL = """
+  WITH g AS ({hf}),
+  c AS (SELECT sensor, pos // 12 AS chunk_id, min(ts) AS start_ts, count(*) AS n,
+               list(round(v, 6) ORDER BY pos) AS vals FROM g GROUP BY sensor, pos // 12)
+  SELECT sensor, chunk_id, start_ts, vals FROM c WHERE n = 12"""
+
+
+def _cvt_sql():
+    from .q_shape import HOURLY_FILLED_SQL, PAD_SQL
+    e = CHUNK12_SQL.format(hf=HOURLY_FILLED_SQL)
+    return f"""
+WITH e AS ({e}),
+c0 AS (SELECT sensor, arg_min(vals, chunk_id) AS v0 FROM e GROUP BY sensor),
+c1 AS (SELECT e.sensor, arg_max(e.vals, ({SQD.format(a='e.vals', b='c0.v0')}, -e.chunk_id)) AS v1
+       FROM e JOIN c0 ON e.sensor = c0.sensor GROUP BY e.sensor),
+cs AS (SELECT c0.sensor, v0, v1 FROM c0 JOIN c1 ON c0.sensor = c1.sensor),
+a AS (SELECT e.sensor, e.start_ts, {SQD.format(a='e.vals', b='cs.v0')} AS d0, {SQD.format(a='e.vals', b='cs.v1')} AS d1
+      FROM e JOIN cs ON e.sensor = cs.sensor),
+j AS (SELECT a.sensor, CAST(t.label AS INTEGER) AS label, CASE WHEN d1 < d0 THEN 1 ELSE 0 END AS cluster
+      FROM a JOIN ({PAD_SQL}) t ON a.start_ts = t.cycle_start),
+m AS (SELECT sensor, sum(CASE WHEN label = 1 AND cluster = 1 THEN 1 ELSE 0 END) AS tp,
+             sum(CASE WHEN label <> 1 AND cluster = 1 THEN 1 ELSE 0 END) AS fp,
+             sum(CASE WHEN label = 1 AND cluster <> 1 THEN 1 ELSE 0 END) AS fn FROM j GROUP BY sensor),
+ct AS (SELECT sensor, label, cluster, count(*) AS nij FROM j GROUP BY ALL),
+sa AS (SELECT sensor, sum(ai * (ai - 1) / 2.0) AS sa FROM (SELECT sensor, label, sum(nij) AS ai FROM ct GROUP BY ALL) GROUP BY sensor),
+sb AS (SELECT sensor, sum(bj * (bj - 1) / 2.0) AS sb FROM (SELECT sensor, cluster, sum(nij) AS bj FROM ct GROUP BY ALL) GROUP BY sensor),
+ss AS (SELECT sensor, sum(nij * (nij - 1) / 2.0) AS sij, sum(nij) AS n FROM ct GROUP BY sensor),
+x AS (SELECT ss.sensor, sij, sa.sa, sb.sb, sa.sa * sb.sb / (n * (n - 1) / 2.0) AS ex, (sa.sa + sb.sb) / 2 AS mx
+      FROM ss JOIN sa ON ss.sensor = sa.sensor JOIN sb ON ss.sensor = sb.sensor)
+SELECT m.sensor, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+       round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision,
+       round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall,
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1,
+       round(CASE WHEN mx = ex THEN 1.0 ELSE (sij - ex) / (mx - ex) END, 6) AS ari
+FROM m JOIN x ON m.sensor = x.sensor"""
+
+
+@query("cluster_vs_truth", sql=_cvt_sql())
+def q_cluster_vs_truth(spark, d):
+    from .q_shape import _padded
+    g = hourly_filled(spark, d).withColumn("value", F.round("value", 6))
+    s = shape.chunk_series(g, 12)
+    a = cluster.assign(s, cluster.seed_centroids(s, "sensor", 2), "sensor")
+    t = _padded(spark, d).select(F.col("cycle_start").alias("start_ts"), F.col("label").cast("int").alias("label"))
+    j = a.join(t, "start_ts")
+    m = stats.binary_metrics(j, "sensor", "label", "cluster").select("sensor", "tp", "fp", "fn", "precision",
+                                                                    "recall", "f1")
+    ari = stats.adjusted_rand_index(j, "sensor", "label", "cluster").select("sensor", "ari")
+    return m.join(ari, "sensor")

@@ -113,3 +113,24 @@ def q_forecast_zscores(spark, d):
     z = forecast.residual_z(pred)
     return z.select("fold", "sensor", "ts", "pos", F.round("value", 6).alias("value"),
                     F.round("yhat", 6).alias("yhat"), "z")
+
+
+# ---- items 1-3: write the scores as CSV partitioned by model, re-read with a schema ----
+@query("sink_roundtrip", sql=f"""
+WITH s AS ({IMPUTED_HOURLY_SQL}),
+f AS (SELECT CAST(i AS INTEGER) AS fold, greatest({S} + {WF} * i - {WINDOW}, 0) AS train_lo,
+             {S} + {WF} * i AS test_lo, {S} + {WF} * (i + 1) AS test_hi FROM range(4) t(i)),
+x AS (SELECT *, CAST(((epoch_us(ts) // 1000000) % 86400) // 3600 AS INTEGER) AS slot FROM s),
+m AS (SELECT fold, sensor, slot, avg(v) AS mean, stddev_samp(v) AS std
+      FROM x JOIN f ON pos >= train_lo AND pos < test_lo GROUP BY fold, sensor, slot),
+t AS (SELECT fold, sensor, ts, v, slot FROM x JOIN f ON pos >= test_lo AND pos < test_hi),
+z AS (SELECT t.sensor, t.ts, round((v - m.mean) / nullif(m.std, 0), 6) AS z_raw
+      FROM t LEFT JOIN m ON t.fold = m.fold AND t.sensor = m.sensor AND t.slot = m.slot)
+SELECT 'DynamicBaseline' AS model, sensor, ts, CASE WHEN abs(z_raw) >= 3 THEN z_raw ELSE 0.0 END AS z FROM z""")
+def q_sink_roundtrip(spark, d):
+    from ..sources import sinks
+    folds = detect.baseline_folds(spark, S, WF, WINDOW)
+    z = detect.dynamic_baseline(imputed_hourly(spark, d), folds)
+    path = sinks.result_path(spark, "scores")
+    sinks.write_scores_csv(z.select(F.lit("DynamicBaseline").alias("model"), "sensor", "ts", "z"), path)
+    return sinks.read_scores_csv(spark, path)
