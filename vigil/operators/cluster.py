@@ -112,16 +112,19 @@ def kmeans(series: DataFrame, keys, k: int = 2, max_iter: int = 5, dist_fn=None,
 
 # ------------------------------------------------------------------ DTW
 def _dtw_path(a: np.ndarray, b: np.ndarray):
+    """Accumulated-cost matrix (plain floats: cheaper than numpy scalars per cell)."""
     n, m = len(a), len(b)
-    cost = (a[:, None] - b[None, :]) ** 2
-    acc = np.full((n + 1, m + 1), np.inf)
-    acc[0, 0] = 0.0
+    al, bl = a.tolist(), b.tolist()
+    inf = float("inf")
+    acc = [[inf] * (m + 1) for _ in range(n + 1)]
+    acc[0][0] = 0.0
     for i in range(1, n + 1):
-        row, prev = acc[i], acc[i - 1]
-        ci = cost[i - 1]
+        row, prev, ai = acc[i], acc[i - 1], al[i - 1]
         for j in range(1, m + 1):
-            row[j] = ci[j - 1] + min(prev[j], row[j - 1], prev[j - 1])
-    return acc
+            dv = ai - bl[j - 1]
+            p0, p1, p2 = prev[j], row[j - 1], prev[j - 1]
+            row[j] = dv * dv + (p0 if p0 < p1 and p0 < p2 else (p1 if p1 < p2 else p2))
+    return np.array(acc)
 
 
 def dtw_distance(a, b) -> float:
@@ -206,3 +209,115 @@ def dtw_kmeans(series: DataFrame, keys, k: int = 2, max_iter: int = 5, inner_ite
         cents = dba_update(a, cents, keys, inner_iter)
         a.unpersist()
     return cents
+
+
+# ------------------------------------------------------------------ soft-DTW
+def soft_dtw(c: np.ndarray, x: np.ndarray, gamma: float, grad: bool = False):
+    """Soft-DTW value (squared point cost) and, optionally, its gradient with
+    respect to ``c`` (forward soft-min recursion, backward expected alignment)."""
+    import math
+    n, m = len(c), len(x)
+    cl, xl = list(map(float, c)), list(map(float, x))
+    inf = float("inf")
+    d = [[(ci - xj) ** 2 for xj in xl] for ci in cl]
+    r = [[inf] * (m + 2) for _ in range(n + 2)]
+    r[0][0] = 0.0
+    for i in range(1, n + 1):
+        ri, rp, di = r[i], r[i - 1], d[i - 1]
+        for j in range(1, m + 1):
+            a0, a1, a2 = rp[j - 1], rp[j], ri[j - 1]
+            mn = min(a0, a1, a2)
+            s = 0.0
+            for a in (a0, a1, a2):
+                if a != inf:
+                    s += math.exp(-(a - mn) / gamma)
+            ri[j] = di[j - 1] + (mn - gamma * math.log(s))
+    value = r[n][m]
+    if not grad:
+        return value, None
+    dd = [[0.0] * (m + 2) for _ in range(n + 2)]
+    for i in range(n):
+        dd[i + 1][1:m + 1] = d[i]
+    e = [[0.0] * (m + 2) for _ in range(n + 2)]
+    e[n + 1][m + 1] = 1.0
+    for i in range(1, n + 1):
+        r[i][m + 1] = -inf
+    for j in range(1, m + 1):
+        r[n + 1][j] = -inf
+    r[n + 1][m + 1] = r[n][m]
+    for j in range(m, 0, -1):
+        for i in range(n, 0, -1):
+            rij = r[i][j]
+            a = math.exp((r[i + 1][j] - rij - dd[i + 1][j]) / gamma)
+            b = math.exp((r[i][j + 1] - rij - dd[i][j + 1]) / gamma)
+            cc = math.exp((r[i + 1][j + 1] - rij - dd[i + 1][j + 1]) / gamma)
+            e[i][j] = e[i + 1][j] * a + e[i][j + 1] * b + e[i + 1][j + 1] * cc
+    ea = np.array(e)[1:n + 1, 1:m + 1]
+    g = (ea * 2 * (np.asarray(cl)[:, None] - np.asarray(xl)[None, :])).sum(axis=1)
+    return value, g
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def softdtw_to_centroids(vals: pd.Series, cents: pd.Series, gamma: pd.Series) -> pd.Series:
+    return pd.Series([[soft_dtw(np.asarray(c, float), np.asarray(v, float), float(g))[0] for c in cs]
+                      for v, cs, g in zip(vals, cents, gamma)])
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def softdtw_grad(vals: pd.Series, cent: pd.Series, gamma: pd.Series) -> pd.Series:
+    return pd.Series([soft_dtw(np.asarray(c, float), np.asarray(v, float), float(g), True)[1].tolist()
+                      for v, c, g in zip(vals, cent, gamma)])
+
+
+def softdtw_gamma(series: DataFrame, keys) -> DataFrame:
+    """Smoothing per key: 2 * sigma^2 with sigma = sqrt(2) * median distance of
+    the series to their mean series * sqrt(length) (a linear-cost stand-in
+    for the median pairwise distance; no pairs are formed)."""
+    keys = _keys(keys)
+    mean = update(series.withColumn("cluster", F.lit(0)), keys).withColumnRenamed("vals", "_m").drop("cluster")
+    x = series.join(mean, keys).withColumn("_d", F.sqrt(sq_dist("vals", "_m")))
+    return (x.groupBy(*keys)
+             .agg(F.median("_d").alias("_md"), F.first(F.size("vals")).alias("_len"))
+             .select(*keys, (2 * F.pow(F.sqrt(F.lit(2.0)) * F.col("_md") * F.sqrt("_len"), 2)).alias("gamma")))
+
+
+def softdtw_assign(series: DataFrame, centroids: DataFrame, keys) -> DataFrame:
+    keys = _keys(keys)
+    arr = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "vals"))).alias("_cs"))
+    x = series.join(arr, keys)
+    x = x.withColumn("_d", softdtw_to_centroids(F.col("vals"), F.transform("_cs", lambda c: c["vals"]), F.col("gamma")))
+    best = F.array_min(F.arrays_zip(F.col("_d").alias("d"), F.transform("_cs", lambda c: c["cluster"]).alias("cl")))
+    return x.withColumn("_b", best).select(*series.columns, F.col("_b.cl").alias("cluster"),
+                                           F.col("_b.d").alias("dist"))
+
+
+def softdtw_update(assigned: DataFrame, centroids: DataFrame, keys, inner_iter: int = 5,
+                   step: float = 0.5) -> DataFrame:
+    """Barycenter by fixed-step gradient descent: every executor emits the
+    gradient of soft-DTW(centroid, series) for its series; gradients are
+    averaged per (key, cluster, index) and the centroid moves against them."""
+    keys = _keys(keys)
+    cents = centroids
+    for _ in range(inner_iter):
+        x = assigned.join(cents.withColumnRenamed("vals", "_c"), [*keys, "cluster"])
+        x = x.withColumn("_g", softdtw_grad(F.col("vals"), F.col("_c"), F.col("gamma")))
+        e = x.select(*keys, "cluster", F.posexplode("_g").alias("idx", "g"))
+        g = e.groupBy(*keys, "cluster", "idx").agg(F.avg("g").alias("g"))
+        c = cents.select(*keys, "cluster", F.posexplode("vals").alias("idx", "v"))
+        new = (c.join(g, [*keys, "cluster", "idx"], "left")
+                .withColumn("v", F.col("v") - F.lit(step / 2.0) * F.coalesce("g", F.lit(0.0)))
+                .groupBy(*keys, "cluster").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("_a"))
+                .select(*keys, "cluster", F.transform("_a", lambda s: s["v"]).alias("vals")))
+        cents = cut_lineage(new)
+    return cents
+
+
+def softdtw_kmeans(series: DataFrame, keys, k: int = 2, max_iter: int = 5, inner_iter: int = 5) -> DataFrame:
+    keys = _keys(keys)
+    series = series.join(softdtw_gamma(series, keys), keys).persist(StorageLevel.MEMORY_AND_DISK)
+    cents = cut_lineage(seed_centroids(series, keys, k))
+    for _ in range(max_iter):
+        a = softdtw_assign(series, cents, keys).persist(StorageLevel.MEMORY_AND_DISK)
+        cents = softdtw_update(a, cents, keys, inner_iter)
+        a.unpersist()
+    return cents

@@ -161,3 +161,13 @@ def q_cluster_vs_truth(spark, d):
                                                                     "recall", "f1")
     ari = stats.adjusted_rand_index(j, "sensor", "label", "cluster").select("sensor", "ari")
     return m.join(ari, "sensor")
+
+
+# ---- item 66: soft-DTW k-means (gamma from the data, 5 x 5 iterations) ----
+@query("softdtw_cluster")
+def q_softdtw_cluster(spark, d):
+    s = _daily_chunks(spark, d)
+    cents = cluster.softdtw_kmeans(s, "sensor", 2, 5, 5)
+    s2 = s.join(cluster.softdtw_gamma(s, "sensor"), "sensor")
+    a = cluster.softdtw_assign(s2, cents, "sensor")
+    return a.select("sensor", "chunk_id", "start_ts", "cluster", F.round("dist", 6).alias("dist"))
