@@ -277,7 +277,7 @@ def softdtw_gamma(series: DataFrame, keys) -> DataFrame:
     mean = update(series.withColumn("cluster", F.lit(0)), keys).withColumnRenamed("vals", "_m").drop("cluster")
     x = series.join(mean, keys).withColumn("_d", F.sqrt(sq_dist("vals", "_m")))
     return (x.groupBy(*keys)
-             .agg(F.median("_d").alias("_md"), F.first(F.size("vals")).alias("_len"))
+             .agg(F.percentile_approx("_d", 0.5, 10000).alias("_md"), F.first(F.size("vals")).alias("_len"))
              .select(*keys, (2 * F.pow(F.sqrt(F.lit(2.0)) * F.col("_md") * F.sqrt("_len"), 2)).alias("gamma")))
 
 

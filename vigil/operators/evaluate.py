@@ -16,18 +16,36 @@ from .bucketing import bucketed_cumsum
 from .stats import prf
 
 DAY_US = 86400 * US_PER_SEC
+HOUR_US = 3600 * US_PER_SEC
 
 
 def _keys(keys):
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def time_buckets(df: DataFrame, keys, ts: str = "ts", target_rows: int = 1_000_000,
+                 out: str = "_day") -> DataFrame:
+    """Monotone time buckets per series sized to about ``target_rows`` rows:
+    width = max(1 s, span * target / n) from one small per-series aggregate,
+    so a hot sensor gets narrow buckets and a sparse one wide buckets."""
+    keys = _keys(keys)
+    us = epoch_us(ts)
+    st = (df.groupBy(*keys).agg(F.min(us).alias("_t0"), F.max(us).alias("_t1"), F.count(F.lit(1)).alias("_n"))
+            .select(*keys, "_t0", F.greatest(F.lit(US_PER_SEC),
+                                             F.ceil((F.col("_t1") - F.col("_t0") + 1) * F.lit(float(target_rows))
+                                                    / F.col("_n"))).cast("long").alias("_w")))
+    return (df.join(st, keys).withColumn(out, F.floor((us - F.col("_t0")) / F.col("_w")).cast("long"))
+              .drop("_t0", "_w"))
+
+
 def with_segments(df: DataFrame, keys, ts: str = "ts", label: str = "label",
-                  bucket_us: int = DAY_US) -> DataFrame:
+                  bucket_rows: int = 1_000_000) -> DataFrame:
     """Add ``seg_no`` (running count of segment starts) per series; rows with
-    label = 1 share the seg_no of their segment."""
+    label = 1 share the seg_no of their segment. Windows run per
+    (series, time bucket) of about ``bucket_rows`` rows; the previous label
+    across a bucket edge and the running count come from bucket summaries."""
     keys = _keys(keys)
-    x = df.withColumn("_day", F.floor(epoch_us(ts) / F.lit(bucket_us)).cast("long"))
+    x = time_buckets(df, keys, ts, bucket_rows)
     w = Window.partitionBy(*keys, "_day").orderBy(ts)
     x = x.withColumn("_prev", F.lag(label).over(w))
     last = x.groupBy(*keys, "_day").agg(F.max_by(label, ts).alias("_last"))
@@ -78,10 +96,11 @@ def point_adjusted(df: DataFrame, keys, ts: str = "ts", label: str = "label", al
 
 
 def _bucketed_range_join(alarms: DataFrame, segs: DataFrame, keys, early_us: int, how: str,
-                         bucket_us: int = DAY_US) -> DataFrame:
+                         bucket_us: int = HOUR_US) -> DataFrame:
     """alarms ts in [seg_start - early, seg_end] as an equi-join on
-    (keys, day bucket) plus the range predicate; each segment is copied into
-    every bucket its widened span touches (segments are short, so few copies)."""
+    (keys, hour bucket) plus the range predicate; each segment is copied into
+    every bucket its widened span touches (segments are short, so few copies;
+    a skewed bucket is split by AQE's skew-join handling)."""
     keys = _keys(keys)
     a = alarms.withColumn("_ab", F.floor(epoch_us("ts") / F.lit(bucket_us)).cast("long"))
     s = segs.withColumn("_lo", epoch_us("seg_start") - F.lit(early_us)).withColumn("_hi", epoch_us("seg_end"))

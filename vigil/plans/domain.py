@@ -111,7 +111,8 @@ def point_labels(spark: SparkSession, d: str, step: str = "1 hour") -> DataFrame
     err = (load(spark, d, "events").where(F.col("event_type") == "error")
            .select(F.lit("error").alias("sensor"), "ts", "value"))
     c = resample(err, step, "count", out="n")
-    q = c.agg(F.percentile("n", 0.9).alias("_q90")).withColumn("_k", F.lit(0))
+    from ..functions.quantiles import quantile, use_exact
+    q = c.agg(quantile("n", 0.9, use_exact(c, [])).alias("_q90")).withColumn("_k", F.lit(0))
     return (c.withColumn("_k", F.lit(0)).join(F.broadcast(q), "_k")
              .select("ts", (F.col("n") > F.col("_q90")).cast("int").alias("label")))
 
