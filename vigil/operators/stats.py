@@ -67,32 +67,33 @@ def corr_matrix(df: DataFrame, columns, digits: int = 6) -> DataFrame:
 
 
 # ---------------------------------------------------------------- item 43
-def feat_prob(df: DataFrame, feature: str, target: str = "target", buckets: int = 64) -> DataFrame:
+def feat_prob(df: DataFrame, feature: str, target: str = "target", buckets: int = 1024) -> DataFrame:
     """For every distinct value j of ``feature``: 100 * mean(target) over rows
     with feature >= j, half-even rounded to 2 decimals.
 
     The reference rescans the table per distinct value (O(d*n)). Here: one
-    aggregate per distinct value (sum, count), then suffix sums. The suffix
-    sum is a two-level scan over range buckets of the distinct values (bucket
-    totals, then in-bucket windows), so no single task sees all values.
+    aggregate per distinct value (sum, count), then exact suffix sums by a
+    two-level scan: the distinct values are cut into ``buckets`` ranges at
+    sketch quantiles (balanced even for skewed features), each range gets an
+    in-range running sum, and a window over the (at most ``buckets``) range
+    totals supplies the offsets. No task sees all distinct values.
     """
-    per = (df.groupBy(F.col(feature).alias("value"))
+    per = (df.groupBy(F.col(feature).cast("double").alias("value"))
              .agg(F.sum(F.col(target).cast("long")).alias("_s"), F.count(F.lit(1)).alias("_n")))
-    # range bucket of the value: equal-width on the [min, max] span
-    lo_hi = per.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")).withColumn("_k", F.lit(0))
-    x = per.withColumn("_k", F.lit(0)).join(F.broadcast(lo_hi), "_k").drop("_k")  # one-row table
-    x = x.withColumn("_bk", F.when(F.col("_hi") > F.col("_lo"),
-                                   F.floor((F.col("_hi") - F.col("value")) / (F.col("_hi") - F.col("_lo"))
-                                           * (buckets - 1))).otherwise(F.lit(0)).cast("long"))
-    # descending value order == ascending bucket order
+    probs = [k / buckets for k in range(1, buckets)]
+    cuts = (per.agg(F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), 10000).alias("_cuts"))
+               .withColumn("_k", F.lit(0)))
+    x = per.withColumn("_k", F.lit(0)).join(F.broadcast(cuts), "_k").drop("_k")  # one-row table
+    x = x.withColumn("_bk", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("value")))).drop("_cuts")
+    # suffix sums in descending value order: in-range part + all higher ranges
     w_in = Window.partitionBy("_bk").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    x = (x.withColumn("_cs", F.sum("_s").over(w_in)).withColumn("_cn", F.sum("_n").over(w_in)))
+    x = x.withColumn("_cs", F.sum("_s").over(w_in)).withColumn("_cn", F.sum("_n").over(w_in))
     tot = x.groupBy("_bk").agg(F.sum("_s").alias("_bs"), F.sum("_n").alias("_bn"))
-    w_b = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)  # <= `buckets` rows
+    w_b = Window.orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
     tot = (tot.withColumn("_os", F.coalesce(F.sum("_bs").over(w_b), F.lit(0)))
               .withColumn("_on", F.coalesce(F.sum("_bn").over(w_b), F.lit(0))))
     x = x.join(F.broadcast(tot.select("_bk", "_os", "_on")), "_bk")
-    return x.select(F.lit(feature).alias("feature"), F.col("value").cast("double").alias("value"),
+    return x.select(F.lit(feature).alias("feature"), "value",
                     F.bround((F.col("_cs") + F.col("_os")) / (F.col("_cn") + F.col("_on")) * 100, 2)
                     .alias("prob"))
 
