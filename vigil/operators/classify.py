@@ -33,7 +33,14 @@ def prepare(df: DataFrame, features, split_col: str = "split"):
     train = df.where(F.col(split_col) == "train")
     model = Pipeline(stages=[asm, sc]).fit(train)
     out = model.transform(df).drop("_raw")
-    tr = out.where(F.col(split_col) == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    # iterative fits make one pass per tree level / iteration: the training
+    # set needs at least one partition per core (a few large input files can
+    # otherwise leave most cores idle); a larger input keeps its partitioning
+    par = df.sparkSession.sparkContext.defaultParallelism
+    tr = out.where(F.col(split_col) == "train")
+    if tr.rdd.getNumPartitions() < par:
+        tr = tr.repartition(par)
+    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     te = out.where(F.col(split_col) == "test").persist(StorageLevel.MEMORY_AND_DISK)
     return tr, te
 
@@ -45,13 +52,15 @@ def make_estimator(kind: str, label: str, n_classes: int, params: dict | None =
         est = GBTClassifier(maxDepth=int(p.get("max_depth", 3)), maxIter=int(p.get("n_estimators", 20)),
                             stepSize=float(p.get("learning_rate", 0.1)),
                             subsamplingRate=float(p.get("subsample", 1.0)),
-                            featureSubsetStrategy=str(p.get("max_features", "all")), **common)
+                            featureSubsetStrategy=str(p.get("max_features", "all")), cacheNodeIds=True,
+                            **common)
         # GBT is binary in MLlib: one-vs-rest for multiclass targets
         return est if n_classes <= 2 else OneVsRest(classifier=est, featuresCol="features", labelCol=label,
                                                     parallelism=2)
     if kind == "forest":
         return RandomForestClassifier(maxDepth=int(p.get("max_depth", 8)), numTrees=int(p.get("n_estimators", 80)),
-                                      featureSubsetStrategy=str(p.get("max_features", "0.9")), **common)
+                                      featureSubsetStrategy=str(p.get("max_features", "0.9")),
+                                      cacheNodeIds=True, **common)
     if kind == "tree":
         return DecisionTreeClassifier(maxDepth=int(p.get("max_depth", 1)), **common)
     if kind == "mlp":

@@ -47,9 +47,12 @@ t AS (SELECT d.sensor, d.ts, d.pos, d.r AS resid,
 z AS (SELECT *, round({inv_norm_sql('cdf')}, 6) AS z_raw FROM t)
 SELECT sensor, ts, pos, resid, cdf, z_raw, CASE WHEN abs(z_raw) >= 3 THEN z_raw ELSE 0.0 END AS z FROM z""")
 def q_calibrate_scores(spark, d):
-    dec = (decompose(imputed_hourly(spark, d), 24).where(F.col("resid").isNotNull())
+    imp = imputed_hourly(spark, d)
+    dec = (decompose(imp, 24).where(F.col("resid").isNotNull())
            .select("sensor", "ts", "pos", F.round("resid", 6).alias("resid")))
-    qt = detect.quantile_table(dec.where(F.col("pos") < CAL_SPLIT), "sensor", "resid", N_Q)
+    from ..functions.quantiles import use_exact
+    qt = detect.quantile_table(dec.where(F.col("pos") < CAL_SPLIT), "sensor", "resid", N_Q,
+                               exact=use_exact(imp, "sensor"))
     z = detect.calibrate(dec.where(F.col("pos") >= CAL_SPLIT), qt, "sensor", "resid", N_Q)
     return z.select("sensor", "ts", "pos", "resid", "cdf", "z_raw", "z")
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import use_exact
 from ..functions.time import epoch_us, from_epoch_us
 from ..operators import evaluate, grid, shape, stats
 from ..operators.decompose import decompose
@@ -52,10 +53,13 @@ def fence_sql(p: int) -> str:
   FROM d JOIN b ON d.sensor = b.sensor"""
 
 
-def _fence(spark, d, p, imp=None):
+def _fence(spark, d, p, imp=None, exact=None):
     imp = imp if imp is not None else imputed_hourly(spark, d)
+    if exact is None:
+        # residual groups are at most as large as the grid: measure the grid
+        exact = use_exact(imp, "sensor")
     dec = decompose(imp, p).where(F.col("resid").isNotNull()).withColumn("resid", F.round("resid", 6))
-    b = stats.iqr_bounds(dec, "sensor", "resid", 3.0, 6)
+    b = stats.iqr_bounds(dec, "sensor", "resid", 3.0, 6, exact=exact)
     return (dec.join(b.select("sensor", "lower", "upper"), "sensor")
                .withColumn("flag", stats.iqr_flag(F.col("resid"), F.col("lower"), F.col("upper"))))
 
@@ -102,9 +106,10 @@ def q_cycle_search(spark, d):
     # shared by the four period branches: computed once, kept on executors
     imp = imputed_hourly(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     labels = point_labels(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+    exact = use_exact(imp, "sensor")
     parts = []
     for i, p in enumerate(PERIODS):
-        f = _fence(spark, d, p, imp).join(labels, "ts")
+        f = _fence(spark, d, p, imp, exact).join(labels, "ts")
         m = stats.binary_metrics(f, "sensor", "label", "flag", digits=None)
         parts.append(m.withColumn("period", F.lit(p)).withColumn("ord", F.lit(i)))
     allp = stats.union_all(parts)
