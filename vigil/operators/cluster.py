@@ -78,9 +78,19 @@ def update(assigned: DataFrame, keys) -> DataFrame:
              .select(*keys, "cluster", F.transform("_a", lambda s: s["v"]).alias("vals")))
 
 
+def swap_centroids(centroids: DataFrame, swap: DataFrame, keys) -> DataFrame:
+    """Apply the same 0 <-> 1 relabelling to the centroid table (the
+    reference leaves its centroids unswapped; we keep them consistent)."""
+    keys = _keys(keys)
+    x = centroids.join(swap, keys, "left")
+    return x.withColumn("cluster", F.when(F.coalesce("swap", F.lit(False)), 1 - F.col("cluster"))
+                        .otherwise(F.col("cluster"))).drop("swap")
+
+
 def canonical_labels(train: DataFrame, test: DataFrame, keys, label: str = "cluster"):
     """k = 2: if cluster 0 has strictly fewer test members than cluster 1,
-    swap 0 and 1 in train and test (ties keep). Returns (train, test, swap)."""
+    swap 0 and 1 in train and test (ties keep). Returns (train, test, swap);
+    ``swap_centroids`` applies the same swap to the centroid table."""
     keys = _keys(keys)
     cnt = test.groupBy(*keys).agg(F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_n0"),
                                   F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_n1"))
