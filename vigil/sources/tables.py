@@ -54,3 +54,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
     """Header CSV with an explicit schema (no inference pass over the data)."""
     ensure_session(spark)
     return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+
+
+def wide_to_readings(df, ts_col: str = "timestamp", ts_format: str | None = None,
+                     status_col: str | None = "machine_status", drop=("row_id",)):
+    """Wide sensor frame (one column per sensor) -> long ``readings``.
+
+    The text timestamp is parsed once (``to_timestamp_ntz``); NaN becomes NULL
+    at ingest (Spark orders NaN above every number, pandas treats it as
+    missing); sensor columns are unpivoted with an explicit list, so no pass
+    over the data discovers the schema. Returns (readings, status) where
+    status is ``(ts, status)`` or None.
+    """
+    from pyspark.sql import functions as F
+    ts = (F.to_timestamp_ntz(F.col(ts_col), F.lit(ts_format)) if ts_format
+          else F.col(ts_col).cast("timestamp_ntz"))
+    base = df.withColumn("ts", ts).drop(ts_col, *[c for c in drop if c in df.columns])
+    sensors = [c for c in base.columns if c not in ("ts", status_col)]
+    long = base.unpivot(["ts"], sensors, "sensor", "value")
+    long = long.withColumn("value", F.when(F.isnan("value"), F.lit(None)).otherwise(F.col("value")))
+    status = base.select("ts", F.col(status_col).alias("status")) if status_col in base.columns else None
+    return long.select("sensor", "ts", "value"), status
