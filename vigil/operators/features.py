@@ -64,13 +64,16 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return j.withColumnRenamed("_code", out)
 
 
-def derive_features(df: DataFrame) -> DataFrame:
+def derive_features(df: DataFrame, encode: bool = True) -> DataFrame:
     """``pre_process_PM`` after relabelling: type and failure codes
     (alphabetical), heat = |air - process|, power = torque * rpm * 0.10472,
-    overstrain = wear * torque; drops air and torque; fixed column order."""
+    overstrain = wear * torque; drops air and torque; fixed column order.
+    ``encode=False`` keeps the class names (saves the two distinct passes
+    when the codes are not used downstream)."""
     x = relabel_random(df)
-    x = label_encode(x, "type")
-    x = label_encode(x, "failure_type")
+    if encode:
+        x = label_encode(x, "type")
+        x = label_encode(x, "failure_type")
     x = (x.withColumn("heat", F.abs(F.col("air_k") - F.col("process_k")))
           .withColumn("power", F.col("torque") * (F.col("rpm") * F.lit(RAD_PER_RPM)))
           .withColumn("overstrain", F.col("wear") * F.col("torque")))

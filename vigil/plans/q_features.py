@@ -16,8 +16,8 @@ def labeled(spark, d):
     return feat.machine_failure(machine(spark, d))
 
 
-def features(spark, d):
-    return feat.derive_features(labeled(spark, d))
+def features(spark, d, encode: bool = True):
+    return feat.derive_features(labeled(spark, d), encode)
 
 
 # ---- item 13: random failures -> target 0, 'No Failure' ----
@@ -94,7 +94,7 @@ r_{c} AS (SELECT '{c}' AS feature, value, round_even(CAST(sum(s) OVER (ORDER BY
           / CAST(sum(n) OVER (ORDER BY value DESC) AS DOUBLE) * 100, 2) AS prob FROM p_{c})''' for c in ("wear", "rpm"))}
 SELECT * FROM r_wear UNION ALL SELECT * FROM r_rpm""")
 def q_feat_prob(spark, d):
-    f = features(spark, d)
+    f = features(spark, d, encode=False)
     return stats.feat_prob(f, "wear").unionByName(stats.feat_prob(f, "rpm"))
 
 
@@ -122,4 +122,4 @@ _CORR = ["power", "process_k", "heat", "wear", "overstrain", "rpm", "target"]
 WITH x AS ({FEATURES_SQL})
 {" UNION ALL ".join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM x" for a in _CORR for b in _CORR)}""")
 def q_corr_matrix(spark, d):
-    return stats.corr_matrix(features(spark, d), _CORR)
+    return stats.corr_matrix(features(spark, d, encode=False), _CORR)
