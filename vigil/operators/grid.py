@@ -185,3 +185,30 @@ def fill_constant(df: DataFrame, value_by_key: dict, key: str = "sensor", value:
     if expr is None:
         return df
     return df.withColumn(value, F.coalesce(F.col(value), expr))
+
+
+def window_stats(df: DataFrame, every: str | int, fns=("mean", "median", "min", "max", "sum", "count", "stddev"),
+                 keys="sensor", ts: str = "ts", value: str = "value", label: str = "stop") -> DataFrame:
+    """aggregateWindow for several functions in one aggregation pass: every
+    window between a key's first and last one is returned (empty windows:
+    NULL statistics, count 0); columns are named after the functions."""
+    keys = _keys(keys)
+    step_us = step_seconds(every) * US_PER_SEC
+    binned = (df.select(*keys, ts, value)
+                .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long"))
+                .groupBy(*keys, "_b")
+                .agg(*[agg_expr(f, value).alias(f) for f in fns]))
+    bounds = (binned.groupBy(*keys)
+                    .agg(F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
+                    .select(*keys, (F.col("_b0") * step_us).alias("_t0"),
+                            (F.col("_b1") - F.col("_b0") + 1).alias("_n"), "_b0"))
+    grid = grid_frame(bounds, keys, "_t0", "_n", step_us, ts_out=ts)
+    vals = (binned.join(bounds.select(*keys, "_b0"), on=keys)
+                  .select(*keys, (F.col("_b") - F.col("_b0")).alias("pos"), *fns))
+    res = grid.join(vals, on=[*keys, "pos"], how="left")
+    if "count" in fns:
+        res = res.withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long")))
+    if label == "stop":
+        res = res.withColumn(ts, from_epoch_us(epoch_us(ts) + F.lit(step_us)))
+    return res.select(*keys, ts, "pos", *fns)
+
