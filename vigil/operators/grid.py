@@ -111,10 +111,12 @@ def resample(df: DataFrame, step: str | int, fn: str = "median", keys="sensor",
                     .agg(F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
                     .select(*keys, (F.col("_b0") * step_us).alias("_t0"),
                             (F.col("_b1") - F.col("_b0") + 1).alias("_n"), "_b0"))
-    grid = grid_frame(bounds, keys, "_t0", "_n", step_us, ts_out=ts)
-    vals = (binned.join(bounds.select(*keys, "_b0"), on=keys)
-                  .select(*keys, (F.col("_b") - F.col("_b0")).alias("pos"), out))
-    res = grid.join(vals, on=[*keys, "pos"], how="left")
+    # the grid carries the absolute bin index, so the binned values join on
+    # (keys, bin) directly: both uses of ``binned`` stay identical subplans
+    # and the aggregate's exchange is computed once and reused
+    grid = (grid_frame(bounds, keys, "_t0", "_n", step_us, ts_out=ts)
+            .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long")))
+    res = grid.join(binned, on=[*keys, "_b"], how="left")
     if fn == "count":
         res = res.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long")))
     return res.select(*keys, ts, "pos", out)
@@ -202,10 +204,9 @@ def window_stats(df: DataFrame, every: str | int, fns=("mean", "median", "min",
                     .agg(F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
                     .select(*keys, (F.col("_b0") * step_us).alias("_t0"),
                             (F.col("_b1") - F.col("_b0") + 1).alias("_n"), "_b0"))
-    grid = grid_frame(bounds, keys, "_t0", "_n", step_us, ts_out=ts)
-    vals = (binned.join(bounds.select(*keys, "_b0"), on=keys)
-                  .select(*keys, (F.col("_b") - F.col("_b0")).alias("pos"), *fns))
-    res = grid.join(vals, on=[*keys, "pos"], how="left")
+    grid = (grid_frame(bounds, keys, "_t0", "_n", step_us, ts_out=ts)
+            .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long")))
+    res = grid.join(binned, on=[*keys, "_b"], how="left")
     if "count" in fns:
         res = res.withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long")))
     if label == "stop":

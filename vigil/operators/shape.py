@@ -18,12 +18,16 @@ from ..functions.time import US_PER_SEC, epoch_us, from_epoch_us, step_seconds
 # ---------------------------------------------------------------- item 24
 def impute(df: DataFrame, step: str = "1 minute", keys="sensor", value: str = "value",
            drop=(), zero_fill=(), limit: int = 60, regular: bool = False,
-           exact: bool | None = None) -> DataFrame:
+           exact: bool | None = None, materialize: bool = True) -> DataFrame:
     """The reference's imputation pipeline on long readings:
     regularise -> drop series -> constant 0 for named series -> forward fill
     (limit rows) -> median of the *filled* series for what is left.
 
     ``regular=True`` means ``df`` is already on the grid (has ``pos``).
+    ``materialize`` writes the filled grid once (reliable checkpoint in the
+    shared ``spark.checkpoint.dir``): the median and the fill both read it,
+    and so does every detector built on the result, instead of re-running
+    the resample/fill shuffles per use; it also cuts the lineage.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     g = df if regular else grid.resample(df, step, "median", keys, value=value)
@@ -31,6 +35,9 @@ def impute(df: DataFrame, step: str = "1 minute", keys="sensor", value: str = "v
         g = g.where(~F.col(keys[0]).isin(list(drop)))
     g = grid.fill_constant(g, {s: 0.0 for s in zero_fill}, key=keys[0], value=value)
     g = grid.ffill_limit(g, limit, keys, values=[value])
+    if materialize:
+        from ..session import cut_lineage
+        g = cut_lineage(g)
     if exact is None:
         # the grid length per series bounds the exact median's buffer; it is
         # measured on the raw scan (span / step), not on the filled grid

@@ -133,3 +133,18 @@ FROM (
 def q_window_stats(spark, d):
     x = grid.window_stats(readings(spark, d), "20 minutes", _WS)
     return _r6(x, "mean", "median", "min", "max", "sum", "stddev")
+
+
+# ---- many-sensor variant (sensor = user_id): hourly mean grid, ffill limit 6 ----
+USER_READINGS = "SELECT CAST(user_id AS VARCHAR) AS sensor, ts, value FROM events"
+
+
+@query("many_sensor_fill", sql=f"""
+SELECT sensor, ts, pos,
+       round(last_value(v IGNORE NULLS) OVER (PARTITION BY sensor ORDER BY pos
+             ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS value
+FROM ({binned_grid(HOUR, 'avg(value)', src=USER_READINGS)})""")
+def q_many_sensor_fill(spark, d):
+    from .domain import user_readings
+    g = grid.resample(user_readings(spark, d), "1 hour", "mean")
+    return _r6(grid.ffill_limit(g, 6), "value")
