@@ -53,6 +53,26 @@ def test_bucketed_windows_exact(spark, bucket):
         assert a[i] == (last if lastpos is not None and i - lastpos <= 5 else None)
 
 
+@pytest.mark.parametrize("levels,exclusive", [(2, False), (3, False), (3, True), (4, True)])
+def test_carry_forward_levels(spark, levels, exclusive):
+    """Every summary depth gives the plain running last-non-null, including
+    long NULL runs that cross several super-buckets."""
+    rng = np.random.default_rng(11)
+    vals = [float(v) if rng.random() > 0.93 else None for v in rng.normal(size=600)]
+    df = _series(spark, vals).unionByName(_series(spark, vals[::-1], sensor="t"))
+    out = bucketing.carry_forward(df, ["sensor"], "pos", "value", "cf", bucket=4,
+                                  levels=levels, exclusive=exclusive).collect()
+    got = {(r.sensor, r.pos): r.cf for r in out}
+    for name, series in (("s", vals), ("t", vals[::-1])):
+        last = None
+        for i, v in enumerate(series):
+            if not exclusive and v is not None:
+                last = v
+            assert got[(name, i)] == last
+            if exclusive and v is not None:
+                last = v
+
+
 def test_regularize_drops_off_grid_rows(spark):
     rows = [("s", T0, 1.0), ("s", T0 + dt.timedelta(seconds=90), 5.0), ("s", T0 + dt.timedelta(minutes=3), 3.0)]
     df = spark.createDataFrame(rows, "sensor string, ts timestamp_ntz, value double")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF_MID, SF_SMALL
 
 import __spark_entry__ as E
+from vigil.functions.time import epoch_us
 from vigil.operators import grid
 from vigil.plans.domain import readings
 
@@ -34,7 +35,7 @@ def test_stream_ffill_limit(spark):
     w = Window.partitionBy("sensor").orderBy("ts")
     x = df.withColumn("real", F.when(~F.col("filled"), F.col("ts")))
     x = x.withColumn("last_real", F.last("real", ignorenulls=True).over(w))
-    gap = (F.unix_seconds("ts") - F.unix_seconds("last_real")) / 60
+    gap = (epoch_us("ts") - epoch_us("last_real")) / 60_000_000
     assert x.where(F.col("filled") & (gap > 60)).count() == 0
 
 

@@ -8,9 +8,10 @@ looks back at most ``halo`` rows can instead be evaluated per
 rows of the previous bucket, the window runs inside the bucket, and the copies
 are dropped again. The result is exact for any ``bucket >= halo``.
 
-For unbounded look-back (running fills, running sums) a two-level scan is used:
-a per-bucket summary (one row per bucket, tiny), a window over the summaries,
-and an equi-join back. No step ever needs a whole series in one task.
+For unbounded look-back (running fills, running sums) a multi-level scan is
+used: a per-bucket summary (one row per bucket), the same scan one level up
+over the summaries, and an equi-join back. No step ever needs a whole series
+in one task.
 """
 
 from __future__ import annotations
@@ -40,21 +41,32 @@ def bucketed_window(keys, pos: str, bucket_col: str = "_bkt") -> Window:
 
 
 def carry_forward(df: DataFrame, keys, pos: str, value: str, out: str,
-                  bucket: int = DEFAULT_BUCKET) -> DataFrame:
+                  bucket: int = DEFAULT_BUCKET, levels: int = 3, exclusive: bool = False) -> DataFrame:
     """``out`` = last non-null ``value`` at or before ``pos`` per key
-    (unbounded look-back), computed with a two-level scan."""
+    (unbounded look-back; strictly before with ``exclusive``).
+
+    Rows are scanned per (key, pos bucket); the carry into a bucket is the
+    same problem one level up, over one summary row per bucket. Each level
+    divides the rows per key by ``bucket``, and only the top level runs a
+    window over a whole key: with 3 levels and bucket 4096 that is
+    n / 4096^2 rows (about 60k at 10^12 rows in one series)."""
     keys = list(keys)
-    b = "_bkt"
+    # column names are per level, so nested levels never clash
+    b, inner, last, carry = (f"_{n}{levels}" for n in ("bkt", "in", "last", "carry"))
     x = df.withColumn(b, F.floor(F.col(pos) / F.lit(bucket)).cast("long"))
-    w_in = Window.partitionBy(*keys, b).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_in", F.last(value, ignorenulls=True).over(w_in))
+    w_in = Window.partitionBy(*keys, b).orderBy(pos).rowsBetween(Window.unboundedPreceding,
+                                                                 -1 if exclusive else 0)
+    x = x.withColumn(inner, F.last(value, ignorenulls=True).over(w_in))
     # one summary row per bucket: its last non-null value (NULL if none)
     summary = (x.groupBy(*keys, b)
-                .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(pos))).alias("_last")))
-    w_b = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.withColumn("_carry", F.last("_last", ignorenulls=True).over(w_b))
-    x = x.join(summary.select(*keys, b, "_carry"), on=[*keys, b], how="left")
-    return x.withColumn(out, F.coalesce("_in", "_carry")).drop("_in", "_carry", b)
+                .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(pos))).alias(last)))
+    if levels > 2:
+        summary = carry_forward(summary, keys, b, last, carry, bucket, levels - 1, exclusive=True)
+    else:
+        w_b = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        summary = summary.withColumn(carry, F.last(last, ignorenulls=True).over(w_b))
+    x = x.join(summary.select(*keys, b, carry), on=[*keys, b], how="left")
+    return x.withColumn(out, F.coalesce(inner, carry)).drop(inner, carry, b)
 
 
 def bucketed_cumsum(df: DataFrame, keys, order: str, value: str, out: str,
