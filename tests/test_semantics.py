@@ -237,3 +237,19 @@ def test_stream_episodes_match_batch(spark):
     b = {(r.sensor, r.start, r.n_alarms) for r in
          E.queries()["alarm_episodes"](spark, "/root/testdata/sf0.001").collect()}
     assert s and s <= b   # closed episodes only (the watermark holds the last ones)
+
+
+def test_isolation_tree_lookup_lands_in_containing_leaf():
+    """Leaves partition the line; cuts on sample values create empty [a, a)
+    leaves, and a lookup of a must still land in the leaf containing a."""
+    from vigil.operators.detect import _tree_leaves
+    rng = np.random.default_rng(5)
+    for trial in range(300):
+        base = rng.normal(size=int(rng.integers(2, 400)))
+        # heavy ties and near-ties (1 ulp apart) make cuts hit sample values
+        vals = np.concatenate([np.round(base, 1), np.nextafter(np.round(base[:20], 1), np.inf)])
+        lows, highs, paths = _tree_leaves(vals, int(rng.integers(0, 2**62)))
+        assert np.all(np.diff(lows) >= 0) and np.isneginf(lows[0])
+        probe = np.concatenate([vals, lows[1:]])
+        idx = np.clip(np.searchsorted(lows, probe, side="right") - 1, 0, len(lows) - 1)
+        assert np.all((lows[idx] <= probe) & (probe < highs[idx]))

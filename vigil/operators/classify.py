@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from . import stats
 
 SEED = 123
+# memory for split statistics per pass over the data: more nodes of the
+# forest are split per pass (fewer passes); the chosen splits do not change
+FOREST_NODE_MB = 1024
 
 
 def prepare(df: DataFrame, features, split_col: str = "split"):
@@ -30,6 +33,9 @@ def prepare(df: DataFrame, features, split_col: str = "split"):
     ``features`` vector column; both persisted for the iterative fits."""
     asm = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")
     sc = MinMaxScaler(inputCol="_raw", outputCol="features")
+    # the scaler fit, the label-code lookups and the two persisted outputs
+    # all read the feature table: compute it once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     train = df.where(F.col(split_col) == "train")
     model = Pipeline(stages=[asm, sc]).fit(train)
     out = model.transform(df).drop("_raw")
@@ -42,6 +48,8 @@ def prepare(df: DataFrame, features, split_col: str = "split"):
         tr = tr.repartition(par)
     tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
     te = out.where(F.col(split_col) == "test").persist(StorageLevel.MEMORY_AND_DISK)
+    tr.count(), te.count()
+    df.unpersist()
     return tr, te
 
 
@@ -55,12 +63,13 @@ def make_estimator(kind: str, label: str, n_classes: int, params: dict | None =
                             featureSubsetStrategy=str(p.get("max_features", "all")), cacheNodeIds=True,
                             **common)
         # GBT is binary in MLlib: one-vs-rest for multiclass targets
+        # the per-class fits are independent jobs: run them concurrently
         return est if n_classes <= 2 else OneVsRest(classifier=est, featuresCol="features", labelCol=label,
-                                                    parallelism=2)
+                                                    parallelism=min(n_classes, 8))
     if kind == "forest":
         return RandomForestClassifier(maxDepth=int(p.get("max_depth", 8)), numTrees=int(p.get("n_estimators", 80)),
                                       featureSubsetStrategy=str(p.get("max_features", "0.9")),
-                                      cacheNodeIds=True, **common)
+                                      cacheNodeIds=True, maxMemoryInMB=FOREST_NODE_MB, **common)
     if kind == "tree":
         return DecisionTreeClassifier(maxDepth=int(p.get("max_depth", 1)), **common)
     if kind == "mlp":

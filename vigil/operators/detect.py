@@ -115,51 +115,60 @@ def _c(n):
     return np.where(n > 2, 2 * h - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _build_tree(pdf):
-    """One 1-D isolation tree from a bounded sample (<= `samples` rows):
-    leaves as value intervals [lo, hi) with their path length."""
+def _tree_leaves(values, seed: int):
+    """One 1-D isolation tree on a bounded sample: leaves as value intervals
+    [lo, hi), returned as (lower bounds, upper bounds, path lengths) sorted
+    by (lo, hi). A
+    cut that lands exactly on a sample value leaves empty intervals [a, a)
+    next to [a, b); sorting by hi as well makes a lookup of a land on the
+    non-empty one.
+
+    The sample is sorted once; a node is an index range of it, so a split
+    is a binary search instead of two array copies. Nodes are expanded
+    depth-first, right child first, drawing one uniform cut per split."""
     import numpy as np
-    import pandas as pd
-    key = pdf.iloc[0]
-    rng = np.random.default_rng(int(key["seed"]) & 0x7FFFFFFF)
-    pts = np.sort(pdf["value"].to_numpy(dtype=float))
+    rng = np.random.default_rng(int(seed) & 0x7FFFFFFF)
+    pts = np.sort(np.asarray(values, dtype=float))
     limit = int(np.ceil(np.log2(max(len(pts), 2))))
-    out, stack = [], [(-np.inf, np.inf, pts, 0)]
+    lows, highs, paths = [], [], []
+    stack = [(-np.inf, np.inf, 0, len(pts), 0)]
     while stack:
-        lo, hi, p, d = stack.pop()
-        if d >= limit or len(p) <= 1 or p[0] == p[-1]:
-            out.append((lo, hi, d + float(_c(len(p)))))
+        lo, hi, i, j, d = stack.pop()
+        if d >= limit or j - i <= 1 or pts[i] == pts[j - 1]:
+            lows.append(lo)
+            highs.append(hi)
+            paths.append(d + float(_c(j - i)))
             continue
-        s = rng.uniform(p[0], p[-1])
-        stack.append((lo, s, p[p < s], d + 1))
-        stack.append((s, hi, p[p >= s], d + 1))
-    lo, hi, path = zip(*out)
-    return pd.DataFrame({"fold": key["fold"], "sensor": key["sensor"], "tree": key["tree"],
-                         "lo": lo, "hi": hi, "path": path, "samples": key["samples"]})
-
-
-def _score_group(test, leaves):
-    """Average path length of each test value over the trees of its group."""
+        cut = rng.uniform(pts[i], pts[j - 1])
+        k = i + int(np.searchsorted(pts[i:j], cut, side="left"))
+        stack.append((lo, cut, i, k, d + 1))
+        stack.append((cut, hi, k, j, d + 1))
+    lows, highs, paths = np.asarray(lows), np.asarray(highs), np.asarray(paths)
+    order = np.lexsort((highs, lows))
+    return lows[order], highs[order], paths[order]
+
+
+def _forest_group(train, test):
+    """Build the trees of one (fold, sensor) from their samples and score its
+    test rows: score = 2^(-mean path length / c(samples))."""
     import numpy as np
-    import pandas as pd
+    cols = ["fold", "sensor", "ts", "pos", "value", "score"]
     if test.empty:
-        return pd.DataFrame(columns=["fold", "sensor", "ts", "pos", "value", "score"])
+        return test.assign(score=np.nan)[cols].iloc[0:0]
     x = test["value"].to_numpy(dtype=float)
-    if leaves.empty:
-        return test.assign(score=np.nan)[["fold", "sensor", "ts", "pos", "value", "score"]]
+    if train.empty:
+        return test.assign(score=np.nan)[cols]
     acc = np.zeros(len(x))
     trees = 0
-    for _, lv in leaves.groupby("tree"):
-        lv = lv.sort_values("lo")
-        idx = np.searchsorted(lv["lo"].to_numpy(), x, side="right") - 1
-        acc += lv["path"].to_numpy()[np.clip(idx, 0, len(lv) - 1)]
+    for _, grp in train.groupby("tree", sort=True):
+        lows, _, paths = _tree_leaves(grp["value"].to_numpy(), grp["seed"].iloc[0])
+        acc += paths[np.clip(np.searchsorted(lows, x, side="right") - 1, 0, len(lows) - 1)]
         trees += 1
-    cn = float(_c(int(leaves["samples"].iloc[0])))
+    cn = float(_c(int(train["samples"].iloc[0])))
     score = np.power(2.0, -(acc / trees) / cn) if cn > 0 else np.full(len(x), 0.5)
-    return test.assign(score=score)[["fold", "sensor", "ts", "pos", "value", "score"]]
+    return test.assign(score=score)[cols]
 
 
-LEAF_SCHEMA = "fold int, sensor string, tree long, lo double, hi double, path double, samples long"
 SCORE_SCHEMA = "fold int, sensor string, ts timestamp_ntz, pos long, value double, score double"
 
 
@@ -168,17 +177,20 @@ def isolation_forest(train: DataFrame, test: DataFrame, sizes: DataFrame, seed:
     Bernoulli samples of ``samples`` rows (hash-seeded, repartition-stable)
     and score the test rows: score = 2^(-E[h(x)] / c(samples)).
 
-    Build groups are one tree each (bounded by the sample size); scoring
-    cogroups the test rows of one fold and sensor (bounded by the fold's test
-    window) with that forest's leaves (trees x samples)."""
+    Spark selects every tree's sample and co-groups, per (fold, sensor), the
+    samples with that fold's test rows; one Python call builds the trees and
+    scores. A group is bounded by the sizing rule (trees x samples is at most
+    max(64 x 512, training window)) plus one fold's test window, and there is
+    no leaf table to shuffle."""
     t = train.join(sizes.select("fold", "sensor", "n", "samples", "trees"), ["fold", "sensor"])
     t = t.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)))
     u = (F.pmod(F.xxhash64(F.lit(seed), "fold", "sensor", "tree", "pos"), F.lit(1 << 30)).cast("double")
          / F.lit(float(1 << 30)))
     t = t.where(u < F.least(F.lit(1.0), F.col("samples") / F.col("n")))
-    t = t.withColumn("seed", F.xxhash64(F.lit(seed), "fold", "sensor", "tree"))
-    leaves = (t.select("fold", "sensor", "tree", "seed", "samples", "value")
-               .groupBy("fold", "sensor", "tree").applyInPandas(_build_tree, LEAF_SCHEMA))
+    # fresh attributes: both co-grouped sides derive from the same series
+    t = t.select(*[F.col(c).alias(c) for c in ("fold", "sensor", "tree")],
+                 F.xxhash64(F.lit(seed), "fold", "sensor", "tree").alias("seed"),
+                 F.col("samples").alias("samples"), F.col("value").alias("value"))
     tst = test.select("fold", "sensor", "ts", "pos", "value")
-    return (tst.groupBy("fold", "sensor").cogroup(leaves.groupBy("fold", "sensor"))
-               .applyInPandas(_score_group, SCORE_SCHEMA))
+    return (t.groupBy("fold", "sensor").cogroup(tst.groupBy("fold", "sensor"))
+             .applyInPandas(_forest_group, SCORE_SCHEMA))
