@@ -253,3 +253,18 @@ def test_isolation_tree_lookup_lands_in_containing_leaf():
         probe = np.concatenate([vals, lows[1:]])
         idx = np.clip(np.searchsorted(lows, probe, side="right") - 1, 0, len(lows) - 1)
         assert np.all((lows[idx] <= probe) & (probe < highs[idx]))
+
+
+def test_bin_median_exact_when_small_sketch_when_forced(spark):
+    """Bin medians are exact below the measured group limit; the sketch
+    (forced here) returns one of the two middle values of the bin."""
+    rows = [("s", T0 + dt.timedelta(minutes=m), float(v))
+            for m, v in enumerate([5, 1, 4, 2, 3, 6, 9, 7] * 4)]   # 32 one-minute readings
+    df = spark.createDataFrame(rows, "sensor string, ts timestamp_ntz, value double")
+    exact = {r.ts: r.value for r in grid.resample(df, "10 minutes", "median").collect()}
+    forced = {r.ts: r.value for r in grid.resample(df, "10 minutes", "median", approx_median=True).collect()}
+    for b in sorted(exact):
+        vals = sorted(v for (_, t, v) in rows if b <= t < b + dt.timedelta(minutes=10))
+        lo, hi = vals[(len(vals) - 1) // 2], vals[len(vals) // 2]
+        assert exact[b] == (lo + hi) / 2
+        assert forced[b] in (lo, hi)

@@ -13,6 +13,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import APPROX_ACCURACY, EXACT_GROUP_LIMIT, largest_group
 from ..functions.time import US_PER_SEC, epoch_us, from_epoch_us, step_seconds
 from .bucketing import DEFAULT_BUCKET, carry_forward, with_halo
 
@@ -80,7 +81,7 @@ _AGG = {
 
 def agg_expr(fn: str, value: str, approx_median: bool = False) -> Column:
     if fn == "median" and approx_median:
-        return F.percentile_approx(value, 0.5, 10000)
+        return F.percentile_approx(value, 0.5, APPROX_ACCURACY)
     if fn == "first":
         return F.min_by(value, "ts")
     if fn == "last":
@@ -90,19 +91,32 @@ def agg_expr(fn: str, value: str, approx_median: bool = False) -> Column:
     return _AGG[fn](value)
 
 
+def _approx_bins(df: DataFrame, keys, ts: str, step_us: int, fns, approx_median) -> bool:
+    """Whether bin medians use the sketch: as given, or measured. An exact
+    median buffers every value of a bin in one aggregation buffer, so the
+    largest (key, bin) is counted first (one partial-aggregated pass over
+    the key and time columns) and the sketch is used above the limit."""
+    if approx_median is not None or "median" not in fns:
+        return bool(approx_median)
+    binned = df.select(*keys, F.floor(epoch_us(ts) / step_us).cast("long").alias("_b"))
+    return largest_group(binned, [*keys, "_b"]) > EXACT_GROUP_LIMIT
+
+
 def resample(df: DataFrame, step: str | int, fn: str = "median", keys="sensor", ts: str = "ts",
-             value: str = "value", out: str | None = None, approx_median: bool = False) -> DataFrame:
+             value: str = "value", out: str | None = None, approx_median: bool | None = None) -> DataFrame:
     """pandas ``resample(step).<fn>()``: bins left-closed and left-labelled,
     epoch aligned; empty bins between the first and last bin are NULL
     (``count`` gives 0). Adds ``pos``.
 
     The aggregate is a hash aggregate with map-side partial aggregation, so a
-    hot sensor is reduced before the shuffle (exact median buffers values of
-    one bin only; ``approx_median`` bounds memory for very dense bins).
+    hot sensor is reduced before the shuffle. The exact median buffers the
+    values of one bin; ``approx_median`` (default: measured, see
+    ``_approx_bins``) switches to a fixed-size sketch for very dense bins.
     """
     keys = _keys(keys)
     out = out or value
     step_us = step_seconds(step) * US_PER_SEC
+    approx_median = _approx_bins(df, keys, ts, step_us, [fn], approx_median)
     binned = (df.select(*keys, ts, value)
                 .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long"))
                 .groupBy(*keys, "_b")
@@ -144,8 +158,9 @@ def window_aggregate(df: DataFrame, every: str | int, fn: str = "stddev", keys="
     if create_empty:
         r = resample(x, every, fn, keys, ts, value, out)
     else:
+        approx = _approx_bins(x, keys, ts, step_us, [fn], None)
         r = (x.groupBy(*keys, F.window(ts, f"{step_seconds(every)} seconds").start.alias(ts))
-              .agg(agg_expr(fn, value).alias(out)))
+              .agg(agg_expr(fn, value, approx).alias(out)))
     if label == "stop":
         r = r.withColumn(ts, from_epoch_us(epoch_us(ts) + F.lit(step_us)))
     return r
@@ -190,16 +205,18 @@ def fill_constant(df: DataFrame, value_by_key: dict, key: str = "sensor", value:
 
 
 def window_stats(df: DataFrame, every: str | int, fns=("mean", "median", "min", "max", "sum", "count", "stddev"),
-                 keys="sensor", ts: str = "ts", value: str = "value", label: str = "stop") -> DataFrame:
+                 keys="sensor", ts: str = "ts", value: str = "value", label: str = "stop",
+                 approx_median: bool | None = None) -> DataFrame:
     """aggregateWindow for several functions in one aggregation pass: every
     window between a key's first and last one is returned (empty windows:
     NULL statistics, count 0); columns are named after the functions."""
     keys = _keys(keys)
     step_us = step_seconds(every) * US_PER_SEC
+    approx_median = _approx_bins(df, keys, ts, step_us, fns, approx_median)
     binned = (df.select(*keys, ts, value)
                 .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long"))
                 .groupBy(*keys, "_b")
-                .agg(*[agg_expr(f, value).alias(f) for f in fns]))
+                .agg(*[agg_expr(f, value, approx_median).alias(f) for f in fns]))
     bounds = (binned.groupBy(*keys)
                     .agg(F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
                     .select(*keys, (F.col("_b0") * step_us).alias("_t0"),
