@@ -109,27 +109,34 @@ FFILL_STATE = "last_ts timestamp, last_value double"
 
 def _ffill_state(limit_min: int):
     def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs))
-        pdf = pdf.sort_values("ts")
-        pdf["minute"] = pdf["ts"].dt.floor("min")
-        per_min = pdf.groupby("minute", as_index=False)["value"].last()
-        out = []
-        last_ts, last_v = (None, None)
+        import numpy as np
+        pdf = pd.concat(list(pdfs)).sort_values("ts", kind="stable")
+        per_min = pdf.assign(minute=pdf["ts"].dt.floor("min")).groupby("minute", as_index=False)["value"].last()
+        mins = per_min["minute"].to_numpy(dtype="datetime64[ns]")
+        vals = per_min["value"].to_numpy(dtype=float)
         if state.exists:
             last_ts, last_v = state.get
-            last_ts = pd.Timestamp(last_ts)
-        for m, v in zip(per_min["minute"], per_min["value"]):
-            m = pd.Timestamp(m)
-            if last_ts is not None and m > last_ts:
-                gap = int((m - last_ts) / pd.Timedelta(minutes=1))
-                for k in range(1, min(gap, limit_min + 1)):
-                    out.append((key[0], last_ts + pd.Timedelta(minutes=k), last_v, True))
-            if last_ts is None or m > last_ts:
-                out.append((key[0], m, v, False))
-                last_ts, last_v = m, v
-        if last_ts is not None:
-            state.update((last_ts.to_pydatetime(), float(last_v)))
-        yield pd.DataFrame(out, columns=["sensor", "ts", "value", "filled"])
+            last_ts = np.datetime64(pd.Timestamp(last_ts).tz_localize(None), "ns")
+            keep = mins > last_ts              # minutes at or before the stored one are late
+            mins, vals = mins[keep], vals[keep]
+            prev_ts = np.concatenate([[last_ts], mins[:-1]])
+            prev_v = np.concatenate([[last_v], vals[:-1]])
+            has_prev = np.ones(len(mins), dtype=bool)
+        else:
+            prev_ts = np.concatenate([mins[:1], mins[:-1]])
+            prev_v = np.concatenate([vals[:1], vals[:-1]])
+            has_prev = np.arange(len(mins)) > 0
+        # a gap of g minutes after a value gets min(g - 1, limit) filled minutes
+        gap = ((mins - prev_ts) // np.timedelta64(1, "m")).astype(np.int64)
+        n_fill = np.where(has_prev, np.clip(gap - 1, 0, limit_min), 0)
+        src = np.repeat(np.arange(len(mins)), n_fill)
+        k = np.arange(len(src)) - np.repeat(np.cumsum(n_fill) - n_fill, n_fill) + 1
+        fills = pd.DataFrame({"sensor": key[0], "ts": prev_ts[src] + k * np.timedelta64(1, "m"),
+                              "value": prev_v[src], "filled": True})
+        real = pd.DataFrame({"sensor": key[0], "ts": mins, "value": vals, "filled": False})
+        if len(mins):
+            state.update((pd.Timestamp(mins[-1]).to_pydatetime(), float(vals[-1])))
+        yield pd.concat([fills, real], ignore_index=True)
     return fn
 
 
