@@ -192,5 +192,10 @@ def isolation_forest(train: DataFrame, test: DataFrame, sizes: DataFrame, seed:
                  F.xxhash64(F.lit(seed), "fold", "sensor", "tree").alias("seed"),
                  F.col("samples").alias("samples"), F.col("value").alias("value"))
     tst = test.select("fold", "sensor", "ts", "pos", "value")
+    # the work per group is Python compute, not bytes: an explicit partition
+    # count keeps AQE from coalescing the (small) shuffle into one task; the
+    # cogroup reuses this hash partitioning on both sides
+    n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t, tst = t.repartition(n, "fold", "sensor"), tst.repartition(n, "fold", "sensor")
     return (t.groupBy("fold", "sensor").cogroup(tst.groupBy("fold", "sensor"))
              .applyInPandas(_forest_group, SCORE_SCHEMA))
