@@ -28,12 +28,14 @@ def with_halo(df: DataFrame, pos: str, halo: int, bucket: int = DEFAULT_BUCKET,
     bucket into the next bucket, flagged by ``halo_col``."""
     bucket = max(int(bucket), int(halo), 1)
     b = F.floor(F.col(pos) / F.lit(bucket)).cast("long")
-    own = df.withColumn(bucket_col, b).withColumn(halo_col, F.lit(False))
     if halo <= 0:
-        return own
-    copies = (df.where(F.pmod(F.col(pos), F.lit(bucket)) >= F.lit(bucket - halo))
-                .withColumn(bucket_col, b + 1).withColumn(halo_col, F.lit(True)))
-    return own.unionByName(copies)
+        return df.withColumn(bucket_col, b).withColumn(halo_col, F.lit(False))
+    # one pass: every row once, plus a flagged copy for the trailing rows of
+    # its bucket (a union of two filters would evaluate ``df`` twice)
+    tail = F.pmod(F.col(pos), F.lit(bucket)) >= F.lit(bucket - halo)
+    flags = F.when(tail, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    x = df.withColumn(halo_col, F.explode(flags))
+    return x.withColumn(bucket_col, b + F.col(halo_col).cast("long"))
 
 
 def bucketed_window(keys, pos: str, bucket_col: str = "_bkt") -> Window:
