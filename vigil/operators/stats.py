@@ -82,33 +82,41 @@ def corr_matrix(df: DataFrame, columns, digits: int = 6) -> DataFrame:
 
 
 # ---------------------------------------------------------------- item 43
-def feat_prob(df: DataFrame, feature: str, target: str = "target", buckets: int = 1024) -> DataFrame:
-    """For every distinct value j of ``feature``: 100 * mean(target) over rows
-    with feature >= j, half-even rounded to 2 decimals.
+def feat_prob(df: DataFrame, feature, target: str = "target", buckets: int = 1024) -> DataFrame:
+    """For every feature in ``feature`` (a name or a list) and every distinct
+    value j of it: 100 * mean(target) over rows with feature >= j, half-even
+    rounded to 2 decimals; rows ``(feature, value, prob)``.
 
     The reference rescans the table per distinct value (O(d*n)). Here: one
-    aggregate per distinct value (sum, count), then exact suffix sums by a
-    two-level scan: the distinct values are cut into ``buckets`` ranges at
-    sketch quantiles (balanced even for skewed features), each range gets an
+    pass turns each row into its (feature, value) pairs and aggregates per
+    pair (sum, count); then exact suffix sums by a two-level scan per
+    feature: the distinct values are cut into ``buckets`` ranges at sketch
+    quantiles (balanced even for skewed features), each range gets an
     in-range running sum, and a window over the (at most ``buckets``) range
-    totals supplies the offsets. No task sees all distinct values.
+    totals supplies the offsets. No task sees all distinct values, and the
+    input is read once for all features.
     """
-    per = (df.groupBy(F.col(feature).cast("double").alias("value"))
-             .agg(F.sum(F.col(target).cast("long")).alias("_s"), F.count(F.lit(1)).alias("_n")))
+    feats = [feature] if isinstance(feature, str) else list(feature)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in feats])
+    per = (df.select(F.col(target).cast("long").alias("_t"), F.inline(pairs))
+             .groupBy("feature", "value")
+             .agg(F.sum("_t").alias("_s"), F.count(F.lit(1)).alias("_n")))
     probs = [k / buckets for k in range(1, buckets)]
-    cuts = (per.agg(F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), 10000).alias("_cuts"))
-               .withColumn("_k", F.lit(0)))
-    x = per.withColumn("_k", F.lit(0)).join(F.broadcast(cuts), "_k").drop("_k")  # one-row table
+    cuts = per.groupBy("feature").agg(
+        F.percentile_approx("value", F.array(*[F.lit(p) for p in probs]), 10000).alias("_cuts"))
+    x = per.join(F.broadcast(cuts), "feature")  # one row per feature
     x = x.withColumn("_bk", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("value")))).drop("_cuts")
     # suffix sums in descending value order: in-range part + all higher ranges
-    w_in = Window.partitionBy("_bk").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_in = (Window.partitionBy("feature", "_bk").orderBy(F.col("value").desc())
+                  .rowsBetween(Window.unboundedPreceding, 0))
     x = x.withColumn("_cs", F.sum("_s").over(w_in)).withColumn("_cn", F.sum("_n").over(w_in))
-    tot = x.groupBy("_bk").agg(F.sum("_s").alias("_bs"), F.sum("_n").alias("_bn"))
-    w_b = Window.orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    tot = x.groupBy("feature", "_bk").agg(F.sum("_s").alias("_bs"), F.sum("_n").alias("_bn"))
+    # <= buckets rows per feature
+    w_b = Window.partitionBy("feature").orderBy(F.col("_bk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     tot = (tot.withColumn("_os", F.coalesce(F.sum("_bs").over(w_b), F.lit(0)))
               .withColumn("_on", F.coalesce(F.sum("_bn").over(w_b), F.lit(0))))
-    x = x.join(F.broadcast(tot.select("_bk", "_os", "_on")), "_bk")
-    return x.select(F.lit(feature).alias("feature"), "value",
+    x = x.join(F.broadcast(tot.select("feature", "_bk", "_os", "_on")), ["feature", "_bk"])
+    return x.select("feature", "value",
                     F.bround((F.col("_cs") + F.col("_os")) / (F.col("_cn") + F.col("_on")) * 100, 2)
                     .alias("prob"))
 
@@ -234,8 +242,9 @@ def confusion(df: DataFrame, truth: str, pred: str, labels: DataFrame | None = N
     pairs = df.groupBy(F.col(truth).alias("actual"), F.col(pred).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     if labels is None:
-        labels = (df.select(F.col(truth).alias("label"))
-                    .union(df.select(F.col(pred).alias("label"))).distinct())
+        # every label occurs in some (actual, predicted) pair: read it from
+        # the pair counts instead of scanning the input twice more
+        labels = pairs.select(F.explode(F.array("actual", "predicted")).alias("label"))
     # the label set is the class list (bounded by the number of classes):
     # one array row, exploded twice into the dense (actual, predicted) grid
     grid = (labels.agg(F.collect_set("label").alias("_l"))

@@ -95,7 +95,7 @@ r_{c} AS (SELECT '{c}' AS feature, value, round_even(CAST(sum(s) OVER (ORDER BY
 SELECT * FROM r_wear UNION ALL SELECT * FROM r_rpm""")
 def q_feat_prob(spark, d):
     f = features(spark, d, encode=False)
-    return stats.feat_prob(f, "wear").unionByName(stats.feat_prob(f, "rpm"))
+    return stats.feat_prob(f, ["wear", "rpm"])
 
 
 # ---- item 40: distinct count per column ----
