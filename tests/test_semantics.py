@@ -268,3 +268,16 @@ def test_bin_median_exact_when_small_sketch_when_forced(spark):
         lo, hi = vals[(len(vals) - 1) // 2], vals[len(vals) // 2]
         assert exact[b] == (lo + hi) / 2
         assert forced[b] in (lo, hi)
+
+
+def test_bin_median_switch_measures_largest_bin(spark, monkeypatch):
+    """Above the limit the measured switch picks the sketch (limit lowered
+    here so a small fixture crosses it); at or below it stays exact."""
+    rows = [("s", T0 + dt.timedelta(minutes=m), float(v)) for m, v in enumerate([5, 1, 4, 2, 3, 6, 9, 7] * 4)]
+    df = spark.createDataFrame(rows, "sensor string, ts timestamp_ntz, value double")
+    assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["median"], None) is False
+    monkeypatch.setattr(grid, "EXACT_GROUP_LIMIT", 9)       # bins hold 10 rows, the table 32
+    assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["median"], None) is True
+    monkeypatch.setattr(grid, "EXACT_GROUP_LIMIT", 10)
+    assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["median"], None) is False
+    assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["mean"], None) is False

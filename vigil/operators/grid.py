@@ -94,10 +94,14 @@ def agg_expr(fn: str, value: str, approx_median: bool = False) -> Column:
 def _approx_bins(df: DataFrame, keys, ts: str, step_us: int, fns, approx_median) -> bool:
     """Whether bin medians use the sketch: as given, or measured. An exact
     median buffers every value of a bin in one aggregation buffer, so the
-    largest (key, bin) is counted first (one partial-aggregated pass over
-    the key and time columns) and the sketch is used above the limit."""
+    size of the largest (key, bin) is checked first: the total row count
+    bounds it (no shuffle, no columns read); only above the limit is the
+    largest bin counted (one partial-aggregated pass over the key and time
+    columns) and the sketch used if it exceeds the limit."""
     if approx_median is not None or "median" not in fns:
         return bool(approx_median)
+    if df.count() <= EXACT_GROUP_LIMIT:
+        return False
     binned = df.select(*keys, F.floor(epoch_us(ts) / step_us).cast("long").alias("_b"))
     return largest_group(binned, [*keys, "_b"]) > EXACT_GROUP_LIMIT
 
