@@ -38,13 +38,19 @@ _SHIPPED: set = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``vigil`` importable in the Python workers (pandas UDFs and
-    grouped-map functions are pickled by module reference): zip the package
-    once per SparkContext and register it with ``addPyFile``, which copies it
-    to every executor."""
+    grouped-map functions are pickled by module reference). A submit that
+    already lists the package in ``spark.submit.pyFiles`` needs nothing;
+    otherwise (local sessions, notebooks) the package is zipped once per
+    SparkContext on the driver and registered with ``addPyFile``, which
+    distributes it to every executor. No data goes through that folder."""
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
+    # a cluster submit ships the package itself (--py-files / spark.submit.pyFiles)
+    if "vigil" in (spark.conf.get("spark.submit.pyFiles", "") or ""):
+        _SHIPPED.add(key)
+        return
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="vigil-pkg-"), "vigil.zip")
