@@ -66,8 +66,21 @@ def segments(df: DataFrame, keys, ts: str = "ts", label: str = "label") -> DataF
                   F.count(F.lit(1)).alias("n_points")))
 
 
+def _materialize(df: DataFrame, cols, materialize: bool) -> DataFrame:
+    """The evaluators read their input in several branches (segment buckets
+    and summaries, alarms, per-key counts). With ``materialize`` the needed
+    columns are written once (reliable checkpoint in the shared
+    ``spark.checkpoint.dir``), so an expensive upstream (a fence pipeline,
+    a wide scan) is evaluated once instead of once per branch."""
+    x = df.select(*cols)
+    if not materialize:
+        return x
+    from ..session import cut_lineage
+    return cut_lineage(x)
+
+
 def point_adjusted(df: DataFrame, keys, ts: str = "ts", label: str = "label", alarm: str = "alarm",
-                   digits: int = 6) -> DataFrame:
+                   digits: int = 6, materialize: bool = True) -> DataFrame:
     """Point-adjusted precision/recall/F1 and mean time to detect.
 
     A segment with any alarm counts all its points as TP, otherwise as FN;
@@ -75,6 +88,7 @@ def point_adjusted(df: DataFrame, keys, ts: str = "ts", label: str = "label", al
     segments of (first alarm - segment start), in seconds.
     """
     keys = _keys(keys)
+    df = _materialize(df, [*keys, ts, label, alarm], materialize)
     s = with_segments(df, keys, ts, label)
     seg = (s.where(F.col(label) == 1).groupBy(*keys, "seg_no")
             .agg(F.min(ts).alias("_s0"), F.count(F.lit(1)).alias("_n"),
@@ -125,11 +139,12 @@ def false_alarms(alarms: DataFrame, segs: DataFrame, keys, early_s: int = 600) -
 
 
 def revised_point_adjusted(df: DataFrame, keys, ts: str = "ts", label: str = "label", alarm: str = "alarm",
-                           early_s: int = 600, digits: int = 6) -> DataFrame:
+                           early_s: int = 600, digits: int = 6, materialize: bool = True) -> DataFrame:
     """Revised point-adjusted metrics: TP/FN per segment (an alarm up to
     ``early_s`` before the start counts), FP per alarm outside all widened
     segments; MTTD without the early allowance."""
     keys = _keys(keys)
+    df = _materialize(df, [*keys, ts, label, alarm], materialize)
     segs = segments(df, keys, ts, label)
     alarms = df.where(F.col(alarm) == 1).select(*keys, ts)
     hits = early_alarms(alarms, segs, keys, early_s)
