@@ -296,10 +296,18 @@ def mad_bounds(df: DataFrame, keys, value: str, k: float = 3.0, kind: str = "mea
 
 
 # ---------------------------------------------------------------- item 51
-def forecast_error(df: DataFrame, keys, actual: str, forecast: str) -> DataFrame:
+def forecast_error(df: DataFrame, keys, actual: str, forecast: str, exact_scale: int | None = None) -> DataFrame:
+    """MSE and RMSE per key. A double sum depends on the order in which
+    partial sums are merged after the shuffle; when the squared errors have
+    at most ``exact_scale`` decimals (inputs with at most half as many), they
+    are summed as DECIMAL(38, exact_scale), which is exact, so the result is
+    the same on every run."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     e2 = F.pow(F.col(actual) - F.col(forecast), 2)
-    return (df.groupBy(*keys).agg(F.avg(e2).alias("mse"), F.count(e2).alias("n"))
+    mean = F.avg(e2)
+    if exact_scale is not None:
+        mean = F.avg(F.round(e2, exact_scale).cast(f"decimal(38,{exact_scale})")).cast("double")
+    return (df.groupBy(*keys).agg(mean.alias("mse"), F.count(e2).alias("n"))
               .select(*keys, "n", F.round("mse", 6).alias("mse"), F.round(F.sqrt("mse"), 6).alias("rmse")))
 
 

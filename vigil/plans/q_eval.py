@@ -257,7 +257,8 @@ def q_residuals(spark, d):
 SELECT sensor, count(power(actual - forecast, 2)) AS n, round(avg(power(actual - forecast, 2)), 6) AS mse,
        round(sqrt(avg(power(actual - forecast, 2))), 6) AS rmse FROM ({RESID_SQL}) GROUP BY sensor""")
 def q_forecast_error(spark, d):
-    return stats.forecast_error(_residuals(spark, d), "sensor", "actual", "forecast")
+    # hourly medians of 2-decimal readings have at most 3 decimals: squared errors at most 6
+    return stats.forecast_error(_residuals(spark, d), "sensor", "actual", "forecast", exact_scale=6)
 
 
 # ---- islands of truth on scored events (shared by 36, 37, 69, 70) ----
