@@ -186,9 +186,9 @@ wi AS (SELECT DISTINCT item, least(len(w), {SPAN}) AS n, unnest([w[p:p + least(l
 lens AS (SELECT DISTINCT n FROM wi),
 wd AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, w FROM d, lens WHERE len(w) >= n),
 hit AS (SELECT doc_id, p, wd.n, item FROM wd JOIN wi ON wi.n = wd.n AND wi.win = wd.w[p:p + wd.n - 1]),
-at AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
+spots AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
 its AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS s FROM hit GROUP BY 1)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN at USING (doc_id) LEFT JOIN its USING (doc_id)
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN its USING (doc_id)
 """
