@@ -56,6 +56,8 @@ def update_state(spark: SparkSession, rows_path: str, state_path: str, shuffle:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     conf = {"spark__sql__streaming__stateStore__providerClass": ROCKSDB,
+            # preallocated log files would take 4 MB in each state partition
+            "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
             "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
             "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "256"}
     with settings(spark, **conf):
