@@ -3,19 +3,26 @@ their SQL where SQL can express them on whole tables."""
 
 from __future__ import annotations
 
-from . import compression, decontaminate, exact_dedup, ngram_join, packing, toxicity
+from . import (compression, decontaminate, exact_dedup, langid, ngram_join, packing, quotes, revisits,
+               sentence_dedup, toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_sentence_dedup": sentence_dedup.op2_sentence_dedup,
     "op3_packing": packing.op3_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_langid": langid.op6_langid,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_quality": compression.op8_quality,
+    "op9_revisits": revisits.op9_revisits,
+    "op10_quotes": quotes.op10_quotes,
 }
 
 ORACLE = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op7_ngram_join": ngram_join.OP7_SQL,
+    "op9_revisits": revisits.OP9_SQL,
+    "op10_quotes": quotes.OP10_SQL,
 }
