@@ -100,15 +100,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
 def follow(links: DataFrame) -> DataFrame:
     """(k, at, top, depth) with ``top`` the end of each chain of replies. Each
-    round doubles the distance; replies point backwards, so chains end."""
-    now, moved = write_table(links, "threads"), None
-    while True:
-        total = now.agg(F.sum("depth")).first()[0]
-        if total == moved:
-            return now
-        moved = total
+    round doubles the distance of the messages that have not reached theirs;
+    replies point backwards, so chains end."""
+    now = write_table(links.withColumn("open", F.col("depth") > 0), "threads")
+    while not (ahead := now.where("open")).isEmpty():
         up = now.select("k", F.col("at").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
-        now = write_table(now.join(up, ["k", "top"]).select("k", "at", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth")), "threads")
+        moved = ahead.join(up, ["k", "top"]).select("k", "at", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("open"))
+        now = write_table(now.where("NOT open").unionByName(moved), "threads")
+    return now.drop("open")
 
 
 def mailbox(conversations: DataFrame) -> DataFrame:
