@@ -46,7 +46,7 @@ from .components import components
 N = 5
 PERCENT = 75
 SIGN = 8                  # 64-bit words of a signature
-RANGE_TOKENS = 8_000_000  # shingles that one range gathers, on average
+RANGE_TOKENS = 2_000_000  # shingles that one range gathers, on average
 HEAVY_ROWS = 1_000_000
 SHIFT = 16                # counts are kept by the upper 48 bits
 
