@@ -20,7 +20,9 @@ is a hash of the set, so copies cost one row per task and never become pairs.
 5. Candidates pass a length filter, a positional filter (shingles that are left
    after the shared one bound the overlap) and a suffix filter: the Hamming
    distance of two parity signatures never exceeds the sets' symmetric
-   difference, so a larger distance than t allows rules the pair out.
+   difference, so a larger distance than t allows rules the pair out. Linked
+   sets also share a least number of prefix shingles, not just one; the rows of
+   a pair are counted against it (``_enough``).
    First every node meets only the least node of each shingle; the links found
    make components. Then, in shingles that still hold several components, the
    pairs across components are tried. Pairs inside a component need no proof.
@@ -228,6 +230,17 @@ def _fits(a: str, b: str, percent: int, signed: bool):
     return ok
 
 
+def _enough(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with as many shared prefix shingles as a link implies: the
+    j-th shared shingle stands at most at j - 1 + size - overlap in each set, so
+    the first overlap + 1 - ceil(t * larger size) of them lie in both prefixes."""
+    both, most = F.col("x") + F.col("y"), F.greatest("x", "y")
+    overlap = F.floor((percent * both + 99 + percent) / (100 + percent))
+    least = overlap + 1 - F.floor((percent * most + 99) / 100)
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("x").alias("x"), F.max("y").alias("y"))
+    return pairs.where(F.col("c") >= least).select("a", "b")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, index: DataFrame, percent: int, n: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link."""
     wanted = write_table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
@@ -278,8 +291,10 @@ def links(docs: DataFrame, index: DataFrame, percent: int = PERCENT, n: int = N)
     lead = lead.select("token", "l.*")
     first = (lead.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))
                                   & _fits("a", "b", percent, True))
-             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
-    first = write_table(first, "first-pairs")
+             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("x"), F.col("b.size").alias("y")))
+    # a node may share its other shingles under another least node: what this
+    # count leaves out is tried below
+    first = write_table(_enough(first, percent), "first-pairs")
     linked = verify(docs, first, index, percent, n)
 
     root = components(linked)
@@ -288,8 +303,9 @@ def links(docs: DataFrame, index: DataFrame, percent: int = PERCENT, n: int = N)
     rows = write_table(rows.join(open_, "token", "left_semi"), "open")
     cross = (rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root"))
                                   & _fits("a", "b", percent, True))
-             .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
-    cross = write_table(cross.join(first, ["a", "b"], "left_anti"), "cross-pairs")
+             .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"),
+                     F.col("a.size").alias("x"), F.col("b.size").alias("y")))
+    cross = write_table(_enough(cross, percent).join(first, ["a", "b"], "left_anti"), "cross-pairs")
     return linked.unionByName(verify(docs, cross, index, percent, n))
 
 
