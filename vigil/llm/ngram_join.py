@@ -5,7 +5,7 @@ A document's set holds the 64-bit hashes of its distinct ``n``-word shingles
 similarity reaches ``percent``/100. Equal sets share one node, whose identity
 is a hash of the set, so copies cost one row per task and never become pairs.
 
-1. ``sets``: per document its node, set size and a 512-bit parity signature.
+1. ``sets``: per document its node and set size.
 2. ``frequencies``: exact document counts of all shingles. Each task packs its
    distinct shingles as sorted, delta-coded 48-bit numbers per hash range (4
    bytes each); one group per range adds up the counts. Shingles that occur
@@ -17,12 +17,11 @@ is a hash of the set, so copies cost one row per task and never become pairs.
 4. Prefix filter: similar sets share a shingle among their first
    size - ceil(t * size) + 1. Prefix rows (shingle, node, size, position) meet
    on shingles that occur more than once.
-5. Candidates pass a length filter, a positional filter (shingles that are left
-   after the shared one bound the overlap) and a suffix filter: the Hamming
-   distance of two parity signatures never exceeds the sets' symmetric
-   difference, so a larger distance than t allows rules the pair out. Linked
-   sets also share a least number of prefix shingles, not just one; the rows of
-   a pair are counted against it (``_enough``).
+5. Candidates pass a length filter and a positional filter at the first shingle
+   they share (those left after it bound the overlap), and, once per pair, a
+   suffix filter: the Hamming distance of two parity signatures (2 bits or more
+   for each shingle) never exceeds the sets' symmetric difference, so a larger
+   one than t allows rules the pair out without its sets.
    First every node meets only the least node of each shingle; the links found
    make components. Then, in shingles that still hold several components, the
    pairs across components are tried. Pairs inside a component need no proof.
@@ -47,13 +46,10 @@ from .components import components
 
 N = 5
 PERCENT = 75
-SIGN = 8                  # 64-bit words of a signature
 RANGE_TOKENS = 2_000_000  # shingles that one range gathers, on average
 HEAVY_ROWS = 1_000_000
 SHIFT = 16                # counts are kept by the upper 48 bits
 
-_SIGN_COLS = [f"s{i}" for i in range(SIGN)]
-
 
 # ------------------------------------------------------------------ kernels
 def doc_sets(batch, n: int = N):
@@ -95,19 +91,18 @@ def node_ids(val: np.ndarray, first: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def signatures(val: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 64 * SIGN classes, as (texts, SIGN)."""
-    n, bits = len(first) - 1, 64 * SIGN
-    out = np.zeros((n, SIGN), np.uint64)
-    doc = np.repeat(np.arange(n), np.diff(first))
-    step = 4096  # texts at a time: bounded memory
-    for a in range(0, n, step):
-        z = min(n, a + step)
-        lo, hi = first[a], first[z]
-        cell = (doc[lo:hi] - a) * bits + (val[lo:hi] % np.uint64(bits)).astype(np.int64)
-        odd = (np.bincount(cell, minlength=(z - a) * bits) & 1).astype(np.uint8).reshape(z - a, SIGN, 64)
-        out[a:z] = np.packbits(odd, axis=2, bitorder="little").view(np.uint64).reshape(z - a, SIGN)
-    return out.view(np.int64)
+def signature(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles in each of 2^k classes, two for each shingle."""
+    bits = 1 << max(9, int(2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(x: np.ndarray, y: np.ndarray) -> int:
+    """Distance of two signatures; the longer one is folded to the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
 
 
 def prefix_len(size: np.ndarray, percent: int) -> np.ndarray:
@@ -119,13 +114,9 @@ def sets(docs: DataFrame, n: int = N) -> DataFrame:
     def scan(batches):
         for b in batches:
             for rows, val, first in doc_sets(b, n):
-                s = signatures(val, first)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(node_ids(val, first)), pa.array(np.diff(first).astype(np.int32)),
-                     *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(SIGN))],
-                    names=["doc_id", "node", "size", *_SIGN_COLS])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scan, "doc_id long, node long, size int, " + ", ".join(f"{c} long" for c in _SIGN_COLS))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(node_ids(val, first)), pa.array(np.diff(first).astype(np.int32))],
+                                                 names=["doc_id", "node", "size"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, node long, size int")
 
 
 def pack(tokens: np.ndarray, counts: np.ndarray) -> bytes:
@@ -216,29 +207,14 @@ def prefixes(docs: DataFrame, heavy, percent: int = PERCENT, n: int = N) -> Data
     return docs.select(F.lit(0).alias("doc_id"), "text").mapInArrow(scan, "token long, node long, size int, pos int")
 
 
-def _fits(a: str, b: str, percent: int, signed: bool):
-    """Length, positional and suffix filter of two prefix rows."""
-    A, B = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    both = A("size") + B("size")
+def _fits(percent: int):
+    """Length and positional filter of two prefix rows a, b. It holds at the
+    first shingle that two linked sets share."""
+    both = F.col("a.size") + F.col("b.size")
+    shared = F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos"))
     # overlap >= percent * union / 100  <=>  overlap * (100 + percent) >= percent * both
-    shared = 1 + F.least(A("pos"), B("pos")) + F.least(A("size") - A("pos") - 1, B("size") - B("pos") - 1)
-    ok = ((100 * F.least(A("size"), B("size")) >= percent * F.greatest(A("size"), B("size")))
-          & ((100 + percent) * shared >= percent * both))
-    if signed:
-        apart = sum((F.bit_count(A(c).bitwiseXOR(B(c))) for c in _SIGN_COLS[1:]), F.bit_count(A(_SIGN_COLS[0]).bitwiseXOR(B(_SIGN_COLS[0]))))
-        ok = ok & ((100 + percent) * apart <= (100 - percent) * both)
-    return ok
-
-
-def _enough(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with as many shared prefix shingles as a link implies: the
-    j-th shared shingle stands at most at j - 1 + size - overlap in each set, so
-    the first overlap + 1 - ceil(t * larger size) of them lie in both prefixes."""
-    both, most = F.col("x") + F.col("y"), F.greatest("x", "y")
-    overlap = F.floor((percent * both + 99 + percent) / (100 + percent))
-    least = overlap + 1 - F.floor((percent * most + 99) / 100)
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("x").alias("x"), F.max("y").alias("y"))
-    return pairs.where(F.col("c") >= least).select("a", "b")
+    return ((100 * F.least("a.size", "b.size") >= percent * F.greatest("a.size", "b.size"))
+            & ((100 + percent) * shared >= percent * both))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, index: DataFrame, percent: int, n: int) -> DataFrame:
@@ -253,9 +229,19 @@ def verify(docs: DataFrame, pairs: DataFrame, index: DataFrame, percent: int, n:
     def scan(batches):
         for b in batches:
             for _, val, first in doc_sets(b, n):
+                each = [val[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node_ids(val, first)), pa.array([val[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())],
-                    names=["node", "shingles"])
+                    [pa.array(node_ids(val, first)), pa.array(np.diff(first).astype(np.int32)),
+                     pa.array([signature(v) for v in each], pa.binary()), pa.array([v.tobytes() for v in each], pa.binary())],
+                    names=["node", "size", "sign", "shingles"])
+
+    def suffix(batches):
+        for b in batches:
+            keep = []
+            for m, k, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                apart = hamming(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8))
+                keep.append((100 + percent) * apart <= (100 - percent) * (m + k))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def overlap(batches):
         for b in batches:
@@ -266,10 +252,13 @@ def verify(docs: DataFrame, pairs: DataFrame, index: DataFrame, percent: int, n:
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = texts.mapInArrow(scan, "node long, shingles binary").join(wanted, "node", "left_semi")
+    found = texts.mapInArrow(scan, "node long, size int, sign binary, shingles binary").join(wanted, "node", "left_semi")
     found = write_table(found.dropDuplicates(["node"]), "shingles")
-    both = (pairs.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-            .join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y"))
+    of = lambda end, *cols: found.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in cols))
+    near = (pairs.join(of("b", "size", "sign"), "b").join(of("a", "size", "sign"), "a")
+            .select("a", "b", "a_size", "b_size", "a_sign", "b_sign").mapInArrow(suffix, "a long, b long"))
+    near = write_table(near, "near-pairs")
+    both = near.join(of("b", "shingles"), "b").join(of("a", "shingles"), "a").select("a", "b", "a_shingles", "b_shingles")
     return write_table(both.mapInArrow(overlap, "a long, b long"), "links")
 
 
@@ -278,34 +267,24 @@ def links(docs: DataFrame, index: DataFrame, percent: int = PERCENT, n: int = N)
     connect exactly the documents that all links connect."""
     total = index.agg(F.sum("size")).first()[0] or 0
     freq = write_table(frequencies(docs, int(total // RANGE_TOKENS) + 1, n), "frequencies")
-    heavy = heavy_table(freq)
-    rows = prefixes(docs, heavy, percent, n)
+    rows = prefixes(docs, heavy_table(freq), percent, n)
     often = freq.select(F.col("token").alias("t"))
     rows = rows.join(often, F.shiftrightunsigned(rows["token"], SHIFT) == often["t"], "left_semi").distinct()
     rows = write_table(rows, "prefixes")
-    signs = index.where("size > 0").select("node", "size", *_SIGN_COLS).dropDuplicates(["node"])
-    signs = signs.join(rows.select("node").distinct(), "node", "left_semi")
-    rows = write_table(rows.join(signs.drop("size"), "node"), "signed")
-
-    lead = rows.groupBy("token").agg(F.min(F.struct("node", "size", "pos", *_SIGN_COLS)).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    lead = lead.select("token", "l.*")
-    first = (lead.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node"))
-                                  & _fits("a", "b", percent, True))
-             .select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("x"), F.col("b.size").alias("y")))
-    # a node may share its other shingles under another least node: what this
-    # count leaves out is tried below
-    first = write_table(_enough(first, percent), "first-pairs")
+
+    lead = rows.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("most")).where("node < most").select("token", "node")
+    lead = rows.join(lead, ["token", "node"], "left_semi")
+    pair = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
+    first = lead.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _fits(percent))
+    first = write_table(first.select(*pair).distinct(), "first-pairs")
     linked = verify(docs, first, index, percent, n)
 
     root = components(linked)
     rows = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     rows = write_table(rows.join(open_, "token", "left_semi"), "open")
-    cross = (rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root"))
-                                  & _fits("a", "b", percent, True))
-             .select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"),
-                     F.col("a.size").alias("x"), F.col("b.size").alias("y")))
-    cross = write_table(_enough(cross, percent).join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    cross = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & _fits(percent))
+    cross = write_table(cross.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "cross-pairs")
     return linked.unionByName(verify(docs, cross, index, percent, n))
 
 
