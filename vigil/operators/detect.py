@@ -150,7 +150,7 @@ def _tree_leaves(values, seed: int):
 
 def _forest_group(train, test):
     """Build the trees of one (fold, sensor) from their samples and score its
-    test rows: score = 2^(-mean path length / c(samples))."""
+    test rows: score = 2^(-mean path length / mean c(rows of the tree))."""
     import numpy as np
     cols = ["fold", "sensor", "ts", "pos", "value", "score"]
     if test.empty:
@@ -159,12 +159,15 @@ def _forest_group(train, test):
     if train.empty:
         return test.assign(score=np.nan)[cols]
     acc = np.zeros(len(x))
-    trees = 0
+    trees, norm = 0, 0.0
     for _, grp in train.groupby("tree", sort=True):
         lows, _, paths = _tree_leaves(grp["value"].to_numpy(), grp["seed"].iloc[0])
         acc += paths[np.clip(np.searchsorted(lows, x, side="right") - 1, 0, len(lows) - 1)]
         trees += 1
-    cn = float(_c(int(train["samples"].iloc[0])))
+        # a tree is normalised for the rows it holds: a window shorter than
+        # the nominal sample gives smaller trees
+        norm += float(_c(len(grp)))
+    cn = norm / trees
     score = np.power(2.0, -(acc / trees) / cn) if cn > 0 else np.full(len(x), 0.5)
     return test.assign(score=score)[cols]
 
