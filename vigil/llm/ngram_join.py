@@ -21,10 +21,13 @@ is a hash of the set, so copies cost one row per task and never become pairs.
    they share (those left after it bound the overlap), and, once per pair, a
    suffix filter: the Hamming distance of two parity signatures (2 bits or more
    for each shingle) never exceeds the sets' symmetric difference, so a larger
-   one than t allows rules the pair out without its sets.
+   one than t allows rules the pair out without its sets. Folding a signature
+   keeps that bound, only less tight.
    First every node meets only the least node of each shingle; the links found
    make components. Then, in shingles that still hold several components, the
-   pairs across components are tried. Pairs inside a component need no proof.
+   pairs across components are tried; there the signatures, folded to 512 bits,
+   are compared inside the join, so pairs that they rule out are never rows.
+   Pairs inside a component need no proof.
 6. Each remaining pair is verified once on the whole sets.
 
 Null and empty texts (and texts of white space) have an empty set, size 0, and
@@ -49,6 +52,7 @@ PERCENT = 75
 RANGE_TOKENS = 2_000_000  # shingles that one range gathers, on average
 HEAVY_ROWS = 1_000_000
 SHIFT = 16                # counts are kept by the upper 48 bits
+FOLD = 8                  # 64-bit numbers of a folded signature
 
 
 # ------------------------------------------------------------------ kernels
@@ -98,6 +102,11 @@ def signature(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(sign: bytes) -> np.ndarray:
+    """A signature folded to ``FOLD`` 64-bit numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(sign, np.int64).reshape(-1, FOLD), axis=0)
+
+
 def hamming(x: np.ndarray, y: np.ndarray) -> int:
     """Distance of two signatures; the longer one is folded to the shorter."""
     if len(x) < len(y):
@@ -111,12 +120,18 @@ def prefix_len(size: np.ndarray, percent: int) -> np.ndarray:
 
 # ------------------------------------------------------------------ steps
 def sets(docs: DataFrame, n: int = N) -> DataFrame:
+    """Per document: node, set size, signature, and the signature folded."""
     def scan(batches):
         for b in batches:
             for rows, val, first in doc_sets(b, n):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(node_ids(val, first)), pa.array(np.diff(first).astype(np.int32))],
-                                                 names=["doc_id", "node", "size"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, node long, size int")
+                signs = [signature(val[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)]
+                fold = np.concatenate([folded(x) for x in signs])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(node_ids(val, first)), pa.array(np.diff(first).astype(np.int32)), pa.array(signs, pa.binary()),
+                     tb.list_array(pa.array(fold), np.arange(len(signs) + 1) * FOLD)],
+                    names=["doc_id", "node", "size", "sign", "fold"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        scan, "doc_id long, node long, size int, sign binary, fold array<long>")
 
 
 def pack(tokens: np.ndarray, counts: np.ndarray) -> bytes:
@@ -217,23 +232,19 @@ def _fits(percent: int):
             & ((100 + percent) * shared >= percent * both))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, index: DataFrame, percent: int, n: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link."""
-    wanted = write_table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-    # one document of each node supplies its text
-    ids = index.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = broadcast_if_small(ids.select(F.col("doc_id").alias("_id")).distinct(), 16)
-    texts = docs.select("doc_id", "text")
-    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+def _near(percent: int):
+    """Suffix filter of two rows a, b on their folded signatures."""
+    apart = sum((F.bit_count(F.col("a.fold")[i].bitwiseXOR(F.col("b.fold")[i])) for i in range(FOLD)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("a.size") + F.col("b.size"))
+
 
+def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link."""
     def scan(batches):
         for b in batches:
             for _, val, first in doc_sets(b, n):
-                each = [val[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node_ids(val, first)), pa.array(np.diff(first).astype(np.int32)),
-                     pa.array([signature(v) for v in each], pa.binary()), pa.array([v.tobytes() for v in each], pa.binary())],
-                    names=["node", "size", "sign", "shingles"])
+                each = [val[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node_ids(val, first)), pa.array(each, pa.binary())], names=["node", "shingles"])
 
     def suffix(batches):
         for b in batches:
@@ -252,20 +263,26 @@ def verify(docs: DataFrame, pairs: DataFrame, index: DataFrame, percent: int, n:
                 keep.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = texts.mapInArrow(scan, "node long, size int, sign binary, shingles binary").join(wanted, "node", "left_semi")
-    found = write_table(found.dropDuplicates(["node"]), "shingles")
-    of = lambda end, *cols: found.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in cols))
-    near = (pairs.join(of("b", "size", "sign"), "b").join(of("a", "size", "sign"), "a")
+    of = lambda rows, end, *cols: rows.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in cols))
+    near = (pairs.join(of(nodes, "b", "size", "sign"), "b").join(of(nodes, "a", "size", "sign"), "a")
             .select("a", "b", "a_size", "b_size", "a_sign", "b_sign").mapInArrow(suffix, "a long, b long"))
     near = write_table(near, "near-pairs")
-    both = near.join(of("b", "shingles"), "b").join(of("a", "shingles"), "a").select("a", "b", "a_shingles", "b_shingles")
+    # one document of each node that is left supplies its text
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    wanted = write_table(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
+    ids = broadcast_if_small(wanted.select(F.col("doc_id").alias("_id")).distinct(), 16)
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    found = texts.mapInArrow(scan, "node long, shingles binary").join(wanted, "node", "left_semi")
+    found = write_table(found.dropDuplicates(["node"]), "shingles")
+    both = near.join(of(found, "b", "shingles"), "b").join(of(found, "a", "shingles"), "a").select("a", "b", "a_shingles", "b_shingles")
     return write_table(both.mapInArrow(overlap, "a long, b long"), "links")
 
 
-def links(docs: DataFrame, index: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """Verified links (a, b) between nodes; with those between equal sets they
     connect exactly the documents that all links connect."""
-    total = index.agg(F.sum("size")).first()[0] or 0
+    total = nodes.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
     freq = write_table(frequencies(docs, int(total // RANGE_TOKENS) + 1, n), "frequencies")
     rows = prefixes(docs, heavy_table(freq), percent, n)
     often = freq.select(F.col("token").alias("t"))
@@ -277,23 +294,26 @@ def links(docs: DataFrame, index: DataFrame, percent: int = PERCENT, n: int = N)
     pair = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
     first = lead.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _fits(percent))
     first = write_table(first.select(*pair).distinct(), "first-pairs")
-    linked = verify(docs, first, index, percent, n)
+    linked = verify(docs, first, nodes, percent, n)
 
     root = components(linked)
     rows = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rows = write_table(rows.join(open_, "token", "left_semi"), "open")
-    cross = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & _fits(percent))
+    rows = rows.join(open_, "token", "left_semi").join(nodes.select("node", "fold"), "node")
+    rows = write_table(rows, "open")
+    cross = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & _fits(percent) & _near(percent))
     cross = write_table(cross.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "cross-pairs")
-    return linked.unionByName(verify(docs, cross, index, percent, n))
+    return linked.unionByName(verify(docs, cross, nodes, percent, n))
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     index = write_table(sets(docs, n), "sets")
-    root = components(links(docs, index, percent, n))
-    nodes = index.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = index.where("size > 0").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "sign", "fold")))
+    nodes = write_table(nodes, "nodes")
+    root = components(links(docs, nodes, percent, n))
+    nodes = nodes.select("node", F.col("doc_id").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(ids, "root").select("node", "component_id")
     return index.select("doc_id", "node", "size").join(nodes, "node", "left").select(
