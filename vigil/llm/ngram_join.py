@@ -24,10 +24,14 @@ is a hash of the set, so copies cost one row per task and never become pairs.
    one than t allows rules the pair out without its sets. Folding a signature
    keeps that bound, only less tight.
    First every node meets only the least node of each shingle; the links found
-   make components. Then, in shingles that still hold several components, the
-   pairs across components are tried; there the signatures, folded to 512 bits,
-   are compared inside the join, so pairs that they rule out are never rows.
-   Pairs inside a component need no proof.
+   make components, and pairs inside a component need no proof. Shingles that
+   still hold several components stay open. While their pairs across components
+   far outnumber their rows and many links are found, there are turns in which
+   each row meets one other node of its shingle, chosen by hash; so a family of
+   near copies becomes one component before its pairs are formed. At last all
+   pairs across components are tried. From the second step on, the signatures,
+   folded to 512 bits, are compared inside the join, so pairs that they rule out
+   are never rows.
 6. Each remaining pair is verified once on the whole sets.
 
 Null and empty texts (and texts of white space) have an empty set, size 0, and
@@ -52,6 +56,7 @@ PERCENT = 75
 RANGE_TOKENS = 2_000_000  # shingles that one range gathers, on average
 HEAVY_ROWS = 1_000_000
 SHIFT = 16                # counts are kept by the upper 48 bits
+CROWDED = 4               # pairs a row from which further turns pay
 FOLD = 8                  # 64-bit numbers of a folded signature
 
 
@@ -296,16 +301,45 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N)
     first = write_table(first.select(*pair).distinct(), "first-pairs")
     linked = verify(docs, first, nodes, percent, n)
 
-    root = components(linked)
-    rows = rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rows = rows.join(open_, "token", "left_semi").join(nodes.select("node", "fold"), "node")
-    rows = write_table(rows, "open")
-    cross = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root")) & _fits(percent) & _near(percent))
-    cross = write_table(cross.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), "cross-pairs")
+    rows = rows.join(nodes.select("node", "fold"), "node")
+    found, tried, turn = linked, first, 0
+    root = components(found)
+    while True:
+        rows = _open_rows(rows, root)
+        if not _crowded(rows, found):
+            break
+        # every node meets one node of each shingle, another one each turn
+        turn += 1
+        order = F.struct(F.xxhash64("node", "token", F.lit(turn)), "node")
+        lead = rows.join(rows.groupBy("token").agg(F.min(order)["node"].alias("node")), ["token", "node"], "left_semi")
+        pairs = lead.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root"))
+                                     & _fits(percent) & _near(percent))
+        pairs = write_table(pairs.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "turn-pairs")
+        found = verify(docs, pairs, nodes, percent, n)
+        linked, tried = linked.unionByName(found), tried.unionByName(pairs)
+        root = components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    cross = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root"))
+                                 & _fits(percent) & _near(percent))
+    cross = write_table(cross.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs")
     return linked.unionByName(verify(docs, cross, nodes, percent, n))
 
 
+def _open_rows(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """Prefix rows, with their component, of the shingles that hold several."""
+    rows = rows.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    many = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return write_table(rows.join(many, "token", "left_semi"), "open")
+
+
+def _crowded(rows: DataFrame, found: DataFrame) -> bool:
+    """Whether another turn of one meeting a row pays: the pairs across
+    components outnumber the rows by far, and the last step found links for
+    more than a thousandth of the rows. It decides the cost, not the result."""
+    per = rows.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("same"))
+    n, pairs = per.agg(F.sum("n"), F.sum(F.expr("(double(n) * n - same) / 2"))).first()
+    return n is not None and pairs > CROWDED * n and 1000 * found.count() > n
+
+
 def ngram_components(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     index = write_table(sets(docs, n), "sets")
