@@ -196,14 +196,19 @@ def test_segments_exact_for_any_bucket_size(spark, rows):
     assert got == ref
 
 
-def test_quantiles_sketch_path(spark):
-    from vigil.plans.domain import readings
-    r = readings(spark, "/root/testdata/sf0.001")
-    ex = {x.sensor: (x.q1, x.q3) for x in stats.iqr_bounds(r, "sensor", "value", exact=True).collect()}
-    ap = {x.sensor: (x.q1, x.q3) for x in stats.iqr_bounds(r, "sensor", "value", exact=False).collect()}
-    assert ex.keys() == ap.keys()
-    for k in ex:  # the sketch returns an observed value near the exact quantile
-        assert abs(ex[k][0] - ap[k][0]) < 5 and abs(ex[k][1] - ap[k][1]) < 5
+def test_quantiles_do_not_depend_on_ranges(spark):
+    import numpy as np
+    from vigil.functions.quantiles import group_quantiles
+    rng = np.random.default_rng(4)
+    data = {"a": rng.normal(size=301).round(1), "b": rng.integers(0, 3, 50).astype(float), "c": np.array([7.0])}
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "sensor string, value double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for ranges in (1, 2, 7, 64):
+        got = {r.sensor: r["_q"] for r in group_quantiles(df, "sensor", "value", probs, ranges=ranges).collect()}
+        assert set(got) == set(data)
+        for k, vs in data.items():
+            assert np.allclose(got[k], np.quantile(vs, probs))
 
 
 def test_wide_csv_ingest(spark, tmp_path):
@@ -281,3 +286,12 @@ def test_bin_median_switch_measures_largest_bin(spark, monkeypatch):
     monkeypatch.setattr(grid, "EXACT_GROUP_LIMIT", 10)
     assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["median"], None) is False
     assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["mean"], None) is False
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+    from vigil.session import checkpoint_dir
+    conf = SimpleNamespace(get=lambda k, d=None: d)
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=context))

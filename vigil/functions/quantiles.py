@@ -1,20 +1,23 @@
-"""Per-group quantiles that stay bounded in memory.
+"""Exact per-group quantiles that stay bounded in memory.
 
 Spark's exact ``percentile`` / ``median`` keeps every value of a group in one
 aggregation buffer; a sensor holding a third of the data would then sit in
-one task's memory. ``group_quantile`` measures the largest group first (one
-small aggregate) and uses the exact function only below ``EXACT_GROUP_LIMIT``
-rows; above it, ``percentile_approx`` (a fixed-size sketch, map-side
-combinable) with relative rank error 1/accuracy.
+one task's memory. ``group_quantiles`` counts the distinct values of a group,
+cuts them into balanced ranges (a sketch only chooses the cuts, never the
+result), finds the range of each wanted rank from the ranges' totals, and ranks
+values inside one range at a time. It gives the same answer at every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Medians of time bins (operators/grid.py) still use the sketch in a bin above this size.
 EXACT_GROUP_LIMIT = 2_000_000
 APPROX_ACCURACY = 100_000
+#: Ranges that the values of a group are cut into.
+RANGES = 64
 
 
 def largest_group(df: DataFrame, keys) -> int:
@@ -24,19 +27,39 @@ def largest_group(df: DataFrame, keys) -> int:
     return int(r["m"] or 0)
 
 
-def use_exact(df: DataFrame, keys, exact: bool | None = None) -> bool:
-    if exact is not None:
-        return exact
-    return largest_group(df, keys) <= EXACT_GROUP_LIMIT
-
+def group_quantiles(df: DataFrame, keys, value, probs, out: str = "_q", ranges: int = RANGES) -> DataFrame:
+    """``keys`` and ``out``, an array with one quantile (linear interpolation)
+    for each of ``probs``. Nulls do not count; a group without values is absent."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    value = F.col(value) if isinstance(value, str) else value
+    x = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(1.0))
+    cuts = x.groupBy(*keys).agg(F.percentile_approx("_v", at, 10_000).alias("_cuts"))
+    counts = (x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+               .join(cuts, keys)
+               .withColumn("_r", F.size(F.filter("_cuts", lambda q: q < F.col("_v")))).drop("_cuts"))
 
-def quantile(col, prob, exact: bool) -> Column:
-    """Exact (linear interpolation) or sketch quantile; ``prob`` may be a
-    float or a list of floats (array result)."""
-    c = F.col(col) if isinstance(col, str) else col
-    p = F.array(*[F.lit(float(x)) for x in prob]) if isinstance(prob, (list, tuple)) else F.lit(float(prob))
-    return F.percentile(c, p) if exact else F.percentile_approx(c, p, APPROX_ACCURACY)
+    # totals per range: at most ``ranges`` rows per group
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per = (counts.groupBy(*keys, "_r").agg(F.sum("_c").alias("_m"))
+                 .withColumn("_n", F.sum("_m").over(group))
+                 .withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0))))
+    # a quantile lies at, or between, two neighbouring ranks
+    want = (per.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
+               .withColumn("_at", F.col("_p") * (F.col("_n") - 1))
+               .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
+               .where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_m")))
+               .select(*keys, "_r", "_i", (F.col("_at") - F.floor("_at")).alias("_frac"), (F.col("_rank") - F.col("_off")).alias("_within")))
+    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = (counts.withColumn("_end", F.sum("_c").over(inside)).join(want, [*keys, "_r"])
+                 .where((F.col("_within") < F.col("_end")) & (F.col("_within") >= F.col("_end") - F.col("_c"))))
+    q = hit.groupBy(*keys, "_i").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_frac").alias("_frac"))
+    q = q.withColumn("_x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
+    return q.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).getField("_x").alias(out))
 
 
-def median(col, exact: bool) -> Column:
-    return quantile(col, 0.5, exact)
+def group_median(df: DataFrame, keys, value, out: str) -> DataFrame:
+    """``keys`` and the exact median ``out`` of each group with values."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return group_quantiles(df, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias(out))

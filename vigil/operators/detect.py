@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normal import inv_norm
-from ..functions.quantiles import median as q_median
-from ..functions.quantiles import quantile, use_exact
+from ..functions.quantiles import group_median, group_quantiles
 from ..functions.time import epoch_s
 
 
@@ -51,12 +50,12 @@ def dynamic_baseline(series: DataFrame, folds: DataFrame, keys="sensor", pos: st
                         F.round("std", digits).alias("std"), "n_train", "z"))
 
 
-def quantile_table(train: DataFrame, keys, score: str, n_q: int = 999, exact: bool | None = None) -> DataFrame:
+def quantile_table(train: DataFrame, keys, score: str, n_q: int = 999) -> DataFrame:
     """Per key the k/(n_q+1) quantiles of the training scores (one array row
-    per key, n_q doubles); exact below the group-size limit, sketch above."""
+    per key, n_q doubles), exact at every size."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     probs = [k / (n_q + 1) for k in range(1, n_q + 1)]
-    return train.groupBy(*keys).agg(quantile(score, probs, use_exact(train, keys, exact)).alias("_q"))
+    return group_quantiles(train, keys, score, probs)
 
 
 def calibrate(test: DataFrame, qtable: DataFrame, keys, score: str, n_q: int = 999,
@@ -74,16 +73,15 @@ def calibrate(test: DataFrame, qtable: DataFrame, keys, score: str, n_q: int = 9
 
 
 def forest_size(train: DataFrame, keys, value: str = "value", k: float = 3.0,
-                base_trees: int = 128, exact: bool | None = None) -> DataFrame:
+                base_trees: int = 128) -> DataFrame:
     """Adaptive random-cut forest size per group (the reference's rule):
     far = #below(median - 3 mad) + #above(median + 3 mad) + 1 with the mean
     absolute deviation; if far < 10 then far = int(0.005 n); samples =
     int(n / far); trees = 128; if int(n/128) <= samples <= int(n/64) then
     trees = int(n / samples); elif samples > int(n/64): samples 512, trees 64."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    s = train.groupBy(*keys).agg(q_median(value, use_exact(train, keys, exact)).alias("_med"),
-                                 F.avg(value).alias("_mean"),
-                                 F.count(value).alias("n"))
+    s = (train.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.count(value).alias("n"))
+              .join(group_median(train, keys, value, "_med"), keys, "left"))
     x = train.join(s, keys)
     mad = x.groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col("_mean"))).alias("_mad"))
     b = s.join(mad, keys).withColumn("_lo", F.col("_med") - k * F.col("_mad")) \

@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grid
-from ..functions.quantiles import median as q_median
-from ..functions.quantiles import use_exact
+from ..functions.quantiles import group_median
 from ..functions.time import US_PER_SEC, epoch_us, from_epoch_us, step_seconds
 
 
 # ---------------------------------------------------------------- item 24
 def impute(df: DataFrame, step: str = "1 minute", keys="sensor", value: str = "value",
            drop=(), zero_fill=(), limit: int = 60, regular: bool = False,
-           exact: bool | None = None, materialize: bool = True) -> DataFrame:
+           materialize: bool = True) -> DataFrame:
     """The reference's imputation pipeline on long readings:
     regularise -> drop series -> constant 0 for named series -> forward fill
     (limit rows) -> median of the *filled* series for what is left.
@@ -38,19 +37,7 @@ def impute(df: DataFrame, step: str = "1 minute", keys="sensor", value: str = "v
     if materialize:
         from ..session import cut_lineage
         g = cut_lineage(g)
-    if exact is None:
-        # the grid length per series bounds the exact median's buffer; it is
-        # measured on the raw scan (span / step), not on the filled grid
-        if regular:
-            n_max = g.groupBy(*keys).agg(F.max("pos")).agg(F.max(F.col("max(pos)"))).first()[0]
-        else:
-            from ..functions.time import epoch_us
-            us = step_seconds(step) * US_PER_SEC
-            n_max = (df.groupBy(*keys).agg(((F.max(epoch_us("ts")) - F.min(epoch_us("ts"))) / us).alias("_n"))
-                       .agg(F.max("_n")).first()[0])
-        from ..functions.quantiles import EXACT_GROUP_LIMIT
-        exact = (n_max or 0) + 1 <= EXACT_GROUP_LIMIT
-    med = g.groupBy(*keys).agg(q_median(value, exact).alias("_med"))
+    med = group_median(g, keys, value, "_med")
     return (g.join(med, keys, "left")
              .withColumn(value, F.coalesce(F.col(value), F.col("_med"))).drop("_med"))
 

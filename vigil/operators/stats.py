@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import median as q_median
-from ..functions.quantiles import quantile, use_exact
+from ..functions.quantiles import group_median, group_quantiles
 
 
 def _ratio(a, b) -> Column:
@@ -122,14 +121,12 @@ def feat_prob(df: DataFrame, feature, target: str = "target", buckets: int = 102
 
 
 # ---------------------------------------------------------------- item 44
-def iqr_bounds(df: DataFrame, keys, value: str, k: float = 3.0, digits: int | None = 6,
-               exact: bool | None = None) -> DataFrame:
+def iqr_bounds(df: DataFrame, keys, value: str, k: float = 3.0, digits: int | None = 6) -> DataFrame:
     """Per key: q1, q3 (linear interpolation) and the fences q1-k*IQR, q3+k*IQR.
-    Exact below the group-size limit, sketch above (``functions.quantiles``)."""
+    Exact at every size (``functions.quantiles``)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    x = df.where(F.col(value).isNotNull())
-    ex = use_exact(x, keys, exact)
-    q = x.groupBy(*keys).agg(quantile(value, 0.25, ex).alias("q1"), quantile(value, 0.75, ex).alias("q3"))
+    q = group_quantiles(df, keys, value, [0.25, 0.75])
+    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
     q = (q.withColumn("lower", F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1")))
           .withColumn("upper", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1"))))
     if digits is not None:
@@ -266,8 +263,7 @@ def false_alarm_pct(df: DataFrame, keys, z: str = "z", nan_is_alarm: bool = True
 
 
 # ---------------------------------------------------------------- item 50
-def mad_bounds(df: DataFrame, keys, value: str, k: float = 3.0, kind: str = "mean",
-               exact: bool | None = None) -> DataFrame:
+def mad_bounds(df: DataFrame, keys, value: str, k: float = 3.0, kind: str = "mean") -> DataFrame:
     """median +- k * spread and counts of rows strictly outside.
 
     ``kind='mean'``: mean absolute deviation about the mean (pandas ``.mad()``,
@@ -275,14 +271,13 @@ def mad_bounds(df: DataFrame, keys, value: str, k: float = 3.0, kind: str = "mea
     Two aggregate passes joined by key; the per-key statistics are tiny.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    ex = use_exact(df, keys, exact)
-    s = df.groupBy(*keys).agg(q_median(value, ex).alias("median"), F.avg(value).alias("mean"),
-                              F.count(value).alias("n"))
+    s = (df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+           .join(group_median(df, keys, value, "median"), keys, "left"))
     x = df.join(s, keys)
     if kind == "mean":
         dev = x.groupBy(*keys).agg(F.avg(F.abs(F.col(value) - F.col("mean"))).alias("spread"))
     else:
-        dev = x.groupBy(*keys).agg(q_median(F.abs(F.col(value) - F.col("median")), ex).alias("spread"))
+        dev = group_median(x, keys, F.abs(F.col(value) - F.col("median")), "spread")
     b = (s.join(dev, keys)
           .withColumn("lower", F.round(F.col("median") - k * F.col("spread"), 6))
           .withColumn("upper", F.round(F.col("median") + k * F.col("spread"), 6)))

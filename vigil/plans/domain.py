@@ -111,9 +111,10 @@ def point_labels(spark: SparkSession, d: str, step: str = "1 hour") -> DataFrame
     err = (load(spark, d, "events").where(F.col("event_type") == "error")
            .select(F.lit("error").alias("sensor"), "ts", "value"))
     c = resample(err, step, "count", out="n")
-    from ..functions.quantiles import quantile, use_exact
-    q = c.agg(quantile("n", 0.9, use_exact(c, [])).alias("_q90")).withColumn("_k", F.lit(0))
-    return (c.withColumn("_k", F.lit(0)).join(F.broadcast(q), "_k")
+    from ..functions.quantiles import group_quantiles
+    c = c.withColumn("_one", F.lit(0))
+    q = group_quantiles(c, "_one", "n", [0.9]).select("_one", F.col("_q")[0].alias("_q90"))
+    return (c.join(F.broadcast(q), "_one")
              .select("ts", (F.col("n") > F.col("_q90")).cast("int").alias("label")))
 
 
