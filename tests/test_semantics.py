@@ -295,3 +295,13 @@ def test_checkpoint_folder_must_be_named_on_a_cluster():
     context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError):
         checkpoint_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+
+def test_softdtw_gamma_is_the_median_distance_of_points(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 24))
+    df = spark.createDataFrame([("a", i, r.tolist()) for i, r in enumerate(x)], "sensor string, chunk_id long, vals array<double>")
+    v = x.ravel()
+    want = 2 * np.median(np.abs(v[:, None] - v[None, :])) ** 2 * 24
+    got = cluster.softdtw_gamma(df, "sensor").first()["gamma"]
+    assert abs(got / want - 1) < 0.1

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from pyspark import StorageLevel
 
+from ..functions.quantiles import group_median
 from ..session import cut_lineage
 
 
@@ -279,16 +280,18 @@ def softdtw_grad(vals: pd.Series, cent: pd.Series, gamma: pd.Series) -> pd.Serie
                       for v, c, g in zip(vals, cent, gamma)])
 
 
-def softdtw_gamma(series: DataFrame, keys) -> DataFrame:
-    """Smoothing per key: 2 * sigma^2 with sigma = sqrt(2) * median distance of
-    the series to their mean series * sqrt(length) (a linear-cost stand-in
-    for the median pairwise distance; no pairs are formed)."""
+def softdtw_gamma(series: DataFrame, keys, buckets: int = 64) -> DataFrame:
+    """Smoothing per key: 2 * sigma^2 with sigma = median distance of two
+    points * sqrt(length). Every point meets one other point, its neighbour in
+    hash order within a hash bucket, so no pairs are enumerated."""
     keys = _keys(keys)
-    mean = update(series.withColumn("cluster", F.lit(0)), keys).withColumnRenamed("vals", "_m").drop("cluster")
-    x = series.join(mean, keys).withColumn("_d", F.sqrt(sq_dist("vals", "_m")))
-    return (x.groupBy(*keys)
-             .agg(F.percentile_approx("_d", 0.5, 10000).alias("_md"), F.first(F.size("vals")).alias("_len"))
-             .select(*keys, (2 * F.pow(F.sqrt(F.lit(2.0)) * F.col("_md") * F.sqrt("_len"), 2)).alias("gamma")))
+    points = (series.select(*keys, F.size("vals").alias("_len"), F.xxhash64("vals").alias("_s"), F.posexplode("vals").alias("_p", "_x"))
+                    .withColumn("_h", F.xxhash64("_s", "_p")).withColumn("_bkt", F.pmod("_h", F.lit(buckets))))
+    w = Window.partitionBy(*keys, "_bkt").orderBy("_h")
+    apart = points.withColumn("_d", F.abs(F.col("_x") - F.lead("_x").over(w)))
+    size = series.groupBy(*keys).agg(F.max(F.size("vals")).alias("_len"))
+    return (group_median(apart, keys, "_d", "_md").join(size, keys)
+            .select(*keys, (2 * F.pow(F.col("_md"), 2) * F.col("_len")).alias("gamma")))
 
 
 def softdtw_assign(series: DataFrame, centroids: DataFrame, keys) -> DataFrame:
