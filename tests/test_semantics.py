@@ -260,32 +260,49 @@ def test_isolation_tree_lookup_lands_in_containing_leaf():
         assert np.all((lows[idx] <= probe) & (probe < highs[idx]))
 
 
-def test_bin_median_exact_when_small_sketch_when_forced(spark):
-    """Bin medians are exact below the measured group limit; the sketch
-    (forced here) returns one of the two middle values of the bin."""
-    rows = [("s", T0 + dt.timedelta(minutes=m), float(v))
-            for m, v in enumerate([5, 1, 4, 2, 3, 6, 9, 7] * 4)]   # 32 one-minute readings
-    df = spark.createDataFrame(rows, "sensor string, ts timestamp_ntz, value double")
-    exact = {r.ts: r.value for r in grid.resample(df, "10 minutes", "median").collect()}
-    forced = {r.ts: r.value for r in grid.resample(df, "10 minutes", "median", approx_median=True).collect()}
-    for b in sorted(exact):
-        vals = sorted(v for (_, t, v) in rows if b <= t < b + dt.timedelta(minutes=10))
-        lo, hi = vals[(len(vals) - 1) // 2], vals[len(vals) // 2]
-        assert exact[b] == (lo + hi) / 2
-        assert forced[b] in (lo, hi)
-
-
-def test_bin_median_switch_measures_largest_bin(spark, monkeypatch):
-    """Above the limit the measured switch picks the sketch (limit lowered
-    here so a small fixture crosses it); at or below it stays exact."""
-    rows = [("s", T0 + dt.timedelta(minutes=m), float(v)) for m, v in enumerate([5, 1, 4, 2, 3, 6, 9, 7] * 4)]
+def test_bin_median_is_exact_in_dense_bins(spark):
+    """One path for every density: a bin of many values and ties, small bins,
+    a bin of nulls and an empty bin."""
+    rng = np.random.default_rng(3)
+    rows = [("s", T0 + dt.timedelta(seconds=int(x)), float(v))
+            for x, v in zip(rng.integers(0, 600, 5000), np.round(rng.normal(size=5000), 2), strict=True)]
+    rows += [("s", T0 + dt.timedelta(minutes=m), float(v)) for m, v in ((11, 4), (12, 7), (31, 5))]
+    rows += [("s", T0 + dt.timedelta(minutes=41), None)]
     df = spark.createDataFrame(rows, "sensor string, ts timestamp_ntz, value double")
-    assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["median"], None) is False
-    monkeypatch.setattr(grid, "EXACT_GROUP_LIMIT", 9)       # bins hold 10 rows, the table 32
-    assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["median"], None) is True
-    monkeypatch.setattr(grid, "EXACT_GROUP_LIMIT", 10)
-    assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["median"], None) is False
-    assert grid._approx_bins(df, ["sensor"], "ts", 600_000_000, ["mean"], None) is False
+    got = {r.ts: r.value for r in grid.resample(df, "10 minutes", "median").collect()}
+    both = {r.ts: (r.median, r["count"]) for r in grid.window_stats(df, "10 minutes", ("median", "count"), label="start").collect()}
+    assert len(got) == 5 and both.keys() == got.keys()
+    for b in got:
+        vals = [v for (_, t, v) in rows if b <= t < b + dt.timedelta(minutes=10) and v is not None]
+        want = float(np.median(vals)) if vals else None
+        assert both[b] == (pytest.approx(want, abs=1e-12), len(vals)) if vals else both[b] == (None, 0)
+        assert got[b] == (pytest.approx(want, abs=1e-12) if vals else None)
+
+
+def test_alarm_episodes_equal_session_windows(spark):
+    """Gaps just under, at and over the limit, tied alarms, and bucket edges."""
+    from vigil.operators.evaluate import alarm_episodes
+    rng = np.random.default_rng(11)
+    rows = []
+    for s in ("a", "b", "c"):
+        t = 0
+        for _ in range(300):
+            t += int(rng.choice([0, 1, 599, 600, 601, 1800, 9000]))
+            rows.append((s, T0 + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "sensor string, ts timestamp_ntz")
+    want = set()
+    for s in ("a", "b", "c"):
+        open_ = None
+        for t in sorted(t for k, t in rows if k == s):
+            if open_ is None or t - open_[1] >= dt.timedelta(minutes=10):
+                if open_:
+                    want.add((s, open_[0], open_[1] + dt.timedelta(minutes=10), open_[2]))
+                open_ = [t, t, 0]
+            open_[1], open_[2] = t, open_[2] + 1
+        want.add((s, open_[0], open_[1] + dt.timedelta(minutes=10), open_[2]))
+    for bucket_s in (600, 3600, 86400):
+        got = [tuple(r) for r in alarm_episodes(df, "sensor", "10 minutes", bucket_s=bucket_s).collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_checkpoint_folder_must_be_named_on_a_cluster():

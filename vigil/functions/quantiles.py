@@ -13,20 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Medians of time bins (operators/grid.py) still use the sketch in a bin above this size.
-EXACT_GROUP_LIMIT = 2_000_000
-APPROX_ACCURACY = 100_000
 #: Ranges that the values of a group are cut into.
 RANGES = 64
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    g = df.groupBy(*keys).count() if keys else df.groupBy().count()
-    r = g.agg(F.max("count").alias("m")).first()
-    return int(r["m"] or 0)
-
-
 def group_quantiles(df: DataFrame, keys, value, probs, out: str = "_q", ranges: int = RANGES) -> DataFrame:
     """``keys`` and ``out``, an array with one quantile (linear interpolation)
     for each of ``probs``. Nulls do not count; a group without values is absent."""

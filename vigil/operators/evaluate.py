@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import US_PER_SEC, epoch_us
-from .bucketing import bucketed_cumsum
+from ..functions.time import US_PER_SEC, epoch_us, step_seconds
+from .bucketing import bucketed_cumsum, bucketed_window
 from .stats import prf
 
 DAY_US = 86400 * US_PER_SEC
@@ -166,10 +166,26 @@ def revised_point_adjusted(df: DataFrame, keys, ts: str = "ts", label: str = "la
                     F.round("mttd_s", digits).alias("mttd_s"))
 
 
-def alarm_episodes(df: DataFrame, keys, gap: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """Episodes of alarms: a gap of at least ``gap`` closes an episode
-    (``session_window``; end = last alarm + gap)."""
+def alarm_episodes(df: DataFrame, keys, gap: str = "10 minutes", ts: str = "ts", bucket_s: int = 3600) -> DataFrame:
+    """Episodes of alarms: a gap of at least ``gap`` closes an episode (end =
+    last alarm + gap).
+
+    Alarms are counted per distinct time and handled per (key, time bucket), so
+    no task sorts a whole sensor. A bucket is at least ``gap`` long: the alarm
+    before a bucket's first one can only matter if it lies in the bucket before.
+    Keys are not null; alarms without a time belong to no episode.
+    """
     keys = _keys(keys)
-    return (df.groupBy(*keys, F.session_window(ts, gap).alias("w"))
-              .agg(F.count(F.lit(1)).alias("n_alarms"))
-              .select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_alarms"))
+    gap_us = step_seconds(gap) * US_PER_SEC
+    width = max(bucket_s * US_PER_SEC, gap_us)
+    x = (df.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_c"))
+           .withColumn("_us", epoch_us("_ts")).withColumn("_tb", F.floor(F.col("_us") / width).cast("long")))
+    before = x.groupBy(*keys, "_tb").agg(F.max("_us").alias("_prev")).withColumn("_tb", F.col("_tb") + 1)
+    lag = F.lag("_us").over(bucketed_window(keys, "_us", "_tb"))
+    x = (x.join(before, [*keys, "_tb"], "left")
+          .withColumn("_prev", F.coalesce(lag, "_prev"))
+          .withColumn("_first", F.when(F.col("_us") - F.col("_prev") < gap_us, 0).otherwise(1)))
+    x = bucketed_cumsum(x, keys, "_us", "_first", "_episode", "_tb")
+    return (x.groupBy(*keys, "_episode")
+             .agg(F.min("_ts").alias("start"), F.max("_ts").alias("end"), F.sum("_c").alias("n_alarms"))
+             .select(*keys, "start", (F.col("end") + F.expr(f"interval {gap_us} microseconds")).alias("end"), "n_alarms"))

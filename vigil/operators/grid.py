@@ -13,7 +13,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import APPROX_ACCURACY, EXACT_GROUP_LIMIT, largest_group
+from ..functions.quantiles import group_median
 from ..functions.time import US_PER_SEC, epoch_us, from_epoch_us, step_seconds
 from .bucketing import DEFAULT_BUCKET, carry_forward, with_halo
 
@@ -74,14 +74,12 @@ def regularize(df: DataFrame, step: str | int, keys="sensor", ts: str = "ts",
 
 
 _AGG = {
-    "mean": F.avg, "avg": F.avg, "median": F.median, "min": F.min, "max": F.max,
+    "mean": F.avg, "avg": F.avg, "min": F.min, "max": F.max,
     "sum": F.sum, "count": F.count, "stddev": F.stddev_samp, "first": None, "last": None,
 }
 
 
-def agg_expr(fn: str, value: str, approx_median: bool = False) -> Column:
-    if fn == "median" and approx_median:
-        return F.percentile_approx(value, 0.5, APPROX_ACCURACY)
+def agg_expr(fn: str, value: str) -> Column:
     if fn == "first":
         return F.min_by(value, "ts")
     if fn == "last":
@@ -91,50 +89,45 @@ def agg_expr(fn: str, value: str, approx_median: bool = False) -> Column:
     return _AGG[fn](value)
 
 
-def _approx_bins(df: DataFrame, keys, ts: str, step_us: int, fns, approx_median) -> bool:
-    """Whether bin medians use the sketch: as given, or measured. An exact
-    median buffers every value of a bin in one aggregation buffer, so the
-    size of the largest (key, bin) is checked first: the total row count
-    bounds it (no shuffle, no columns read); only above the limit is the
-    largest bin counted (one partial-aggregated pass over the key and time
-    columns) and the sketch used if it exceeds the limit."""
-    if approx_median is not None or "median" not in fns:
-        return bool(approx_median)
-    if df.count() <= EXACT_GROUP_LIMIT:
-        return False
-    binned = df.select(*keys, F.floor(epoch_us(ts) / step_us).cast("long").alias("_b"))
-    return largest_group(binned, [*keys, "_b"]) > EXACT_GROUP_LIMIT
+def _bin_stats(df: DataFrame, keys, ts: str, value: str, step_us: int, fns: dict[str, str]) -> DataFrame:
+    """``keys, _b`` (absolute bin index) and one column per entry of ``fns``
+    (column -> function), for every bin with rows.
 
+    Everything but the median is one hash aggregate with map-side partials.
+    Medians go through ``group_median``, which is exact and holds one value
+    range of a bin at a time, however dense the bin is.
+    """
+    x = df.select(*keys, ts, value).withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long"))
+    aggs = [agg_expr(fn, value).alias(c) for c, fn in fns.items() if fn != "median"]
+    bins = x.groupBy(*keys, "_b").agg(*aggs) if aggs else x.select(*keys, "_b").distinct()
+    for c in (c for c, fn in fns.items() if fn == "median"):
+        bins = bins.join(group_median(x, [*keys, "_b"], value, c), [*keys, "_b"], "left")
+    return bins
 
-def resample(df: DataFrame, step: str | int, fn: str = "median", keys="sensor", ts: str = "ts",
-             value: str = "value", out: str | None = None, approx_median: bool | None = None) -> DataFrame:
-    """pandas ``resample(step).<fn>()``: bins left-closed and left-labelled,
-    epoch aligned; empty bins between the first and last bin are NULL
-    (``count`` gives 0). Adds ``pos``.
 
-    The aggregate is a hash aggregate with map-side partial aggregation, so a
-    hot sensor is reduced before the shuffle. The exact median buffers the
-    values of one bin; ``approx_median`` (default: measured, see
-    ``_approx_bins``) switches to a fixed-size sketch for very dense bins.
-    """
-    keys = _keys(keys)
-    out = out or value
-    step_us = step_seconds(step) * US_PER_SEC
-    approx_median = _approx_bins(df, keys, ts, step_us, [fn], approx_median)
-    binned = (df.select(*keys, ts, value)
-                .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long"))
-                .groupBy(*keys, "_b")
-                .agg(agg_expr(fn, value, approx_median).alias(out)))
+def _on_bin_grid(binned: DataFrame, keys, ts: str, step_us: int) -> DataFrame:
+    """``binned`` on the full grid from each key's first to its last bin.
+
+    The grid carries the absolute bin index, so the binned values join on
+    (keys, bin) directly."""
     bounds = (binned.groupBy(*keys)
                     .agg(F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
                     .select(*keys, (F.col("_b0") * step_us).alias("_t0"),
                             (F.col("_b1") - F.col("_b0") + 1).alias("_n"), "_b0"))
-    # the grid carries the absolute bin index, so the binned values join on
-    # (keys, bin) directly: both uses of ``binned`` stay identical subplans
-    # and the aggregate's exchange is computed once and reused
     grid = (grid_frame(bounds, keys, "_t0", "_n", step_us, ts_out=ts)
             .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long")))
-    res = grid.join(binned, on=[*keys, "_b"], how="left")
+    return grid.join(binned, on=[*keys, "_b"], how="left")
+
+
+def resample(df: DataFrame, step: str | int, fn: str = "median", keys="sensor", ts: str = "ts",
+             value: str = "value", out: str | None = None) -> DataFrame:
+    """pandas ``resample(step).<fn>()``: bins left-closed and left-labelled,
+    epoch aligned; empty bins between the first and last bin are NULL
+    (``count`` gives 0). Adds ``pos``."""
+    keys = _keys(keys)
+    out = out or value
+    step_us = step_seconds(step) * US_PER_SEC
+    res = _on_bin_grid(_bin_stats(df, keys, ts, value, step_us, {out: fn}), keys, ts, step_us)
     if fn == "count":
         res = res.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long")))
     return res.select(*keys, ts, "pos", out)
@@ -162,9 +155,8 @@ def window_aggregate(df: DataFrame, every: str | int, fn: str = "stddev", keys="
     if create_empty:
         r = resample(x, every, fn, keys, ts, value, out)
     else:
-        approx = _approx_bins(x, keys, ts, step_us, [fn], None)
-        r = (x.groupBy(*keys, F.window(ts, f"{step_seconds(every)} seconds").start.alias(ts))
-              .agg(agg_expr(fn, value, approx).alias(out)))
+        r = (_bin_stats(x, keys, ts, value, step_us, {out: fn})
+              .select(*keys, from_epoch_us(F.col("_b") * F.lit(step_us)).alias(ts), out))
     if label == "stop":
         r = r.withColumn(ts, from_epoch_us(epoch_us(ts) + F.lit(step_us)))
     return r
@@ -209,28 +201,15 @@ def fill_constant(df: DataFrame, value_by_key: dict, key: str = "sensor", value:
 
 
 def window_stats(df: DataFrame, every: str | int, fns=("mean", "median", "min", "max", "sum", "count", "stddev"),
-                 keys="sensor", ts: str = "ts", value: str = "value", label: str = "stop",
-                 approx_median: bool | None = None) -> DataFrame:
-    """aggregateWindow for several functions in one aggregation pass: every
-    window between a key's first and last one is returned (empty windows:
-    NULL statistics, count 0); columns are named after the functions."""
+                 keys="sensor", ts: str = "ts", value: str = "value", label: str = "stop") -> DataFrame:
+    """aggregateWindow for several functions in one pass (medians in their
+    own): every window between a key's first and last one is returned (empty
+    windows: NULL statistics, count 0); columns are named after the functions."""
     keys = _keys(keys)
     step_us = step_seconds(every) * US_PER_SEC
-    approx_median = _approx_bins(df, keys, ts, step_us, fns, approx_median)
-    binned = (df.select(*keys, ts, value)
-                .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long"))
-                .groupBy(*keys, "_b")
-                .agg(*[agg_expr(f, value, approx_median).alias(f) for f in fns]))
-    bounds = (binned.groupBy(*keys)
-                    .agg(F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
-                    .select(*keys, (F.col("_b0") * step_us).alias("_t0"),
-                            (F.col("_b1") - F.col("_b0") + 1).alias("_n"), "_b0"))
-    grid = (grid_frame(bounds, keys, "_t0", "_n", step_us, ts_out=ts)
-            .withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long")))
-    res = grid.join(binned, on=[*keys, "_b"], how="left")
+    res = _on_bin_grid(_bin_stats(df, keys, ts, value, step_us, {f: f for f in fns}), keys, ts, step_us)
     if "count" in fns:
         res = res.withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long")))
     if label == "stop":
         res = res.withColumn(ts, from_epoch_us(epoch_us(ts) + F.lit(step_us)))
     return res.select(*keys, ts, "pos", *fns)
-
