@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
-_BLOCK = 2 << 20
+_BLOCK = 512 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
