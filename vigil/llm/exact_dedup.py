@@ -59,7 +59,11 @@ def update_state(spark: SparkSession, rows_path: str, state_path: str, shuffle:
             # preallocated log files would take 4 MB in each state partition
             "spark__sql__streaming__stateStore__rocksdb__allowFAllocate": "false",
             "spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage": "true",
-            "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "256"}
+            "spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB": "128",
+            # an executor holds many state partitions: small write buffers, and
+            # the stores of a stream that has ended go within seconds
+            "spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB": "8",
+            "spark__sql__streaming__stateStore__maintenanceInterval": "10s"}
     with settings(spark, **conf):
         (state.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", os.path.join(state_path, "checkpoint"))
