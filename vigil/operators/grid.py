@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import group_median
 from ..functions.time import US_PER_SEC, epoch_us, from_epoch_us, step_seconds
+from ..session import cut_lineage
 from .bucketing import DEFAULT_BUCKET, carry_forward, with_halo
 
 # grid positions generated per row before a block is exploded
@@ -95,14 +96,15 @@ def _bin_stats(df: DataFrame, keys, ts: str, value: str, step_us: int, fns: dict
 
     Everything but the median is one hash aggregate with map-side partials.
     Medians go through ``group_median``, which is exact and holds one value
-    range of a bin at a time, however dense the bin is.
+    range of a bin at a time, however dense the bin is. Callers read the bins
+    twice (bounds and values), so a table with medians is written once.
     """
     x = df.select(*keys, ts, value).withColumn("_b", F.floor(epoch_us(ts) / step_us).cast("long"))
     aggs = [agg_expr(fn, value).alias(c) for c, fn in fns.items() if fn != "median"]
     bins = x.groupBy(*keys, "_b").agg(*aggs) if aggs else x.select(*keys, "_b").distinct()
     for c in (c for c, fn in fns.items() if fn == "median"):
         bins = bins.join(group_median(x, [*keys, "_b"], value, c), [*keys, "_b"], "left")
-    return bins
+    return cut_lineage(bins) if "median" in fns.values() else bins
 
 
 def _on_bin_grid(binned: DataFrame, keys, ts: str, step_us: int) -> DataFrame:
