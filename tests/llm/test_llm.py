@@ -136,6 +136,63 @@ def test_sentence_dedup(spark, docs):
     assert sentence_dedup.sentence_dedup(docs).count() == len(ROWS)
 
 
+def brute_sentences(text):
+    """Sentences as lists of words, by a loop over words and lines."""
+    out, now = [], []
+    for line in text.split("\n"):
+        for w in line.split():
+            now.append(w)
+            if w.rstrip("".join(sentence_dedup.CLOSING_MARKS))[-1:] in tuple(sentence_dedup.STOP_MARKS):
+                out, now = out + [now], []
+        if now:
+            out, now = out + [now], []
+    return out
+
+
+def brute_removed(rows):
+    """Sentences that lie in a run of at least 2 sentences or 20 words that stands at an earlier place too."""
+    seen, gone = set(), {}
+    for i, t in rows:
+        s = brute_sentences(t)
+        gone[i] = set()
+        for a in range(len(s)):
+            for z in range(a, len(s)):
+                words = tuple(w for x in s[a:z + 1] for w in x)
+                if z > a or len(words) >= 20:
+                    if words in seen:
+                        gone[i] |= set(range(a, z + 1))
+                    seen.add(words)
+    return gone
+
+
+def test_sentence_dedup_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"v{i}" for i in rng.integers(0, 10**6, n)]
+    ends = [".", "!", "?", '."', ".)", "\u3002", "?\u201d", "\u2026'", "\n"]
+    source = [words(int(n)) for n in rng.choice([2, 4, 30, 45, 70], 60)]
+    source = [w for x in source for w in [*x[:-1], x[-1] + ends[int(rng.integers(0, len(ends)))]]]
+    rows, runs = [], []
+    for i in range(60):  # runs of 50 words and more from anywhere in the source, between words of their own
+        a, n = int(rng.integers(0, len(source) - 80)), int(rng.integers(50, 80))
+        rows.append((i, " ".join([*words(3), *source[a:a + n], *words(3)])))
+        runs.append((a, a + n))
+    rows += [(100, "Alone x. " + " ".join(["l"] * 5 + words(25)) + ". Tail a."), (102, "One (two). Three."), (103, "Zero. One (two). Three.")]
+    rows.append((101, "Other y. " + rows[60][1].split(". ")[1] + ". Tail b."))
+    rows.sort()
+    expected = brute_removed(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: set(r.gone) for r in sentence_dedup.repeated_sentences(d).collect()}
+    assert got == {i: g for i, g in expected.items() if g}
+    assert got[101] == {1} and got[103] == {1, 2}
+    totals = {r.doc_id: r.n_sentences for r in sentence_dedup.sentence_dedup(d).collect()}
+    assert totals == {i: len(brute_sentences(t)) for i, t in rows}
+    # a run of 50 words that an earlier text holds whole loses words, unless it holds neither a long sentence nor two
+    for i, (a, z) in enumerate(runs):
+        if any(b <= a and z <= y for b, y in runs[:i]):
+            inside = brute_sentences(" ".join(source[a:z]))[1:-1]
+            assert i in got or (len(inside) < 2 and sum(map(len, inside)) < 20)
+
+
 def test_packing_round_trip(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,13 +1,17 @@
 """Substring dedup by sliding sentence spans (operator 2).
 
 Words are runs of non-space characters. A sentence ends with a word whose last
-character is ``.``, ``!`` or ``?``, at a line end, or with the text. A span is
-a run of at least ``sentences`` sentences and ``words`` words; every shortest
-such run from each sentence on, and up to each sentence, is hashed (128 bits
-over its words). Any stretch of that size or more that two places share is
-therefore covered by shared spans, whatever surrounds it. Spans meet globally
-by hash. The first occurrence, by doc_id and then place, stays; sentences that
-any other occurrence covers are removed, within a text too.
+character, apart from closing quotes, brackets and emphasis marks, is a full
+stop, question or exclamation mark or ellipsis of any script of ``STOP_MARKS``,
+at a line end, or with the text. A span is a run of at least ``sentences``
+sentences, however short, or of at least ``words`` words, be it a single
+sentence; every shortest such run from each sentence on, and up to each
+sentence, is hashed (128 bits over its words). Any stretch of that size or more
+that two places share is therefore covered by shared spans, whatever surrounds
+it. Spans meet globally by hash. The first occurrence, by doc_id and then place,
+stays; sentences that any other occurrence covers are removed, within a text
+too. Only whole sentences go: the words of a repeated run before its first and
+after its last sentence boundary stay.
 
 Copies of a span are counted before they are shuffled; a text's removed
 sentences are joined back to it without moving other texts when their size
@@ -16,7 +20,7 @@ permits.
 Null and empty texts have no sentences and come back empty. Null doc_ids come
 first; rows with the same doc_id and text are one document and come back
 alike. An empty table gives no rows; other columns are ignored. Texts of fewer
-sentences or words than a span are never changed.
+sentences and words than a span are never changed.
 """
 
 from __future__ import annotations
@@ -32,7 +36,42 @@ from .common import BROADCAST_BYTES, documents, write_table
 SENTENCES = 2
 WORDS = 20
 
-_STOPS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+#: Marks that end a sentence (Latin, CJK, Arabic, Devanagari, Armenian, Ethiopic,
+#: Khmer, Burmese) and marks that may follow them.
+STOP_MARKS = ".!?\u2026\u203c\u203d\u2047\u2048\u2049\u3002\uff0e\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u17d4\u104b"
+CLOSING_MARKS = "\"'`)]}>*_\u00bb\u00ab\u2018\u2019\u201c\u201d\u201e\u2039\u203a\u300d\u300f\u3009\u300b\u3011\u3015\uff09\uff3d\uff5d"
+
+
+def _byte_codes(marks: str) -> dict[int, np.ndarray]:
+    """UTF-8 bytes of the marks as numbers, by their count."""
+    raw = [c.encode() for c in marks]
+    return {n: np.array([int.from_bytes(r, "big") for r in raw if len(r) == n]) for n in (1, 2, 3)}
+
+
+_STOPS, _CLOSERS = _byte_codes(STOP_MARKS), _byte_codes(CLOSING_MARKS)
+
+
+def last_mark(data, starts, ends, codes) -> np.ndarray:
+    """Bytes of the mark of ``codes`` that each byte range ends with, or 0."""
+    found, code = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+    for n in (1, 2, 3):
+        at = ends - n
+        code += data[np.maximum(at, 0)].astype(np.int64) << (8 * (n - 1))
+        found[(at >= starts) & np.isin(code, codes[n])] = n
+    return found
+
+
+def ends_sentence(data, starts, ends) -> np.ndarray:
+    """Whether each word ends with a stop, closing marks after it apart."""
+    stop = last_mark(data, starts, ends, _STOPS) > 0
+    left, e = np.flatnonzero(~stop), ends[~stop]
+    while len(left):
+        n = last_mark(data, starts[left], e, _CLOSERS)
+        left, e = left[n > 0], (e - n)[n > 0]
+        now = last_mark(data, starts[left], e, _STOPS) > 0
+        stop[left[now]] = True
+        left, e = left[~now], e[~now]
+    return stop
 
 
 def sentence_starts(data, starts, ends, first):
@@ -43,7 +82,7 @@ def sentence_starts(data, starts, ends, first):
         return np.zeros(1, np.int64), np.zeros(len(first), np.int64)
     lines = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 10, out=lines[1:])
-    stop = _STOPS[data[ends - 1]]
+    stop = ends_sentence(data, starts, ends)
     stop[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     stop[first[1:][first[1:] > 0] - 1] = True
     begin = np.concatenate([[0], np.flatnonzero(stop) + 1])
@@ -56,8 +95,9 @@ def spans(begin: np.ndarray, text: np.ndarray, sentences: int, words: int):
     i = np.arange(n)
     own = np.searchsorted(text, i, "right") - 1
     lo, hi = text[own], text[own + 1] - 1
-    end = np.maximum(i + sentences - 1, np.searchsorted(begin, begin[:-1] + words) - 1)
-    start = np.minimum(i - sentences + 1, np.searchsorted(begin, begin[1:] - words, "right") - 1)
+    # the shortest run by either floor
+    end = np.minimum(i + sentences - 1, np.searchsorted(begin, begin[:-1] + words) - 1)
+    start = np.maximum(i - sentences + 1, np.searchsorted(begin, begin[1:] - words, "right") - 1)
     ahead, back = end <= hi, start >= lo
     both = np.concatenate([i[ahead] * n + end[ahead], start[back] * n + i[back]])
     both = np.unique(both)
