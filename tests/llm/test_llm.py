@@ -313,6 +313,31 @@ def test_revisits(spark):
     assert [got[i].outcome for i in (3, 4, 5)] == ["validator_mismatch", "no_response", "stored"] and got[5].kind == "other"
 
 
+def test_stages_tell_rows_apart_by_text(spark, tmp_path):
+    """Null and repeated doc_ids of different texts: decontaminate drops only
+    the contaminated rows, the n-gram join all of a component but one."""
+    text = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    near = lambda c, end: text(c) + " " + end
+    rows = [(1, text("a")), (1, near("b", "x")), (1, near("b", "y")), (2, text("b")), (2, text("c")), (3, text("d")),
+            (3, near("a", "z")), (None, text("e")), (None, near("e", "x")), (None, text("f")), (None, near("d", "x")),
+            (5, text("g")), (5, text("g")), (6, near("g", "x")), (None, None), (7, ""), (8, " ")]
+    d = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, digest string")
+
+    spark.createDataFrame([(1, text("b", 12)), (2, text("e", 12))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = decontaminate.stage(spark, d, str(tmp_path))
+    assert clean.columns == d.columns
+    bad = lambda t: (t or "").startswith(("b0 ", "e0 "))
+    assert by_id(clean.select("doc_id", "text").collect()) == by_id([r for r in rows if not bad(r[1])])
+
+    left = ngram_join.stage(spark, d, str(tmp_path))
+    assert left.columns == d.columns
+    got = [tuple(r)[:2] for r in left.collect()]
+    families = lambda rs: sorted((t or " ")[0] for _, t in rs)
+    assert families(got) == sorted([*"abcdefg", " ", " ", " "]) and set(got) <= set(rows)
+    assert {(1, text("a")), (2, text("c")), (3, text("d")), (None, text("f")), (5, text("g"))} <= set(got)
+    assert [i for i, t in got if (t or "").startswith("b0")] == [1]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "decontaminate", "packing"]

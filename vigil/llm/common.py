@@ -7,7 +7,7 @@ import contextlib
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ensure_session
@@ -59,8 +59,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in ``dropped`` (null matches null);
-    no column is added, so extra columns of any name pass through."""
-    gone = broadcast_if_small(dropped.select(F.col("doc_id").alias("_gone")).distinct(), 16)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def sha256_digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def text_digest(docs: DataFrame) -> Column:
+    """Digest of a row's text; null counts as empty."""
+    return sha256_digest(F.coalesce(docs["text"], F.lit("")))
+
+
+def without(docs: DataFrame, dropped: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text digest are not together in
+    ``dropped`` (a null doc_id matches null), or with ``left_semi`` those that
+    are; no column is added, so extra columns of any name pass through."""
+    gone = dropped.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    gone = broadcast_if_small(gone, 80)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (text_digest(docs) == gone["_digest"]), how)

@@ -26,11 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import broadcast_if_small, documents, without, write_table
+from .common import broadcast_if_small, documents, text_digest, without, write_table
 
 SPAN = 10
 GRAM = 5
@@ -100,9 +100,9 @@ def in_table(table: np.ndarray, hashes: np.ndarray, bits: int = TABLE_BITS) -> n
     return (table[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
 
 
-def candidates(docs: DataFrame, table, short, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_words, and its fingerprints that may be
-    in the benchmark, each with the words around it."""
+def candidates(docs: DataFrame, table, short, span: int = SPAN, k: int = GRAM, digest: Column | None = None) -> DataFrame:
+    """One row per document: doc_id, digest, n_words, and its fingerprints that
+    may be in the benchmark, each with the words around it."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches):
@@ -124,20 +124,21 @@ def candidates(docs: DataFrame, table, short, span: int = SPAN, k: int = GRAM) -
                         hi = min(first[d + 1], p + span) if n == k else p + n
                         found[d].append({"hash": int(grams[p].view(np.int64)), "k": n, "pos": int(p - first[d]), "first": int(lo - first[d]),
                                          "words": [low[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[lo:hi], ends[lo:hi], strict=True)]})
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first), pa.int64()), pa.array(found, _FOUND)],
-                                                 names=["doc_id", "n_words", "found"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scan, "doc_id long, n_words long, found array<struct<hash: long, k: int, pos: int, first: int, words: array<string>>>")
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(first), pa.int64()), pa.array(found, _FOUND)],
+                                                 names=["doc_id", "digest", "n_words", "found"])
+    digest = F.lit(None).cast("binary") if digest is None else digest
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), docs["text"]).mapInArrow(
+        scan, "doc_id long, digest binary, n_words long, found array<struct<hash: long, k: int, pos: int, first: int, words: array<string>>>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM, digest: Column | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, items (sorted item ids) and
-    contaminated."""
+    contaminated; with ``digest``, that column too."""
     items = item_table(benchmark, span, k)
     # lengths of the items that are shorter than a window: fewer than ``span`` numbers
     short = tuple(r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect())
     table = bit_table(items)
-    rows = write_table(candidates(docs, table, short, span, k).withColumn("row", F.monotonically_increasing_id()), "winnowed")
+    rows = write_table(candidates(docs, table, short, span, k, digest).withColumn("row", F.monotonically_increasing_id()), "winnowed")
     prints = items.select("item_id", "words", F.explode("prints").alias("p")).select(
         "item_id", F.col("words").alias("item_words"), F.col("p.hash").alias("hash"), F.col("p.k").alias("k"), F.col("p.pos").alias("item_pos"))
     prints = broadcast_if_small(prints, 2048)
@@ -158,8 +159,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
              .groupBy("row").agg(F.count(F.lit(1)).alias("n_hit")))
     found = hits.groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     none = F.array().cast("array<string>")
-    return (rows.select("row", "doc_id", "n_words").join(words, "row", "left").join(found, "row", "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    extra = [] if digest is None else ["digest"]
+    return (rows.select("row", "doc_id", "n_words", *extra).join(words, "row", "left").join(found, "row", "left")
+            .select("doc_id", *extra, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated")))
 
 
@@ -171,9 +173,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without those that hold a benchmark window."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, write_table(found.where("contaminated").select("doc_id"), "contaminated"))
+    """Documents without those that hold a benchmark window; rows that share
+    a doc_id (or have none) are told apart by their text."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), digest=text_digest(docs))
+    return without(docs, write_table(found.where("contaminated").select("doc_id", "digest"), "contaminated"))
 
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

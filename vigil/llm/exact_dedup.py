@@ -25,16 +25,12 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, scratch, settings, write_table
+from .common import broadcast_if_small, documents, scratch, settings, sha256_digest, write_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROW = ("row long, doc_id long, digest binary, locator string")
 
 
-def sha256_digest(text: Column) -> Column:
-    return F.unhex(F.sha2(text, 256))
-
-
 def digest_rows(docs: DataFrame, digest=sha256_digest, locator: Column | None = None) -> DataFrame:
     """One row per document without its text."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -44,11 +44,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import broadcast_if_small, documents, without, write_table
+from .common import broadcast_if_small, documents, text_digest, without, write_table
 from .components import components
 
 N = 5
@@ -124,19 +124,20 @@ def prefix_len(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ steps
-def sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """Per document: node, set size, signature, and the signature folded."""
+def sets(docs: DataFrame, n: int = N, digest: Column | None = None) -> DataFrame:
+    """Per document: digest, node, set size, signature, and the signature folded."""
     def scan(batches):
         for b in batches:
             for rows, val, first in doc_sets(b, n):
                 signs = [signature(val[x:y]) for x, y in zip(first[:-1], first[1:], strict=True)]
                 fold = np.concatenate([folded(x) for x in signs])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(node_ids(val, first)), pa.array(np.diff(first).astype(np.int32)), pa.array(signs, pa.binary()),
+                    [rows.column(0), rows.column(1), pa.array(node_ids(val, first)), pa.array(np.diff(first).astype(np.int32)), pa.array(signs, pa.binary()),
                      tb.list_array(pa.array(fold), np.arange(len(signs) + 1) * FOLD)],
-                    names=["doc_id", "node", "size", "sign", "fold"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scan, "doc_id long, node long, size int, sign binary, fold array<long>")
+                    names=["doc_id", "digest", "node", "size", "sign", "fold"])
+    digest = F.lit(None).cast("binary") if digest is None else digest
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), docs["text"]).mapInArrow(
+        scan, "doc_id long, digest binary, node long, size int, sign binary, fold array<long>")
 
 
 def pack(tokens: np.ndarray, counts: np.ndarray) -> bytes:
@@ -340,17 +341,25 @@ def _crowded(rows: DataFrame, found: DataFrame) -> bool:
     return n is not None and pairs > CROWDED * n and 1000 * found.count() > n
 
 
-def ngram_components(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id."""
-    index = write_table(sets(docs, n), "sets")
+def placed(docs: DataFrame, percent: int = PERCENT, n: int = N, digest: Column | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, digest, size, and of its component the
+    smallest doc_id (component_id) and the row that comes first by doc_id
+    (null last), then digest; both null for an empty set."""
+    index = write_table(sets(docs, n, digest), "sets")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     nodes = index.where("size > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "sign", "fold")))
+        F.min("doc_id").alias("doc_id"), F.min(place).alias("row"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "sign", "fold")))
     nodes = write_table(nodes, "nodes")
     root = components(links(docs, nodes, percent, n))
-    nodes = nodes.select("node", F.col("doc_id").alias("least")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(ids, "root").select("node", "component_id")
-    return index.select("doc_id", "node", "size").join(nodes, "node", "left").select(
+    nodes = nodes.select("node", "row").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = nodes.groupBy("root").agg(F.min("row").alias("row"))
+    nodes = nodes.drop("row").join(firsts, "root").select("node", F.col("row.doc_id").alias("component_id"), F.col("row.digest").alias("first_digest"))
+    return index.select("doc_id", "digest", "node", "size").join(nodes, "node", "left").drop("node")
+
+
+def ngram_components(docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id."""
+    return placed(docs, percent, n).select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -361,10 +370,17 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id
-    (rows without doc_id stay)."""
-    found = ngram_components(docs)
-    return without(docs, write_table(found.where("component_id < doc_id").select("doc_id"), "near-copies"))
+    """One row of each component stays: the one with the smallest doc_id (a row
+    without doc_id only if none has one), of several the one whose text has the
+    smallest digest. Rows with an empty set stay."""
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("digest") == F.col("first_digest"))
+    found = write_table(placed(docs, digest=text_digest(docs)).where("size > 0").select("doc_id", "digest", first.alias("kept")), "near-verdict")
+    left = without(docs, found.where("NOT kept"))
+    # the row that stays may itself be repeated (same doc_id and text)
+    twice = write_table(found.where("kept").groupBy("doc_id", "digest").count().where("count > 1"), "near-repeated")
+    if twice.isEmpty():
+        return left
+    return without(left, twice).unionByName(without(left, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 OP7_SQL = r"""
