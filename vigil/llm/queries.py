@@ -3,8 +3,8 @@ their SQL where SQL can express them on whole tables."""
 
 from __future__ import annotations
 
-from . import (compression, decontaminate, exact_dedup, langid, ngram_join, packing, quotes, revisits,
-               sentence_dedup, toxicity)
+from . import (compression, decontaminate, exact_dedup, langid, lattice, ngram_join, packing, quotes, resampling,
+               revisits, sentence_dedup, toxicity, vector_codes)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_quality": compression.op8_quality,
     "op9_revisits": revisits.op9_revisits,
     "op10_quotes": quotes.op10_quotes,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_lattice": lattice.op12_lattice,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE = {
@@ -25,4 +28,6 @@ ORACLE = {
     "op7_ngram_join": ngram_join.OP7_SQL,
     "op9_revisits": revisits.OP9_SQL,
     "op10_quotes": quotes.OP10_SQL,
+    "op12_lattice": lattice.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
