@@ -50,7 +50,9 @@ COSINE = 0.98
 TABLES = 6
 BLOCKS = 2
 PROBES = 6
-SCALE = 5.0
+#: Size of the lattice's cells: a unit vector's projections are stretched by
+#: this and the root of its length, so that near vectors differ alike in all.
+SCALE = 0.625
 #: Rows of a cell that one block holds on average.
 BLOCK = 1024
 SEED = 42
@@ -109,7 +111,7 @@ def cells(u: np.ndarray, label: np.ndarray, table: int) -> np.ndarray:
     """(rows, 1 + PROBES) cell numbers of unit vectors, the home cell first."""
     q, shift, factor = _directions(u.shape[1], table)
     # both factors are whole numbers below 2^21, so the products add up exactly
-    y = (np.rint(u * 2 ** 20) @ q) * (SCALE / 2 ** 40) + shift
+    y = (np.rint(u * 2 ** 20) @ q) * (SCALE * max(u.shape[1], 8 * BLOCKS) ** 0.5 / 2 ** 40) + shift
     more, code = np.zeros((len(u), 1)), np.zeros((len(u), 1), np.uint64)
     for b in range(BLOCKS):
         part = y[:, 8 * b:8 * b + 8]
