@@ -197,8 +197,8 @@ def test_packing_round_trip(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(docs.where("doc_id IS NOT NULL AND doc_id > 2").selectExpr("doc_id + 1000000 AS doc_id", "text"))
+    added = spark.createDataFrame([(2_000_001, "a <|endoftext|> b"), (2_000_002, "<|endoftext|><|endoftext|>x <|endoftext| >")], "doc_id long, text string")
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(docs.where("doc_id IS NOT NULL AND doc_id > 2").selectExpr("doc_id + 1000000 AS doc_id", "text")).unionByName(added)
     texts = dict(table.collect())
     rows = packing.pack(table).collect()
     pieces, filled = {}, {}
@@ -345,3 +345,31 @@ def test_pipeline(spark):
     kept = exact_dedup.stage(spark, docs, SF)
     assert kept.columns == docs.columns and kept.count() == docs.select("text").distinct().count()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_regular_patterns_of_bytes_do_not_collide():
+    """A Thue-Morse word and its complement have equal polynomial hashes
+    modulo 2^64 whatever the base."""
+    from vigil.llm import textbytes as tb
+    for bits in (10, 12, 20):
+        odd = np.bitwise_count(np.arange(1 << bits, dtype=np.uint32)) & 1
+        both = np.concatenate([97 + odd, 98 - odd]).astype(np.uint8)
+        n = 1 << bits
+        for seed in (0, 1):
+            h = tb.span_hashes(both, np.array([0, n]), np.array([n, 2 * n]), seed)
+            assert h[0] != h[1]
+            # the same range alone, whatever block it falls into
+            assert (tb.span_hashes(both[n:], np.array([0]), np.array([n]), seed) == h[1:]).all()
+    x = np.arange(3000, dtype=np.uint64) * np.uint64(1 << 40)
+    a, z = np.arange(0, 2900, 7), np.arange(0, 2900, 7) + np.arange(415) % 50
+    assert (tb.span_hashes(x, a, z) == np.concatenate([tb.span_hashes(x, a[i:i + 1], z[i:i + 1]) for i in range(len(a))])).all()
+
+
+def test_words_of_regular_patterns_stay_apart(spark):
+    odd = np.bitwise_count(np.arange(1024, dtype=np.uint32)) & 1
+    one, two = (bytes((97 + b if flip else 98 - b) for b in odd.tolist()).decode() for flip in (True, False))
+    text = lambda w: f"{w} p q r s t u v. Then {w} a b c d e f g h i j k l m n o p q r s t u v w x y."
+    d = spark.createDataFrame([(1, f"{one} p q r s"), (2, f"{two} p q r s")], "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.ngram_components(d).collect()} == {(1, 1, 1), (2, 1, 2)}
+    e = spark.createDataFrame([(1, text(one)), (2, text(two)), (3, text(one))], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in sentence_dedup.sentence_dedup(e).collect()} == {(1, 0), (2, 0), (3, 2)}

@@ -24,6 +24,8 @@ piece.
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import zlib
 from array import array
 from bisect import insort
@@ -43,16 +45,22 @@ END_ID = 0
 BLOCK = 128  # windows that one differencing divides
 
 
+@functools.lru_cache(maxsize=2)
 def byte_bpe(path: str | None = None):
-    """text -> ids of the byte-level BPE. The vocabulary file for ``tiktoken``
-    holds the same merges and pattern as ``byte_bpe_50k.json`` does for
-    ``tokenizers``, and gives the same ids (tested) in a third of the time."""
+    """text -> ids of the byte-level BPE in ``path`` (a JSON file for
+    ``tokenizers``), its added tokens included. The file for ``tiktoken`` beside
+    it holds the same merges and pattern and gives the same ids (tested) in a
+    third of the time."""
     import public_tokenizers
     import tiktoken
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+    path = str(path or public_tokenizers.path("byte_bpe_50k.json"))
+    with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return bpe.encode_ordinary
+    with open(path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    bpe = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    # a text is cut at the added tokens first, as tokenizers does by default
+    return functools.partial(bpe.encode, allowed_special="all")
 
 
 def differencing(sizes, k: int) -> list[list[int]]:

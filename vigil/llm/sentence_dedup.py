@@ -104,14 +104,6 @@ def spans(begin: np.ndarray, text: np.ndarray, sentences: int, words: int):
     return both // max(n, 1), both % max(n, 1)
 
 
-def range_hashes(h: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Hash of the words a..z-1 of each range."""
-    p, q = tb._power_tables(len(h) + 1)
-    run = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * p[:len(h)], out=run[1:])
-    return tb.mix64((run[z] - run[a]) * q[a] ^ ((z - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-
-
 def text_sentences(batch, column="text"):
     for rows, data, off in tb.text_chunks(batch, column):
         starts, ends, first = tb.word_spans(data, off, tb.NON_SPACE)
@@ -124,14 +116,12 @@ def span_table(docs: DataFrame, sentences: int, words: int) -> DataFrame:
             for rows, data, _, starts, ends, (begin, text) in text_sentences(b):
                 if len(begin) < 2:
                     continue
-                h = tb.span_hashes(data, starts, ends)
                 x, y = spans(begin, text, sentences, words)
                 a, z = begin[x], begin[y + 1]
                 own = np.searchsorted(text, x, "right") - 1
                 at = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range_hashes(h, a, z).view(np.int64)),
-                     pa.array(range_hashes(tb.mix64(h ^ np.uint64(0xA0761D6478BD642F)), a, z).view(np.int64)),
+                    [*(pa.array(tb.span_hashes(tb.span_hashes(data, starts, ends, seed), a, z, seed).view(np.int64)) for seed in (0, 1)),
                      rows.column(0).take(at), rows.column(1).take(at),
                      pa.array((x - text[own]).astype(np.int32)), pa.array((y - text[own]).astype(np.int32))],
                     names=["h1", "h2", "doc_id", "version", "first", "last"])

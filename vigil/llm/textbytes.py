@@ -3,12 +3,15 @@
 All text kernels of this package start from the same three steps: cut an Arrow
 batch into chunks of bounded size, mark the bytes that belong to words, and
 hash byte ranges. Everything is numpy over whole chunks; no Python loop runs
-per word. A word hash is a polynomial over its bytes modulo 2^64, read off a
-running sum, then mixed; equal words have equal hashes in every task.
+per word. A word hash multiplies each byte with a pseudo-random number of its
+own place in the word and adds up modulo 2^64, then mixes; so which words
+collide depends on those numbers, not on regular patterns, and equal words have
+equal hashes in every task. Other seeds give independent hashes.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +20,6 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
 _BLOCK = 512 << 10
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
 #: A-Z to a-z, other bytes unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -93,33 +92,45 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int):
-    global _powers
-    if len(_powers[0]) < n:
-        n = max(n, _BLOCK + (1 << 16))
-        p, q = np.full(n, _BASE, np.uint64), np.full(n, _INV, np.uint64)
-        p[0] = q[0] = 1
-        _powers = np.cumprod(p, dtype=np.uint64), np.cumprod(q, dtype=np.uint64)
-    return _powers
+@functools.lru_cache(maxsize=4)
+def _factors(seed: int) -> np.ndarray:
+    """The numbers of the first ``_BLOCK`` places."""
+    return _factors_at(0, _BLOCK, seed)
+
+
+def _factors_at(a: int, z: int, seed: int) -> np.ndarray:
+    return mix64(np.arange(a + 1, z + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range (ranges ascend by start). Work goes in
-    blocks of bytes, so memory beyond the result stays bounded."""
-    out = np.empty(len(starts), np.uint64)
+def range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Sum modulo 2^64 of each range's values (plus one) times the numbers of
+    their places. Work goes in blocks, so memory beyond the result is bounded."""
+    out = np.zeros(len(starts), np.uint64)
+    size = ends - starts
+    before = np.concatenate([[0], np.cumsum(size)])
+    factors = _factors(seed)
     i = 0
     while i < len(starts):
-        a = starts[i]
-        j = max(i + 1, int(np.searchsorted(starts, a + _BLOCK)))
-        z = int(ends[i:j].max())
-        p, q = _power_tables(z - a + 1)
-        run = np.zeros(z - a + 1, np.uint64)
-        np.cumsum((data[a:z].astype(np.uint64) + np.uint64(1)) * p[:z - a], out=run[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (run[e] - run[s]) * q[s]
-        out[i:j] ^= (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        j = max(i + 1, int(np.searchsorted(before, before[i] + _BLOCK, "right")) - 1)
+        if size[i] > _BLOCK:  # one long range, piece by piece
+            for k in range(0, int(size[i]), _BLOCK):
+                piece = values[starts[i] + k:min(starts[i] + k + _BLOCK, ends[i])].astype(np.uint64) + np.uint64(1)
+                out[i] += (piece * _factors_at(k, k + len(piece), seed)).sum(dtype=np.uint64)
+            i += 1
+            continue
+        first = before[i:j] - before[i]
+        place = np.arange(before[j] - before[i]) - np.repeat(first, size[i:j])
+        terms = (values[np.repeat(starts[i:j], size[i:j]) + place].astype(np.uint64) + np.uint64(1)) * factors[place]
+        run = np.zeros(len(terms) + 1, np.uint64)
+        np.cumsum(terms, out=run[1:])
+        out[i:j] = run[first + size[i:j]] - run[first]
         i = j
-    return mix64(out)
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each range of bytes (or of other numbers)."""
+    return mix64(range_sums(data, starts, ends, seed) ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
