@@ -54,7 +54,9 @@ PROBES = 6
 #: this and the root of its length, so that near vectors differ alike in all.
 SCALE = 0.625
 #: Rows of a cell that one block holds on average.
-BLOCK = 1024
+BLOCK = 512
+#: Rows of small groups that are compared in one go.
+TOGETHER = 4096
 SEED = 42
 
 _CELLS = "cell long, node binary, home boolean"
@@ -200,20 +202,26 @@ def first_meeting(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.where(a[row, at], mine[row, at, 0], other[row, at, 0])
 
 
-def group_links(u, label, copies, home, side, cell, cosine: float):
-    """Links inside one group of a cell, whose rows are in the order of their
-    nodes: for each row the copies it links with (counted here and not in an
-    earlier cell) and the least row that is reached, itself if none."""
+def group_links(u, label, copies, home, cell, side, group, cosine: float):
+    """Links inside groups of rows that stand together and in the order of
+    their nodes: for each row the copies it links with (those counted here and
+    not in an earlier cell) and the least row that is reached, itself if none.
+    ``side`` is the row's block, or -1 in a group of one block."""
     n = len(u)
     links, root = np.zeros(n, np.int64), np.arange(n)
-    lives = np.flatnonzero(home)
-    near = u[lives] @ u.T >= cosine
-    if side is not None:
-        near &= side[lives][:, None] != side[None, :]
-    i, j = np.nonzero(near)
-    i = lives[i]
-    keep = (i != j) & (~home[j] | (i < j))
-    a, b = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+    found = [np.zeros((2, 0), np.int64)]
+    for s, e in itertools.pairwise([0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), n]):
+        lives = s + np.flatnonzero(home[s:e])
+        if e - s < 2 or not len(lives):
+            continue
+        near = u[lives] @ u[s:e].T >= cosine
+        if side[s] >= 0:  # two blocks meet: only pairs across them
+            near &= side[lives][:, None] != side[None, s:e]
+        i, j = np.nonzero(near)
+        i, j = lives[i], j + s
+        keep = (i != j) & (~home[j] | (i < j))
+        found.append(np.stack([np.minimum(i, j)[keep], np.maximum(i, j)[keep]]))
+    a, b = np.concatenate(found, axis=1)
     if not len(a):
         return links, root
     while True:  # least row along the links, until nothing changes
@@ -231,7 +239,7 @@ def group_links(u, label, copies, home, side, cell, cosine: float):
     sign = np.stack([cells(u[used], label[used], t) for t in range(TABLES)], axis=1)
     for k in range(0, len(a), 1 << 14):
         x, y = a[k:k + (1 << 14)], b[k:k + (1 << 14)]
-        here = first_meeting(sign[place[x]], sign[place[y]]) == cell
+        here = first_meeting(sign[place[x]], sign[place[y]]) == cell[x]
         np.add.at(links, x[here], copies[y[here]])
         np.add.at(links, y[here], copies[x[here]])
     return links, root
@@ -239,45 +247,44 @@ def group_links(u, label, copies, home, side, cell, cosine: float):
 
 def links_of(groups: DataFrame, cosine: float) -> DataFrame:
     """Per group and linking node: node, root (least node reached) and links.
-    ``groups`` is sorted within its partitions by cell, pair of blocks, node."""
+    ``groups`` is sorted within its partitions by cell, pair of blocks, node.
+    Groups are compared some at a time, each with itself only."""
+    def linked(held):
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        col = lambda c: b.column(b.schema.get_field_index(c))
+        number = lambda c: col(c).to_numpy(zero_copy_only=False)
+        cell, left, right = number("cell"), number("left"), number("right")
+        new = np.concatenate([[False], (cell[1:] != cell[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+        group, side = np.cumsum(new), np.where(left != right, number("block"), -1)
+        links, root = np.zeros(len(cell), np.int64), np.arange(len(cell))
+        for at, u in _matrices(b):  # a cell's hash holds the length: hardly ever two in a group
+            links[at], r = group_links(u, *(number(c)[at] for c in ("label", "copies", "home")), cell[at], side[at], group[at], cosine)
+            root[at] = at[r]
+        hit = np.flatnonzero((links > 0) | (root != np.arange(len(root))))
+        return pa.RecordBatch.from_arrays([col("node").take(pa.array(hit)), col("node").take(pa.array(root[hit])), pa.array(links[hit])],
+                                          names=["node", "root", "links"])
+
     def compare(batches):
         held: list[pa.RecordBatch] = []
-
-        def close():
-            t = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            if t.num_rows < 2:
-                return None
-            b = t.to_batches()[0]
-            col = lambda c: b.column(b.schema.get_field_index(c))
-            home = col("home").to_numpy(zero_copy_only=False)
-            if not home.any():
-                return None
-            cell, block = col("cell")[0].as_py(), col("block").to_numpy()
-            side = block if col("left")[0].as_py() != col("right")[0].as_py() else None
-            links, root = np.zeros(len(home), np.int64), np.arange(len(home))
-            for at, u in _matrices(b):  # rows of one length (a cell's hash holds it)
-                links[at], r = group_links(u, col("label").to_numpy()[at], col("copies").to_numpy()[at], home[at],
-                                           None if side is None else side[at], cell, cosine)
-                root[at] = at[r]
-            hit = np.flatnonzero((links > 0) | (root != np.arange(len(root))))
-            if not len(hit):
-                return None
-            return pa.RecordBatch.from_arrays([col("node").take(pa.array(hit)), col("node").take(pa.array(root[hit])), pa.array(links[hit])],
-                                              names=["node", "root", "links"])
-        last = None
+        rows, last = 0, None
         for b in batches:
             if not b.num_rows:
                 continue
             key = np.stack([b.column(b.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("cell", "left", "right")], axis=1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for s, e in itertools.pairwise([0, *cuts.tolist(), b.num_rows]):
-                if last is not None and tuple(key[s]) != last and (out := close()) is not None:
-                    yield out
-                last = tuple(key[s])
-                held.append(b.slice(s, e - s))
-        if held and (out := close()) is not None:
-            yield out
+            if last is not None and (key[0] != last).any():
+                cuts = np.concatenate([[0], cuts])
+            start = 0
+            for c in cuts.tolist():  # a group ends before row c
+                if rows + c - start >= TOGETHER:
+                    if c > start:
+                        held.append(b.slice(start, c - start))
+                    yield linked(held)
+                    held, rows, start = [], 0, c
+            held.append(b.slice(start))
+            rows, last = rows + b.num_rows - start, key[-1]
+        if held:
+            yield linked(held)
     return groups.mapInArrow(compare, "node binary, root binary, links long")
 
 

@@ -115,7 +115,7 @@ def range_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
         if size[i] > _BLOCK:  # one long range, piece by piece
             for k in range(0, int(size[i]), _BLOCK):
                 piece = values[starts[i] + k:min(starts[i] + k + _BLOCK, ends[i])].astype(np.uint64) + np.uint64(1)
-                out[i] += (piece * _factors_at(k, k + len(piece), seed)).sum(dtype=np.uint64)
+                out[i:i + 1] += (piece * _factors_at(k, k + len(piece), seed)).sum(dtype=np.uint64)
             i += 1
             continue
         first = before[i:j] - before[i]
