@@ -22,31 +22,34 @@ def group_quantiles(df: DataFrame, keys, value, probs, out: str = "_q", ranges:
     for each of ``probs``. Nulls do not count; a group without values is absent."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     value = F.col(value) if isinstance(value, str) else value
-    x = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # everything below reads these counts: the input is evaluated once
+    counts = (df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+                .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)]) if ranges > 1 else F.array(F.lit(1.0))
-    cuts = x.groupBy(*keys).agg(F.percentile_approx("_v", at, 10_000).alias("_cuts"))
-    counts = (x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-               .join(cuts, keys)
-               .withColumn("_r", F.size(F.filter("_cuts", lambda q: q < F.col("_v")))).drop("_cuts"))
-
-    # totals per range: at most ``ranges`` rows per group
-    group = Window.partitionBy(*keys)
-    before = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    per = (counts.groupBy(*keys, "_r").agg(F.sum("_c").alias("_m"))
-                 .withColumn("_n", F.sum("_m").over(group))
-                 .withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0))))
-    # a quantile lies at, or between, two neighbouring ranks
-    want = (per.select("*", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("_i", "_p"))
-               .withColumn("_at", F.col("_p") * (F.col("_n") - 1))
-               .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
-               .where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_m")))
-               .select(*keys, "_r", "_i", (F.col("_at") - F.floor("_at")).alias("_frac"), (F.col("_rank") - F.col("_off")).alias("_within")))
-    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    hit = (counts.withColumn("_end", F.sum("_c").over(inside)).join(want, [*keys, "_r"])
-                 .where((F.col("_within") < F.col("_end")) & (F.col("_within") >= F.col("_end") - F.col("_c"))))
-    q = hit.groupBy(*keys, "_i").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_frac").alias("_frac"))
-    q = q.withColumn("_x", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
-    return q.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).getField("_x").alias(out))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", at, 10_000).alias("_cuts"), F.sum("_c").alias("_n"))
+    counts = counts.join(cuts, keys).withColumn("_r", F.size(F.filter("_cuts", lambda q: q < F.col("_v")))).drop("_cuts")
+
+    # a quantile lies at, or between, two neighbouring ranks; each range (at
+    # most ``ranges`` rows per group) takes those that fall into it
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    places = F.transform(F.array(*[F.lit(float(p)) for p in probs]), lambda p, i: F.struct(i.alias("i"), (p * (F.col("_n") - 1)).alias("at")))
+    within = lambda rank, off, size: (rank >= off) & (rank < off + size)
+    per = (counts.groupBy(*keys, "_r").agg(F.sum("_c").alias("_m"), F.first("_n").alias("_n"))
+                 .withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+                 .withColumn("_want", F.filter(places, lambda w: within(F.floor(w["at"]), F.col("_off"), F.col("_m")) | within(F.ceil(w["at"]), F.col("_off"), F.col("_m")))))
+    per = per.where(F.size("_want") > 0).select(*keys, "_r", "_off", "_want")
+    running = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    low = lambda w: within(F.floor(w["at"]), F.col("_start"), F.col("_c"))
+    high = lambda w: within(F.ceil(w["at"]), F.col("_start"), F.col("_c"))
+    end = lambda e: lambda w: F.struct(w["i"].alias("i"), F.lit(e).alias("end"), (w["at"] - F.floor(w["at"])).alias("frac"), F.col("_v").alias("v"))
+    hit = (counts.drop("_n").join(per, [*keys, "_r"])
+                 .withColumn("_start", F.col("_off") + F.sum("_c").over(running) - F.col("_c"))
+                 .select(*keys, F.concat(F.transform(F.filter("_want", low), end(0)), F.transform(F.filter("_want", high), end(1))).alias("_w"))
+                 .where(F.size("_w") > 0))
+    pairs = hit.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("_w"))).alias("_p"))
+    lows, highs = F.filter("_p", lambda w: w["end"] == 0), F.filter("_p", lambda w: w["end"] == 1)
+    between = F.zip_with(lows, highs, lambda x, y: x["v"] + (y["v"] - x["v"]) * x["frac"])
+    return pairs.select(*keys, between.alias(out))
 
 
 def group_median(df: DataFrame, keys, value, out: str) -> DataFrame:
