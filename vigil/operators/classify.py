@@ -1,195 +1,166 @@
-"""Supervised classifiers on MLlib.
+"""Supervised classifiers.
 
-The feature table is assembled into a vector, min-max scaled with the scaler
-fitted on the training rows, and one independent estimator is fitted per
-target (machine status, failure type). Every fit is an MLlib job (tree
-aggregation on the executors); nothing is collected to the driver except the
-fitted model objects.
+``fit_predict`` fits one independent model per target (machine status, failure
+type) and predicts the test rows. Boosting, AdaBoost and the neural network are
+``boosting`` and ``neural``, which train all targets in the same passes over
+the data; the forest is MLlib's. Nothing is collected to the driver except
+models and bounded sums.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from . import boosting, neural, stats
 
 SEED = 123
 
 
-def prepare(df: DataFrame, features, split_col: str = "split"):
-    """Assemble + scale (fit on train rows). Returns (train, test) with a
-    ``features`` vector column; both persisted for the iterative fits."""
+def assembled(train: DataFrame, test: DataFrame, features):
+    """(train, test) with a ``features`` vector, min-max scaled by the training
+    rows; the training rows are kept for the passes of a fit."""
     asm = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")
     sc = MinMaxScaler(inputCol="_raw", outputCol="features")
-    # the scaler fit, the label-code lookups and the two persisted outputs
-    # all read the feature table: compute it once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    train = df.where(F.col(split_col) == "train")
     model = Pipeline(stages=[asm, sc]).fit(train)
-    out = model.transform(df).drop("_raw")
-    # iterative fits make one pass per tree level / iteration: the training
-    # set needs at least one partition per core (a few large input files can
-    # otherwise leave most cores idle); a larger input keeps its partitioning
-    par = df.sparkSession.sparkContext.defaultParallelism
-    tr = out.where(F.col(split_col) == "train")
+    tr, te = (model.transform(df).drop("_raw") for df in (train, test))
+    # a fit makes one pass per tree level: the training set needs at least one
+    # partition per core; a larger input keeps its partitioning
+    par = train.sparkSession.sparkContext.defaultParallelism
     if tr.rdd.getNumPartitions() < par:
         tr = tr.repartition(par)
-    tr = tr.persist(StorageLevel.MEMORY_AND_DISK)
-    te = out.where(F.col(split_col) == "test").persist(StorageLevel.MEMORY_AND_DISK)
-    tr.count(), te.count()
-    df.unpersist()
-    return tr, te
+    return tr.persist(StorageLevel.MEMORY_AND_DISK), te
 
 
-def make_estimator(kind: str, label: str, n_classes: int, params: dict | None = None):
+def _forest(train: DataFrame, test: DataFrame, features, classes: dict, p: dict) -> DataFrame:
+    tr, out = assembled(train, test, features)
+
+    def fit(label):
+        return RandomForestClassifier(featuresCol="features", labelCol=label, seed=SEED, maxDepth=int(p.get("max_depth", 8)),
+                                      numTrees=int(p.get("n_estimators", 80)), featureSubsetStrategy=str(p.get("max_features", "0.9")), cacheNodeIds=True).fit(tr)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        models = dict(zip(classes, pool.map(fit, classes), strict=True))
+    for label, m in models.items():
+        out = m.transform(out).withColumn(f"pred_{label}", F.col("prediction").cast("int")).drop("prediction", "rawPrediction", "probability")
+    tr.unpersist()
+    return out.drop("features")
+
+
+def fit_predict(train: DataFrame, test: DataFrame, kind: str, classes: dict[str, int], features, keys, params: dict | None = None) -> DataFrame:
+    """``test`` with ``pred_<target>`` for every target of ``classes`` (column
+    -> number of class codes). ``keys`` identify a row; ``kind`` is gbt,
+    adaboost, forest or mlp, with ``params`` named as in the searches."""
     p = dict(params or {})
-    common = dict(featuresCol="features", labelCol=label, seed=SEED)
     if kind == "gbt":
-        est = GBTClassifier(maxDepth=int(p.get("max_depth", 3)), maxIter=int(p.get("n_estimators", 20)),
-                            stepSize=float(p.get("learning_rate", 0.1)),
-                            subsamplingRate=float(p.get("subsample", 1.0)),
-                            featureSubsetStrategy=str(p.get("max_features", "all")), cacheNodeIds=True,
-                            **common)
-        # GBT is binary in MLlib: one-vs-rest for multiclass targets
-        # the per-class fits are independent jobs: run them concurrently
-        return est if n_classes <= 2 else OneVsRest(classifier=est, featuresCol="features", labelCol=label,
-                                                    parallelism=min(n_classes, 8))
-    if kind == "forest":
-        return RandomForestClassifier(maxDepth=int(p.get("max_depth", 8)), numTrees=int(p.get("n_estimators", 80)),
-                                      featureSubsetStrategy=str(p.get("max_features", "0.9")),
-                                      cacheNodeIds=True, **common)
-    if kind == "tree":
-        return DecisionTreeClassifier(maxDepth=int(p.get("max_depth", 1)), **common)
+        model = boosting.fit_boosting(train, features, classes, keys, rounds=int(p.get("n_estimators", 80)), depth=int(p.get("max_depth", 3)),
+                                      rate=float(p.get("learning_rate", 0.1)), subsample=float(p.get("subsample", 1.0)), max_features=float(p.get("max_features", 1.0)))
+        return boosting.predict_boosting(model, test)
+    if kind == "adaboost":
+        model = boosting.fit_adaboost(train, features, classes, keys, rounds=int(p.get("n_estimators", 80)), rate=float(p.get("learning_rate", 1.0)))
+        return boosting.predict_adaboost(model, test)
     if kind == "mlp":
-        hidden = list(p.get("hidden", [16]))
-        return MultilayerPerceptronClassifier(layers=[int(p["n_features"])] + hidden + [max(n_classes, 2)],
-                                              solver=str(p.get("solver", "l-bfgs")),
-                                              maxIter=int(p.get("max_iter", 200)),
-                                              stepSize=float(p.get("step", 0.03)), **common)
+        return neural.predict_mlp(neural.fit_mlp(train, features, classes, keys, **p), test)
+    if kind == "forest":
+        return _forest(train, test, features, classes, p)
     raise ValueError(kind)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, kind: str, targets: dict, params: dict | None = None,
-                keys=()) -> DataFrame:
-    """One independent model per target (``MultiOutputClassifier``), fitted
-    concurrently from a small thread pool; returns test predictions
-    ``pred_<target>`` for every target."""
-    def fit(item):
-        label, n_cls = item
-        p = dict(params or {})
-        p.setdefault("n_features", len(train.select("features").first()[0]))
-        if kind == "adaboost":
-            return label, adaboost_fit(train, label, n_cls, p)
-        return label, make_estimator(kind, label, n_cls, p).fit(train)
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        models = dict(pool.map(fit, list(targets.items())))
-    out = test
-    for label, m in models.items():
-        if kind == "adaboost":
-            out = adaboost_predict(out, m, label)
-        else:
-            out = m.transform(out).withColumn(f"pred_{label}", F.col("prediction").cast("int")) \
-                   .drop("prediction", "rawPrediction", "probability")
-    return out
+# -------------------------------------------------------------- search
+def space(kind: str, n_features: int) -> dict[str, tuple]:
+    """Bounds of each family's parameters: (low, high) for numbers (whole ones
+    where both bounds are), a list for choices."""
+    if kind == "gbt":
+        return {"max_depth": (2, 10), "max_features": (0.8, 1.0), "learning_rate": (0.01, 1.0), "n_estimators": (80, 150), "subsample": (0.8, 1.0)}
+    if kind == "adaboost":
+        return {"learning_rate": (0.01, 1.0), "n_estimators": (80, 150)}
+    if kind == "forest":
+        return {"max_depth": (3, 10), "max_features": (0.8, 1.0), "n_estimators": (80, 150)}
+    if kind == "mlp":
+        return {"validation_fraction": (0.0, 0.99), "momentum": (0.0, 1.0), "batch_size": (16, 256), "early_stopping": [True, False],
+                "schedule": ["constant", "invscaling", "adaptive"], "activation": ["identity", "logistic", "tanh", "relu"], "solver": ["lbfgs", "sgd", "adam"],
+                "neurons1": (n_features, int(5 / 2 * n_features)), "neurons2": (int(2 / 3 * n_features), int(3 / 2 * n_features)),
+                "neurons3": (int(1 / 2 * n_features), n_features), "layers": (1, 3), "max_iter": (2000, 5000), "alpha": (0.00001, 0.01)}
+    raise ValueError(kind)
 
 
-# -------------------------------------------------------------- AdaBoost (SAMME)
-def adaboost_fit(train: DataFrame, label: str, n_classes: int, params: dict):
-    """SAMME boosting of depth-1 trees: each round a weighted tree fit, the
-    weighted error as one aggregate, the weight update as a column
-    expression. Weights are renormalised; lineage is cut every 10 rounds."""
-    from ..session import cut_lineage
-    import math
-    rounds = int(params.get("n_estimators", 20))
-    rate = float(params.get("learning_rate", 1.0))
-    k = max(n_classes, 2)
-    df = train.select("features", F.col(label).cast("double").alias("_y")).withColumn("_w", F.lit(1.0))
-    models = []
-    for r in range(rounds):
-        tree = DecisionTreeClassifier(featuresCol="features", labelCol="_y", weightCol="_w",
-                                      maxDepth=int(params.get("max_depth", 1)), seed=SEED + r).fit(df)
-        pred = tree.transform(df).select("features", "_y", "_w", F.col("prediction").alias("_p"))
-        agg = pred.agg(F.sum(F.when(F.col("_p") != F.col("_y"), F.col("_w")).otherwise(0.0)).alias("e"),
-                       F.sum("_w").alias("t")).first()
-        err = agg["e"] / agg["t"] if agg["t"] else 0.0
-        if err >= 1 - 1.0 / k:
-            break
-        err = max(err, 1e-10)
-        alpha = rate * (math.log((1 - err) / err) + math.log(k - 1))
-        models.append((tree, alpha))
-        if err <= 1e-10:
-            break
-        df = pred.select("features", "_y", (F.col("_w") * F.when(F.col("_p") != F.col("_y"),
-                                                                  F.lit(math.exp(alpha))).otherwise(1.0)).alias("_w"))
-        df = df.withColumn("_w", F.col("_w") / F.lit(agg["t"]))
-        if (r + 1) % 10 == 0:
-            df = cut_lineage(df)
-    return {"models": models, "k": k}
-
-
-def adaboost_predict(df: DataFrame, model: dict, label: str) -> DataFrame:
-    """Weighted vote of the rounds: argmax_c sum(alpha * [tree == c])."""
-    k = model["k"]
-    out = df.withColumn("_votes", F.array(*[F.lit(0.0) for _ in range(k)]))
-    for i, (tree, alpha) in enumerate(model["models"]):
-        out = tree.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}") \
-                  .transform(out).drop(f"_r{i}", f"_q{i}")
-        out = out.withColumn("_votes", F.transform("_votes", lambda v, j: v + F.when(
-            F.col(f"_p{i}").cast("int") == j, F.lit(alpha)).otherwise(0.0))).drop(f"_p{i}")
-    best = F.array_max(F.transform("_votes", lambda v, j: F.struct(v.alias("v"), (-j).alias("j"))))
-    return out.withColumn(f"pred_{label}", (-best["j"]).cast("int")).drop("_votes")
+def model_params(kind: str, p: dict) -> dict:
+    """Parameters of ``fit_predict`` from a point of the space."""
+    if kind != "mlp":
+        return {k: str(v) if kind == "forest" and k == "max_features" else v for k, v in p.items()}
+    out = {k: v for k, v in p.items() if k != "layers" and not k.startswith("neurons")}
+    return out | {"hidden": tuple(p[f"neurons{i}"] for i in range(1, p["layers"] + 1))}
 
 
-# -------------------------------------------------------------- search
-def candidates(kind: str, n: int = 25, seed: int = 111, n_features: int = 7) -> list[dict]:
-    """Seeded candidate table within the reference's bounds (20 random +
-    5 more from the same bounds; the guided optimiser is not rebuilt)."""
-    rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        if kind == "gbt":
-            out.append(dict(max_depth=rng.randint(2, 10), max_features=round(rng.uniform(0.8, 1.0), 3),
-                            learning_rate=round(rng.uniform(0.01, 1.0), 3), n_estimators=rng.randint(80, 150),
-                            subsample=round(rng.uniform(0.8, 1.0), 3)))
-        elif kind == "adaboost":
-            out.append(dict(learning_rate=round(rng.uniform(0.01, 1.0), 3), n_estimators=rng.randint(80, 150)))
-        elif kind == "forest":
-            out.append(dict(max_depth=rng.randint(3, 10), max_features=str(round(rng.uniform(0.8, 1.0), 3)),
-                            n_estimators=rng.randint(80, 150)))
+def draw(bounds: dict, rng: random.Random) -> dict:
+    out = {}
+    for name, b in bounds.items():
+        if isinstance(b, list):
+            out[name] = rng.choice(b)
         else:
-            out.append(dict(hidden=[rng.randint(int(1.5 * n_features), int(2.5 * n_features))],
-                            solver=rng.choice(["l-bfgs", "gd"]), step=round(rng.uniform(0.001, 0.1), 4),
-                            max_iter=200))
+            out[name] = rng.randint(*b) if all(isinstance(v, int) for v in b) else rng.uniform(*b)
     return out
 
 
-def search(train: DataFrame, kind: str, label: str, n_classes: int, cands: list[dict],
-           objective_on: DataFrame | None = None, parallelism: int = 4) -> list[dict]:
-    """Each trial = one Spark fit + balanced accuracy of ``label`` on
-    ``objective_on`` (default: the training rows, as the reference).
-    Trials run concurrently from a thread pool; returns one dict per trial."""
-    evaluate_on = objective_on if objective_on is not None else train
-
-    def trial(ip):
-        i, p = ip
-        p = dict(p)
-        p["n_features"] = len(train.select("features").first()[0])
-        if kind == "adaboost":
-            m = adaboost_fit(train, label, n_classes, p)
-            pred = adaboost_predict(evaluate_on, m, label)
-        else:
-            m = make_estimator(kind, label, n_classes, p).fit(train)
-            pred = m.transform(evaluate_on).withColumn(f"pred_{label}", F.col("prediction").cast("int"))
-        met = stats.multiclass_metrics(pred, label, f"pred_{label}").first()
-        return {"trial": i, "params": str(sorted(p.items())), "balanced_accuracy": met["balanced_accuracy"]}
+def _density(x, name, bounds, group) -> float:
+    """How likely ``x`` is among a group's values: normal bumps around them
+    (as wide as a group of that size leaves), or smoothed shares of choices."""
+    b = bounds[name]
+    if isinstance(b, list):
+        return (1 + sum(p[name] == x for p in group)) / (len(b) + len(group))
+    width = (b[1] - b[0]) / max(1.0, math.sqrt(len(group))) / 2 or 1.0
+    return (1e-3 + sum(math.exp(-0.5 * ((x - p[name]) / width) ** 2) for p in group)) / (1 + len(group))
+
+
+def propose(trials: list[tuple[dict, float]], bounds: dict, rng: random.Random, tries: int = 64, best_share: float = 0.25) -> dict:
+    """A point that looks like the good trials and unlike the others: of
+    ``tries`` points drawn around good ones, the one with the largest ratio of
+    the densities of good and other trials."""
+    order = sorted(trials, key=lambda t: -t[1])
+    cut = max(1, math.ceil(best_share * len(order)))
+    good, rest = [p for p, _ in order[:cut]], [p for p, _ in order[cut:]]
+
+    def near():
+        p, fresh = rng.choice(good), draw(bounds, rng)
+        for name, b in bounds.items():
+            if isinstance(b, list):
+                fresh[name] = p[name] if rng.random() < 0.75 else fresh[name]
+            else:
+                v = min(b[1], max(b[0], rng.gauss(p[name], (b[1] - b[0]) / 6)))
+                fresh[name] = round(v) if all(isinstance(e, int) for e in b) else v
+        return fresh
+    ratio = lambda p: sum(math.log(_density(p[n], n, bounds, good) / _density(p[n], n, bounds, rest)) for n in bounds)
+    return max((near() for _ in range(tries)), key=ratio)
+
+
+def guided_search(objective, bounds: dict, n_random: int = 20, n_guided: int = 5, seed: int = 111, parallelism: int = 4) -> list[dict]:
+    """``n_random`` seeded trials, then ``n_guided`` proposed from the trials so
+    far, in batches of ``parallelism``; each trial is params, value, guided."""
+    rng, done = random.Random(seed), []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(trial, list(enumerate(cands))))
+        points = [draw(bounds, rng) for _ in range(n_random)]
+        done += [(p, v, False) for p, v in zip(points, pool.map(objective, points), strict=True)]
+        while len(done) < n_random + n_guided:
+            n = min(parallelism, n_random + n_guided - len(done))
+            points = [propose([(p, v) for p, v, _ in done], bounds, rng) for _ in range(n)]
+            done += [(p, v, True) for p, v in zip(points, pool.map(objective, points), strict=True)]
+    return [{"trial": i, "params": p, "value": v, "guided": g} for i, (p, v, g) in enumerate(done)]
+
+
+def search(train: DataFrame, kind: str, target: str, classes: dict[str, int], features, keys, n_random: int = 20, n_guided: int = 5,
+           objective_on: DataFrame | None = None, parallelism: int = 4, fixed: dict | None = None) -> list[dict]:
+    """Trials of one family; a trial is a fit, its value the balanced accuracy
+    of ``target`` on ``objective_on`` (the training rows, as the reference)."""
+    on = objective_on if objective_on is not None else train
+
+    def objective(p):
+        pred = fit_predict(train, on, kind, {target: classes[target]}, features, keys, model_params(kind, p) | (fixed or {}))
+        return float(stats.multiclass_metrics(pred, target, f"pred_{target}").first()["balanced_accuracy"] or 0.0)
+    return guided_search(objective, space(kind, len(features)), n_random, n_guided, parallelism=parallelism)

@@ -144,59 +144,3 @@ def _tree_leaves(values, seed: int):
     lows, highs, paths = np.asarray(lows), np.asarray(highs), np.asarray(paths)
     order = np.lexsort((highs, lows))
     return lows[order], highs[order], paths[order]
-
-
-def _forest_group(train, test):
-    """Build the trees of one (fold, sensor) from their samples and score its
-    test rows: score = 2^(-mean path length / mean c(rows of the tree))."""
-    import numpy as np
-    cols = ["fold", "sensor", "ts", "pos", "value", "score"]
-    if test.empty:
-        return test.assign(score=np.nan)[cols].iloc[0:0]
-    x = test["value"].to_numpy(dtype=float)
-    if train.empty:
-        return test.assign(score=np.nan)[cols]
-    acc = np.zeros(len(x))
-    trees, norm = 0, 0.0
-    for _, grp in train.groupby("tree", sort=True):
-        lows, _, paths = _tree_leaves(grp["value"].to_numpy(), grp["seed"].iloc[0])
-        acc += paths[np.clip(np.searchsorted(lows, x, side="right") - 1, 0, len(lows) - 1)]
-        trees += 1
-        # a tree is normalised for the rows it holds: a window shorter than
-        # the nominal sample gives smaller trees
-        norm += float(_c(len(grp)))
-    cn = norm / trees
-    score = np.power(2.0, -(acc / trees) / cn) if cn > 0 else np.full(len(x), 0.5)
-    return test.assign(score=score)[cols]
-
-
-SCORE_SCHEMA = "fold int, sensor string, ts timestamp_ntz, pos long, value double, score double"
-
-
-def isolation_forest(train: DataFrame, test: DataFrame, sizes: DataFrame, seed: int = 0) -> DataFrame:
-    """Fit per (fold, sensor) a forest of ``trees`` isolation trees on
-    Bernoulli samples of ``samples`` rows (hash-seeded, repartition-stable)
-    and score the test rows: score = 2^(-E[h(x)] / c(samples)).
-
-    Spark selects every tree's sample and co-groups, per (fold, sensor), the
-    samples with that fold's test rows; one Python call builds the trees and
-    scores. A group is bounded by the sizing rule (trees x samples is at most
-    max(64 x 512, training window)) plus one fold's test window, and there is
-    no leaf table to shuffle."""
-    t = train.join(sizes.select("fold", "sensor", "n", "samples", "trees"), ["fold", "sensor"])
-    t = t.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "fold", "sensor", "tree", "pos"), F.lit(1 << 30)).cast("double")
-         / F.lit(float(1 << 30)))
-    t = t.where(u < F.least(F.lit(1.0), F.col("samples") / F.col("n")))
-    # fresh attributes: both co-grouped sides derive from the same series
-    t = t.select(*[F.col(c).alias(c) for c in ("fold", "sensor", "tree")],
-                 F.xxhash64(F.lit(seed), "fold", "sensor", "tree").alias("seed"),
-                 F.col("samples").alias("samples"), F.col("value").alias("value"))
-    tst = test.select("fold", "sensor", "ts", "pos", "value")
-    # the work per group is Python compute, not bytes: an explicit partition
-    # count keeps AQE from coalescing the (small) shuffle into one task; the
-    # cogroup reuses this hash partitioning on both sides
-    n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    t, tst = t.repartition(n, "fold", "sensor"), tst.repartition(n, "fold", "sensor")
-    return (t.groupBy("fold", "sensor").cogroup(tst.groupBy("fold", "sensor"))
-             .applyInPandas(_forest_group, SCORE_SCHEMA))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.normal import inv_norm_sql
-from ..operators import detect, shape
+from ..operators import detect, forest, shape
 from ..operators.decompose import decompose
+from ..session import cut_lineage
 from .q_eval import IMPUTED_HOURLY_SQL, decompose_sql, imputed_hourly
-from .registry import query
+from .registry import ORACLE, query
 
 S, WF, WINDOW, WP = 384, 72, 168, 288   # hourly analogue of 131040 / 10080 / 4 weeks / 40320
 N_Q = 999
@@ -82,13 +83,49 @@ def q_forest_size(spark, d):
     return detect.forest_size(tr, ["fold", "sensor"])
 
 
-# ---- item 62 (scores): isolation forest per fold and sensor on the test rows ----
+_SIZE_SQL = ORACLE["forest_size"]
+_MIX = "xor(({x}), ({x}) >> 16)"
+_MIXED = _MIX.format(x=f"{_MIX.format(x='h0')} * 73244475 % 4294967296")
+_MIXED = _MIX.format(x=f"({_MIXED}) * 73244475 % 4294967296")
+
+
+# ---- item 62 (samples): the rows of every tree, drawn by arithmetic ----
+@query("forest_samples", sql=f"""
+WITH s AS ({IMPUTED_HOURLY_SQL}), size AS ({_SIZE_SQL}),
+f AS (SELECT CAST(i AS INTEGER) AS fold, greatest({S} + {WF} * i - {WP}, 0) AS lo, {S} - 1 + {WF} * i AS hi FROM range(4) t(i)),
+tr AS (SELECT fold, sensor, pos, v FROM s JOIN f ON pos >= lo AND pos < hi),
+sp AS (SELECT fold, sensor, min(pos) AS lo, max(pos) - min(pos) + 1 AS n_rows FROM tr GROUP BY 1, 2),
+d AS (SELECT fold, sensor, samples, lo, n_rows, tree, unnest(range(least(samples, n_rows))) AS j
+      FROM (SELECT fold, sensor, samples, lo, n_rows, unnest(range(trees)) AS tree FROM size JOIN sp USING (fold, sensor))),
+h AS (SELECT *, (fold * 1000003 + tree * 65537 + j + 1) % 4294967296 AS h0 FROM d),
+p AS (SELECT DISTINCT fold, sensor, tree, lo + CASE WHEN samples >= n_rows THEN j
+             ELSE CAST(floor(({_MIXED}) * n_rows / 4294967296.0) AS BIGINT) END AS pos FROM h)
+SELECT p.fold, p.sensor, p.tree, count(*) AS n, CAST(sum(p.pos) AS BIGINT) AS pos_sum, round(sum(v), 4) AS value_sum
+FROM p JOIN tr ON p.fold = tr.fold AND p.sensor = tr.sensor AND p.pos = tr.pos WHERE v IS NOT NULL GROUP BY 1, 2, 3""")
+def q_forest_samples(spark, d):
+    tr = _sliding(spark, d).where(F.col("role") == "train")
+    rows = forest.forest_samples(tr, detect.forest_size(tr, ["fold", "sensor"]))
+    return rows.groupBy("fold", "sensor", "tree").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"), F.round(F.sum("value"), 4).alias("value_sum"))
+
+
+# ---- items 62, 63 (scores): forest per fold and sensor, calibrated to z ----
 @query("forest_scores")
 def q_forest_scores(spark, d):
     x = _sliding(spark, d)
-    tr, te = x.where(F.col("role") == "train"), x.where(F.col("role") == "test")
-    sizes = detect.forest_size(tr, ["fold", "sensor"])
-    return detect.isolation_forest(tr, te, sizes)
+    tr = x.where(F.col("role") == "train")
+    return forest_z(x, detect.forest_size(tr, ["fold", "sensor"]))
+
+
+def forest_z(x, sizes):
+    """Test rows of every fold with forest score and z: the score's place among
+    the training scores, as a normal quantile."""
+    tr = x.where(F.col("role") == "train")
+    steps = cut_lineage(forest.forest_steps(forest.forest_samples(tr, sizes)))  # read twice; two numbers for each leaf
+    scored = cut_lineage(forest.forest_scores(x.select("fold", "sensor", "role", "ts", "pos", "value"), steps).withColumn("score", F.round("score", 9)))
+    table = detect.quantile_table(scored.where("role = 'train'"), ["fold", "sensor"], "score", N_Q)
+    z = detect.calibrate(scored.where("role = 'test'"), table, ["fold", "sensor"], "score", N_Q, digits=9)
+    return z.select("fold", "sensor", "ts", "pos", "value", "score", "z")
 
 
 # ---- item 60: additive forecaster, one split: fence on train residuals, metrics vs truth ----
