@@ -51,33 +51,53 @@ def test_isolation_forest_scores_in_range(spark):
     assert 0 < r.lo <= r.hi < 1
 
 
-def test_stream_ffill_state_across_batches(spark, tmp_path):
-    """Two micro-batches (the events table split in time) give the same fill
-    as one batch: the last minute and value carry over in the group state."""
+def fill_of_files(spark, tmp_path, name, files, limit=60):
+    """The filled rows of a stream that reads one file a micro-batch, and the
+    number of batches."""
     import os
-    import pyarrow.parquet as pq
+    import pandas as pd
     from vigil.streaming import stream as S
-    t = pq.read_table(os.path.join(SF_SMALL, "events.parquet")).to_pandas()
-    mid = t["ts"].sort_values().iloc[len(t) // 2]
-    src = tmp_path / "src"
+    src = tmp_path / f"{name}-src"
     src.mkdir()
-    for i, part in enumerate((t[t["ts"] < mid], t[t["ts"] >= mid])):
+    for i, rows in enumerate(files):
         f = src / f"part-{i}.parquet"
-        part.to_parquet(f, index=False)
+        pd.DataFrame(rows, columns=["sensor", "ts", "value"]).astype({"ts": "datetime64[us]", "value": float}).to_parquet(f, index=False)
         os.utime(f, (1_700_000_000 + i * 100, 1_700_000_000 + i * 100))   # file order = time order
-    schema = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).schema
-
-    def run(path, name):
-        st = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-        out = str(tmp_path / name)
-        S.run_to_parquet(S.ffill_stream(S.as_readings(st), 60), out)
-        return {(r.sensor, r.ts, r.value, r.filled) for r in S.read_back(spark, out).collect()}
-
-    two = run(str(src), "two")
-    whole = tmp_path / "whole"
-    whole.mkdir()
-    t.to_parquet(whole / "events.parquet", index=False)
-    one = run(str(whole), "one")
-    commits = [f for f in os.listdir(tmp_path / "two" / "chk" / "commits") if f.isdigit()]
-    assert len(commits) == 2   # the state path was used
-    assert two == one and any(not r[3] for r in two) and any(r[3] for r in two)
+    st = (spark.readStream.schema("sensor string, ts timestamp_ntz, value double").option("maxFilesPerTrigger", 1).parquet(str(src))
+          .select("sensor", F.col("ts").cast("timestamp").alias("ts"), "value"))
+    out = str(tmp_path / name)
+    S.run_to_parquet(S.ffill_stream(st, limit), out)
+    rows = sorted((r.sensor, r.ts.replace(tzinfo=None), r.value, r.filled) for r in S.read_back(spark, out).collect())
+    return rows, len([f for f in os.listdir(f"{out}/chk/commits") if f.isdigit()])
+
+
+def test_stream_ffill_of_split_minutes_equals_one_batch(spark, tmp_path):
+    """Events split in time into three files, with minutes split over files."""
+    import os
+    import pyarrow.parquet as pq
+    t = pq.read_table(os.path.join(SF_SMALL, "events.parquet")).to_pandas().sort_values("ts")[["event_type", "ts", "value"]]
+    t["ts"] = t["ts"].dt.floor("20s")  # ties too
+    rows = list(t.itertuples(index=False, name=None))
+    third = len(rows) // 3
+    files = [rows[:third], rows[third:2 * third], rows[2 * third:]]
+    extra = [(s, ts, v + 1000) for s, ts, v in files[0][-5:]]  # the same minutes again in the next file
+    one, _ = fill_of_files(spark, tmp_path, "one", [rows + extra])
+    three, batches = fill_of_files(spark, tmp_path, "three", [files[0], extra + files[1], files[2]])
+    assert batches >= 3 and three == one and any(r[3] for r in one) and any(not r[3] for r in one)
+    assert any(r[2] > 1000 for r in one)
+
+
+def test_stream_ffill_after_the_last_value_and_late_rows(spark, tmp_path):
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1, 12)
+    at = lambda m, s=0: t0 + timedelta(minutes=m, seconds=s)
+    files = [[("a", at(0, 5), 1.0), ("a", at(0, 50), 2.0), ("b", at(3), 7.0), ("b", at(3), 6.0), ("c", at(1), None)],
+             [("a", at(300), 5.0)],                       # the watermark moves to minute 240
+             [("a", at(301), 6.0)],                       # which closes minutes 0 and 3
+             [("a", at(10), 99.0), ("b", at(420), 8.0)]]  # minute 10 is late by then
+    got, _ = fill_of_files(spark, tmp_path, "tail", files, limit=10)
+    minutes = lambda s: {int((r[1] - t0).total_seconds() // 60): (r[2], r[3]) for r in got if r[0] == s}
+    a, b = minutes("a"), minutes("b")
+    # at minute 420 the watermark is at 360: 300 and 301 are closed, 420 is not
+    assert a == {0: (2.0, False), **{m: (2.0, True) for m in range(1, 11)}, 300: (5.0, False), 301: (6.0, False), **{m: (6.0, True) for m in range(302, 312)}}
+    assert b == {3: (7.0, False), **{m: (7.0, True) for m in range(4, 14)}} and minutes("c") == {}

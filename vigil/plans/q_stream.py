@@ -80,9 +80,11 @@ def q_stream_episodes(spark, d):
 
 
 @query("stream_ffill", sql="""
-WITH bins AS (SELECT event_type AS sensor, epoch_us(ts) // 60000000 AS b, arg_max(value, ts) AS v FROM events GROUP BY ALL),
-bounds AS (SELECT sensor, min(b) AS b0, max(b) AS b1 FROM bins GROUP BY sensor),
-g AS (SELECT sensor, unnest(range(b0, b1 + 1)) AS b FROM bounds),
+WITH bins AS (SELECT event_type AS sensor, epoch_us(ts) // 60000000 AS b, max(struct_pack(ts := ts, value := value)).value AS v
+              FROM events WHERE value IS NOT NULL GROUP BY ALL),
+wm AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS ms FROM events WHERE value IS NOT NULL),
+bounds AS (SELECT sensor, min(b) AS b0 FROM bins GROUP BY sensor),
+g AS (SELECT sensor, unnest(range(b0, ms // 60000)) AS b FROM bounds, wm),
 j AS (SELECT g.sensor, g.b, bins.v FROM g LEFT JOIN bins ON g.sensor = bins.sensor AND g.b = bins.b),
 f AS (SELECT sensor, b, v, last_value(v IGNORE NULLS) OVER (PARTITION BY sensor ORDER BY b
       ROWS BETWEEN 60 PRECEDING AND CURRENT ROW) AS fv FROM j)

@@ -11,10 +11,11 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import checkpoint_dir, ensure_session
 
@@ -37,14 +38,24 @@ def as_readings(stream: DataFrame) -> DataFrame:
     return stream.select(F.col("event_type").alias("sensor"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_parquet(df: DataFrame, path: str, mode: str = "append", partition_by=None) -> None:
-    """Drain the available input (``availableNow``) into a Parquet sink."""
+    """Drain the available input (``availableNow``) into a Parquet sink. State
+    is kept on disk (RocksDB)."""
+    spark, name = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
     w = (df.writeStream.format("parquet").outputMode(mode)
            .option("path", os.path.join(path, "out")).option("checkpointLocation", os.path.join(path, "chk"))
            .trigger(availableNow=True))
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.start().awaitTermination()
+    try:
+        w.start().awaitTermination()
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -104,47 +115,76 @@ def episodes(alarms: DataFrame, gap: str = "10 minutes", watermark: str = "1 hou
 
 # ---------------------------------------------------------------- S5
 FFILL_OUT = "sensor string, ts timestamp, value double, filled boolean"
-FFILL_STATE = "last_ts timestamp, last_value double"
-
-
-def _ffill_state(limit_min: int):
-    def fn(key, pdfs, state):
-        import numpy as np
-        pdf = pd.concat(list(pdfs)).sort_values("ts", kind="stable")
-        per_min = pdf.assign(minute=pdf["ts"].dt.floor("min")).groupby("minute", as_index=False)["value"].last()
-        mins = per_min["minute"].to_numpy(dtype="datetime64[ns]")
-        vals = per_min["value"].to_numpy(dtype=float)
-        if state.exists:
-            last_ts, last_v = state.get
-            last_ts = np.datetime64(pd.Timestamp(last_ts).tz_localize(None), "ns")
-            keep = mins > last_ts              # minutes at or before the stored one are late
-            mins, vals = mins[keep], vals[keep]
-            prev_ts = np.concatenate([[last_ts], mins[:-1]])
-            prev_v = np.concatenate([[last_v], vals[:-1]])
-            has_prev = np.ones(len(mins), dtype=bool)
-        else:
-            prev_ts = np.concatenate([mins[:1], mins[:-1]])
-            prev_v = np.concatenate([vals[:1], vals[:-1]])
-            has_prev = np.arange(len(mins)) > 0
-        # a gap of g minutes after a value gets min(g - 1, limit) filled minutes
-        gap = ((mins - prev_ts) // np.timedelta64(1, "m")).astype(np.int64)
-        n_fill = np.where(has_prev, np.clip(gap - 1, 0, limit_min), 0)
-        src = np.repeat(np.arange(len(mins)), n_fill)
-        k = np.arange(len(src)) - np.repeat(np.cumsum(n_fill) - n_fill, n_fill) + 1
-        fills = pd.DataFrame({"sensor": key[0], "ts": prev_ts[src] + k * np.timedelta64(1, "m"),
-                              "value": prev_v[src], "filled": True})
-        real = pd.DataFrame({"sensor": key[0], "ts": mins, "value": vals, "filled": False})
-        if len(mins):
-            state.update((pd.Timestamp(mins[-1]).to_pydatetime(), float(vals[-1])))
-        yield pd.concat([fills, real], ignore_index=True)
-    return fn
-
-
-def ffill_stream(readings: DataFrame, limit_min: int = 60) -> DataFrame:
-    """Last-value fill with a limit across micro-batches: per sensor the last
-    (minute, value) is kept in state; missing minutes after it are emitted
-    with that value, at most ``limit_min`` of them. Minutes arriving at or
-    before the stored minute are late and ignored."""
-    return (readings.groupBy("sensor")
-                    .applyInPandasWithState(_ffill_state(limit_min), FFILL_OUT, FFILL_STATE, "append",
-                                            GroupStateTimeout.NoTimeout))
+MINUTE_MS = 60_000
+
+
+class FillProcessor(StatefulProcessor):
+    """Carries each sensor's last value over missing minutes.
+
+    Its rows are closed minutes (one row each); the state is the last real
+    minute, its value and the last minute emitted. What lies between two real
+    minutes is filled when the second one arrives; what follows the last one
+    is filled as the watermark closes each minute, for which a timer is set."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "minute long, value double, emitted long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        minutes, values = [], []
+        for pdf in rows:
+            minutes.append(pdf["minute"].to_numpy(dtype=np.int64))
+            values.append(pdf["value"].to_numpy(dtype=float))
+        minutes, values = np.concatenate(minutes), np.concatenate(values)
+        order = np.argsort(minutes, kind="stable")
+        yield self._emit(key, minutes[order], values[order], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield self._emit(key, np.zeros(0, np.int64), np.zeros(0), timerValues)
+
+    def _emit(self, key, minutes, values, timers) -> pd.DataFrame:
+        state = self.last.get() if self.last.exists() else None
+        if state is not None:  # the last real minute goes on as a row that is already out
+            minutes, values = np.concatenate([[state[0]], minutes]), np.concatenate([[state[1]], values])
+        if not len(minutes):
+            return self._rows(key, minutes, values, np.zeros(0, bool))
+        done = state[2] if state is not None else minutes[0] - 1
+        closed = timers.getCurrentWatermarkInMs() // MINUTE_MS - 1  # the last minute that has ended
+        until = np.append(minutes[1:], max(closed, minutes[-1]) + 1)
+        n = np.minimum(until - minutes, self.limit + 1)  # the minute itself and what it fills
+        source = np.repeat(np.arange(len(minutes)), n)
+        k = np.arange(len(source)) - np.repeat(np.cumsum(n) - n, n)
+        at = minutes[source] + k
+        new = at > done
+        last = int(max(at.max(), done))
+        self.last.update((int(minutes[-1]), float(values[-1]), last))
+        if last < minutes[-1] + self.limit:
+            self.handle.registerTimer(int(last + 2) * MINUTE_MS)
+        return self._rows(key, at[new], values[source[new]], k[new] > 0)
+
+    @staticmethod
+    def _rows(key, at, values, filled) -> pd.DataFrame:
+        return pd.DataFrame({"sensor": key[0], "ts": pd.to_datetime(at * MINUTE_MS, unit="ms"), "value": values, "filled": filled})
+
+    def close(self) -> None:
+        pass
+
+
+def ffill_stream(readings: DataFrame, limit_min: int = 60, watermark: str = "1 hour") -> DataFrame:
+    """Last-value fill with a limit across micro-batches (append mode).
+
+    A minute's value is its latest reading (of several at the same time the
+    largest). Minutes are combined per (sensor, minute) first, however they are
+    split over files, and go on when the watermark has passed their end; so a
+    sensor's readings never meet in one task, only its minutes do. Missing
+    minutes get the last value, at most ``limit_min`` of them, also after a
+    sensor's last reading, as soon as the watermark has closed them. Readings
+    behind the watermark are dropped; null values do not count."""
+    minutes = (readings.where(F.col("value").isNotNull()).withWatermark("ts", watermark)
+               .groupBy("sensor", F.window("ts", "1 minute").alias("w"))
+               .agg(F.max(F.struct("ts", "value"))["value"].alias("value"))
+               .select("sensor", (F.unix_millis("w.start") / MINUTE_MS).cast("long").alias("minute"), "value", F.window_time("w").alias("at")))
+    return minutes.groupBy("sensor").transformWithStateInPandas(FillProcessor(limit_min), FFILL_OUT, "append", "eventTime")
