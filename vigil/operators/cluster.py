@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from pyspark import StorageLevel
 
+from . import warping
 from ..functions.quantiles import group_median
 from ..session import cut_lineage
 
@@ -122,50 +123,35 @@ def kmeans(series: DataFrame, keys, k: int = 2, max_iter: int = 5, dist_fn=None,
 
 
 # ------------------------------------------------------------------ DTW
-def _dtw_path(a: np.ndarray, b: np.ndarray):
-    """Accumulated-cost matrix (plain floats: cheaper than numpy scalars per cell)."""
-    n, m = len(a), len(b)
-    al, bl = a.tolist(), b.tolist()
-    inf = float("inf")
-    acc = [[inf] * (m + 1) for _ in range(n + 1)]
-    acc[0][0] = 0.0
-    for i in range(1, n + 1):
-        row, prev, ai = acc[i], acc[i - 1], al[i - 1]
-        for j in range(1, m + 1):
-            dv = ai - bl[j - 1]
-            p0, p1, p2 = prev[j], row[j - 1], prev[j - 1]
-            row[j] = dv * dv + (p0 if p0 < p1 and p0 < p2 else (p1 if p1 < p2 else p2))
-    return np.array(acc)
-
-
-def dtw_distance(a, b) -> float:
-    """DTW with squared point cost; returns the accumulated cost."""
-    return float(_dtw_path(np.asarray(a, float), np.asarray(b, float))[-1, -1])
-
-
-def _dtw_align(c: np.ndarray, x: np.ndarray):
-    """Back-track the optimal path; per centroid index the sum and count of
-    aligned series values (the DBA contribution of one series)."""
-    acc = _dtw_path(c, x)
-    i, j = len(c), len(x)
-    s, n = np.zeros(len(c)), np.zeros(len(c))
-    while i > 0 and j > 0:
-        s[i - 1] += x[j - 1]
-        n[i - 1] += 1
-        step = np.argmin([acc[i - 1, j - 1], acc[i - 1, j], acc[i, j - 1]])
-        if step == 0:
-            i, j = i - 1, j - 1
-        elif step == 1:
-            i -= 1
-        else:
-            j -= 1
-    return s, n
+def _alike(values):
+    """(indices, value) of equal values: the rows of a batch that are measured
+    against the same centroids."""
+    groups: dict[bytes, list[int]] = {}
+    for i, v in enumerate(values):
+        groups.setdefault(b"".join(np.asarray(c, float).tobytes() + b"|" for c in v), []).append(i)
+    return [(at, [np.asarray(c, float) for c in values.iloc[at[0]]]) for at in groups.values()]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def dtw_to_centroids(vals: pd.Series, cents: pd.Series) -> pd.Series:
-    """Per series: DTW cost to each centroid (Arrow batches, numpy kernel)."""
-    return pd.Series([[dtw_distance(c, v) for c in cs] for v, cs in zip(vals, cents)])
+def _blocks(values, at, others):
+    """Equally long series of the rows ``at``, in blocks that fit the tables of
+    the longest of ``others``."""
+    own = [np.asarray(values.iloc[i], float) for i in at]
+    for index, x in warping.by_length(own, other=max([1, *(len(c) for c in others)])):
+        yield [at[i] for i in index], x
+
+
+NEAREST_T = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("dist", T.DoubleType())])
+
+
+@F.pandas_udf(NEAREST_T)
+def dtw_nearest(vals: pd.Series, cents: pd.Series) -> pd.DataFrame:
+    """Per series the nearest of its centroids by DTW, whole batches at once;
+    centroids whose envelope bound is too far are not measured."""
+    at, dist = np.zeros(len(vals), np.int32), np.zeros(len(vals))
+    for rows, cs in _alike(cents):
+        for own, x in _blocks(vals, rows, cs):
+            at[own], dist[own], _ = warping.nearest(cs, x)
+    return pd.DataFrame({"at": at, "dist": dist})
 
 
 ALIGN_T = T.StructType([T.StructField("s", T.ArrayType(T.DoubleType())),
@@ -174,22 +160,25 @@ ALIGN_T = T.StructType([T.StructField("s", T.ArrayType(T.DoubleType())),
 
 @F.pandas_udf(ALIGN_T)
 def dtw_align(vals: pd.Series, cent: pd.Series) -> pd.DataFrame:
-    out_s, out_n = [], []
-    for v, c in zip(vals, cent):
-        s, n = _dtw_align(np.asarray(c, float), np.asarray(v, float))
-        out_s.append(s.tolist())
-        out_n.append(n.tolist())
-    return pd.DataFrame({"s": out_s, "n": out_n})
+    sums, counts = [None] * len(vals), [None] * len(vals)
+    for rows, (c,) in _alike(cent.map(lambda v: [v])):
+        for own, x in _blocks(vals, rows, [c]):
+            for i, s, n in zip(own, *warping.align(c, x), strict=True):
+                sums[i], counts[i] = s.tolist(), n.tolist()
+    return pd.DataFrame({"s": sums, "n": counts})
+
+
+def _nearest_by(series: DataFrame, centroids: DataFrame, keys, found) -> DataFrame:
+    """``series`` with cluster and dist of its key's nearest centroid.
+    The centroids are k arrays a key; the planner broadcasts them while their
+    measured size is small."""
+    arr = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "vals"))).alias("_cs"))
+    x = series.join(arr, keys).withColumn("_b", found)
+    return x.select(*series.columns, F.element_at("_cs", F.col("_b.at") + 1)["cluster"].alias("cluster"), F.col("_b.dist").alias("dist"))
 
 
 def dtw_assign(series: DataFrame, centroids: DataFrame, keys) -> DataFrame:
-    keys = _keys(keys)
-    arr = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "vals"))).alias("_cs"))
-    x = series.join(arr, keys)
-    x = x.withColumn("_d", dtw_to_centroids(F.col("vals"), F.transform("_cs", lambda c: c["vals"])))
-    best = F.array_min(F.arrays_zip(F.col("_d").alias("d"), F.transform("_cs", lambda c: c["cluster"]).alias("cl")))
-    return x.withColumn("_b", best).select(*series.columns, F.col("_b.cl").alias("cluster"),
-                                           F.col("_b.d").alias("dist"))
+    return _nearest_by(series, centroids, _keys(keys), dtw_nearest(F.col("vals"), F.transform("_cs", lambda c: c["vals"])))
 
 
 def dba_update(assigned: DataFrame, centroids: DataFrame, keys, inner_iter: int = 5) -> DataFrame:
@@ -223,61 +212,27 @@ def dtw_kmeans(series: DataFrame, keys, k: int = 2, max_iter: int = 5, inner_ite
 
 
 # ------------------------------------------------------------------ soft-DTW
-def soft_dtw(c: np.ndarray, x: np.ndarray, gamma: float, grad: bool = False):
-    """Soft-DTW value (squared point cost) and, optionally, its gradient with
-    respect to ``c`` (forward soft-min recursion, backward expected alignment)."""
-    import math
-    n, m = len(c), len(x)
-    cl, xl = list(map(float, c)), list(map(float, x))
-    inf = float("inf")
-    d = [[(ci - xj) ** 2 for xj in xl] for ci in cl]
-    r = [[inf] * (m + 2) for _ in range(n + 2)]
-    r[0][0] = 0.0
-    for i in range(1, n + 1):
-        ri, rp, di = r[i], r[i - 1], d[i - 1]
-        for j in range(1, m + 1):
-            a0, a1, a2 = rp[j - 1], rp[j], ri[j - 1]
-            mn = min(a0, a1, a2)
-            s = 0.0
-            for a in (a0, a1, a2):
-                if a != inf:
-                    s += math.exp(-(a - mn) / gamma)
-            ri[j] = di[j - 1] + (mn - gamma * math.log(s))
-    value = r[n][m]
-    if not grad:
-        return value, None
-    dd = [[0.0] * (m + 2) for _ in range(n + 2)]
-    for i in range(n):
-        dd[i + 1][1:m + 1] = d[i]
-    e = [[0.0] * (m + 2) for _ in range(n + 2)]
-    e[n + 1][m + 1] = 1.0
-    for i in range(1, n + 1):
-        r[i][m + 1] = -inf
-    for j in range(1, m + 1):
-        r[n + 1][j] = -inf
-    r[n + 1][m + 1] = r[n][m]
-    for j in range(m, 0, -1):
-        for i in range(n, 0, -1):
-            rij = r[i][j]
-            a = math.exp((r[i + 1][j] - rij - dd[i + 1][j]) / gamma)
-            b = math.exp((r[i][j + 1] - rij - dd[i][j + 1]) / gamma)
-            cc = math.exp((r[i + 1][j + 1] - rij - dd[i + 1][j + 1]) / gamma)
-            e[i][j] = e[i + 1][j] * a + e[i][j + 1] * b + e[i + 1][j + 1] * cc
-    ea = np.array(e)[1:n + 1, 1:m + 1]
-    g = (ea * 2 * (np.asarray(cl)[:, None] - np.asarray(xl)[None, :])).sum(axis=1)
-    return value, g
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def softdtw_to_centroids(vals: pd.Series, cents: pd.Series, gamma: pd.Series) -> pd.Series:
-    return pd.Series([[soft_dtw(np.asarray(c, float), np.asarray(v, float), float(g))[0] for c in cs]
-                      for v, cs, g in zip(vals, cents, gamma)])
+@F.pandas_udf(NEAREST_T)
+def softdtw_nearest(vals: pd.Series, cents: pd.Series, gamma: pd.Series) -> pd.DataFrame:
+    """Per series the centroid with the least soft-DTW value, ties to the first
+    (soft-DTW may be negative, so no bound can skip one)."""
+    at, dist = np.zeros(len(vals), np.int32), np.zeros(len(vals))
+    g = gamma.to_numpy(float)
+    for rows, cs in _alike(cents):
+        for own, x in _blocks(vals, rows, cs):
+            d = np.stack([warping.soft_costs(c, x, g[own])[0] for c in cs], axis=1)
+            at[own], dist[own] = d.argmin(axis=1), d.min(axis=1)
+    return pd.DataFrame({"at": at, "dist": dist})
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def softdtw_grad(vals: pd.Series, cent: pd.Series, gamma: pd.Series) -> pd.Series:
-    return pd.Series([soft_dtw(np.asarray(c, float), np.asarray(v, float), float(g), True)[1].tolist()
-                      for v, c, g in zip(vals, cent, gamma)])
+    out, g = [None] * len(vals), gamma.to_numpy(float)
+    for rows, (c,) in _alike(cent.map(lambda v: [v])):
+        for own, x in _blocks(vals, rows, [c]):
+            for i, grad in zip(own, warping.soft_costs(c, x, g[own], True)[1], strict=True):
+                out[i] = grad.tolist()
+    return pd.Series(out)
 
 
 def softdtw_gamma(series: DataFrame, keys, buckets: int = 64) -> DataFrame:
@@ -295,13 +250,8 @@ def softdtw_gamma(series: DataFrame, keys, buckets: int = 64) -> DataFrame:
 
 
 def softdtw_assign(series: DataFrame, centroids: DataFrame, keys) -> DataFrame:
-    keys = _keys(keys)
-    arr = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "vals"))).alias("_cs"))
-    x = series.join(arr, keys)
-    x = x.withColumn("_d", softdtw_to_centroids(F.col("vals"), F.transform("_cs", lambda c: c["vals"]), F.col("gamma")))
-    best = F.array_min(F.arrays_zip(F.col("_d").alias("d"), F.transform("_cs", lambda c: c["cluster"]).alias("cl")))
-    return x.withColumn("_b", best).select(*series.columns, F.col("_b.cl").alias("cluster"),
-                                           F.col("_b.d").alias("dist"))
+    """``series`` has its key's smoothing in column gamma."""
+    return _nearest_by(series, centroids, _keys(keys), softdtw_nearest(F.col("vals"), F.transform("_cs", lambda c: c["vals"]), F.col("gamma")))
 
 
 def softdtw_update(assigned: DataFrame, centroids: DataFrame, keys, inner_iter: int = 5,

@@ -39,6 +39,20 @@ def q_nearest_series(spark, d):
     return a.select("sensor", "chunk_id", "cluster", F.round("dist", 6).alias("dist"))
 
 
+# ---- item 68: nearest centroid per series by DTW and by soft-DTW ----
+@query("nearest_series_dtw")
+def q_nearest_series_dtw(spark, d):
+    s, cents = _seeded(spark, d)
+    return cluster.dtw_assign(s, cents, "sensor").select("sensor", "chunk_id", "cluster", F.round("dist", 6).alias("dist"))
+
+
+@query("nearest_series_softdtw")
+def q_nearest_series_softdtw(spark, d):
+    s, cents = _seeded(spark, d)
+    s = s.join(cluster.softdtw_gamma(s, "sensor"), "sensor")
+    return cluster.softdtw_assign(s, cents, "sensor").select("sensor", "chunk_id", "cluster", F.round("dist", 6).alias("dist"))
+
+
 # ---- item 64 (one step): assignment to the seeds, then the mean update ----
 @query("kmeans_assign", sql=f"""
 WITH {SEEDS_SQL},
