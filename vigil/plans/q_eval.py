@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.time import epoch_us, from_epoch_us
 from ..operators import evaluate, grid, shape, stats
-from ..operators.decompose import decompose
+from ..operators.decompose import decompose, decompose_many
+from ..session import cut_lineage
 from .domain import SCORED_EVENTS_SQL, point_labels, readings, scored_events
 from .q_features import features
 from .registry import query
@@ -98,18 +99,16 @@ FROM r WHERE rn = 1"""
 
 @query("cycle_search", sql=_cycle_sql())
 def q_cycle_search(spark, d):
-    from pyspark import StorageLevel
-    # shared by the four period branches: computed once, kept on executors
-    imp = imputed_hourly(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    labels = point_labels(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for i, p in enumerate(PERIODS):
-        f = _fence(spark, d, p, imp).join(labels, "ts")
-        m = stats.binary_metrics(f, "sensor", "label", "flag", digits=None)
-        parts.append(m.withColumn("period", F.lit(p)).withColumn("ord", F.lit(i)))
-    allp = stats.union_all(parts)
-    w = Window.partitionBy("sensor").orderBy(F.col("precision").desc(), "ord")
-    best = allp.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    dec = decompose_many(imputed_hourly(spark, d), PERIODS).withColumn("resid", F.round("resid", 6))
+    dec = cut_lineage(dec)  # the fences and the flags read it
+    keys = ["sensor", "period"]
+    b = stats.iqr_bounds(dec, keys, "resid", 3.0, 6)
+    flagged = (dec.join(b.select(*keys, "lower", "upper"), keys)
+                  .withColumn("flag", stats.iqr_flag(F.col("resid"), F.col("lower"), F.col("upper")))
+                  .join(point_labels(spark, d), "ts"))
+    m = stats.binary_metrics(flagged, keys, "label", "flag", digits=None)
+    w = Window.partitionBy("sensor").orderBy(F.col("precision").desc(), F.array_position(F.array(*map(F.lit, PERIODS)), F.col("period")))
+    best = m.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     return best.select("sensor", "period", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
