@@ -155,6 +155,20 @@ def test_folds_disjoint_and_covering(spark):
     assert (tr0.lo, tr0.hi) == (60, 99)  # the reference drops the last train row
 
 
+def test_series_folds_follow_each_length(spark):
+    """Two lengths: tests are disjoint and reach the end of their own series."""
+    df = spark.createDataFrame([("a", p) for p in range(75)] + [("b", p) for p in range(151)], "sensor string, pos long")
+    for mode, first in (("expanding", 0), ("baseline", 0), ("sliding", 1)):
+        folds = shape.series_folds(df, mode=mode)
+        for s, n in (("a", 75), ("b", 151)):
+            tests = sorted((r.lo + first, r.hi) for r in folds.where((F.col("sensor") == s) & (F.col("role") == "test")).collect())
+            assert tests[0][0] == n * 8 // 15 and tests[-1][1] == n
+            assert all(x[1] == y[0] for x, y in zip(tests, tests[1:]))
+        rows = shape.walk_forward(df, folds)
+        assert rows.where("role = 'test' AND fold = 3").agg(F.max("pos")).first()[0] == 150
+        assert rows.where("role = 'train' AND sensor = 'a'").agg(F.max("pos")).first()[0] < 75
+
+
 def test_scaler_train_in_unit_interval(spark):
     rows = [(i, float(i % 7), 3.0, "train" if i % 3 else "test") for i in range(60)]
     df = spark.createDataFrame(rows, "id int, a double, c double, split string")

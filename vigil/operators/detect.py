@@ -7,19 +7,13 @@ back to the readings by key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import inv_norm
 from ..functions.quantiles import group_median, group_quantiles
 from ..functions.time import epoch_s
-
-
-def baseline_folds(spark: SparkSession, split: int, wf: int, window: int, n_folds: int = 4) -> DataFrame:
-    """Per fold: train positions [max(0, test_lo - window), test_lo) (the most
-    recent ``window`` rows) and test positions [test_lo, test_lo + wf)."""
-    rows = [(i, max(0, split + wf * i - window), split + wf * i, split + wf * (i + 1)) for i in range(n_folds)]
-    return spark.createDataFrame(rows, "fold int, train_lo long, test_lo long, test_hi long")
+from .shape import walk_forward
 
 
 def dynamic_baseline(series: DataFrame, folds: DataFrame, keys="sensor", pos: str = "pos",
@@ -30,18 +24,16 @@ def dynamic_baseline(series: DataFrame, folds: DataFrame, keys="sensor", pos: st
     fit: per (fold, key, slot of the period) mean / sample std / count of the
     fold's training window. score: z = (x - mean) / std on the fold's test
     rows (NULL when std is 0 or missing), kept when |z| >= threshold, else 0.
-    The folds table is tiny and broadcast; a reading lands in at most
-    ceil(window / wf) + 1 folds, so the range join expands the data by a
-    bounded factor.
+    A reading lands in at most ceil(window / wf) + 1 folds, so the join by
+    range expands the data by a bounded factor. ``folds`` has (fold, role, lo,
+    hi) rows for the whole table or for each key (``shape.series_folds``).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    f = F.broadcast(folds)
     slot = F.floor(F.pmod(epoch_s(ts), F.lit(period_s)) / slot_s).cast("int")
-    x = series.withColumn("slot", slot)
-    train = x.join(f, (F.col(pos) >= f.train_lo) & (F.col(pos) < f.test_lo))
-    model = train.groupBy("fold", *keys, "slot").agg(
+    x = walk_forward(series.withColumn("slot", slot), folds, pos, keys)
+    model = x.where("role = 'train'").groupBy("fold", *keys, "slot").agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n_train"))
-    test = x.join(f, (F.col(pos) >= f.test_lo) & (F.col(pos) < f.test_hi)).drop("train_lo", "test_lo", "test_hi")
+    test = x.where("role = 'test'").drop("role")
     z = F.round(F.try_divide(F.col(value) - F.col("mean"), F.col("std")), digits)
     return (test.join(model, ["fold", *keys, "slot"], "left")
                 .withColumn("z_raw", z)

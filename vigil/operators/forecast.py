@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from ..functions.time import epoch_s
 from . import stats
+from .shape import walk_forward
 
 
-def design(ts: str, t_days: Column, window_days: float, n_changepoints: int = 5,
+def design(ts: str, t_days: Column, window_days: Column, n_changepoints: int = 5,
            weekly: int = 3, daily: int = 3) -> tuple[Column, int]:
     """Design row as ARRAY<DOUBLE> and its width."""
     cols = [F.lit(1.0), t_days]
     for j in range(1, n_changepoints + 1):
-        c = 0.8 * window_days * j / (n_changepoints + 1)
-        cols.append(F.greatest(t_days - F.lit(c), F.lit(0.0)))
+        cols.append(F.greatest(t_days - window_days * F.lit(0.8 * j / (n_changepoints + 1)), F.lit(0.0)))
     e = epoch_s(ts).cast("double")
     for k in range(1, weekly + 1):
         a = e * F.lit(2 * math.pi * k / (7 * 86400))
@@ -82,22 +82,18 @@ def predict(df: DataFrame, coefs: DataFrame, keys, x: str = "x") -> DataFrame:
     return df.join(coefs, keys).withColumn("yhat", dot).drop("coef")
 
 
-def walk_forward_forecast(series: DataFrame, folds: DataFrame, step_s: int, window_rows: int,
-                          n_cp: int = 5, daily: bool = True) -> DataFrame:
+def walk_forward_forecast(series: DataFrame, folds: DataFrame, step_s: int, n_cp: int = 5, daily: bool = True) -> DataFrame:
     """Fit per (fold, sensor) on the fold's training rows, predict all rows of
-    the fold (train and test). ``folds`` has (fold, role, lo, hi) with roles
-    train/test (see ``shape.folds_table``)."""
-    f = F.broadcast(folds)
-    x = series.join(f, (F.col("pos") >= f.lo) & (F.col("pos") < f.hi))
-    start = folds.where(F.col("role") == "train").select("fold", F.col("lo").alias("_t0"))
-    x = x.join(F.broadcast(start), "fold")
-    t_days = (F.col("pos") - F.col("_t0")).cast("double") * F.lit(step_s / 86400.0)
-    window_days = window_rows * step_s / 86400.0
-    arr, d = design("ts", t_days, window_days, n_cp, 3, 3 if daily else 0)
+    the fold (train and test). ``folds`` has (sensor, fold, role, lo, hi) with
+    roles train/test (see ``shape.series_folds``); time counts from the start
+    of a fold's training window and changepoints lie in its first 80 %."""
+    window = folds.where(F.col("role") == "train").select("sensor", "fold", F.col("lo").alias("_t0"), (F.col("hi") - F.col("lo")).alias("_len"))
+    x = walk_forward(series, folds.join(window, ["sensor", "fold"]))
+    days = step_s / 86400.0
+    arr, d = design("ts", (F.col("pos") - F.col("_t0")).cast("double") * F.lit(days), F.col("_len") * F.lit(days), n_cp, 3, 3 if daily else 0)
     x = x.withColumn("x", arr)
     coefs = fit(x.where(F.col("role") == "train"), ["fold", "sensor"], d, n_cp)
-    return predict(x, coefs, ["fold", "sensor"]).withColumn("resid", F.col("value") - F.col("yhat")) \
-        .drop("x", "lo", "hi", "_t0")
+    return predict(x, coefs, ["fold", "sensor"]).withColumn("resid", F.col("value") - F.col("yhat")).drop("x", "_t0", "_len")
 
 
 def residual_fence(pred: DataFrame, k: float = 3.0) -> DataFrame:

@@ -93,12 +93,45 @@ def folds_table(spark: SparkSession, split: int, wf: int, wp: int | None = None,
     return spark.createDataFrame(rows, "fold int, role string, lo long, hi long")
 
 
-def walk_forward(df: DataFrame, folds: DataFrame, pos: str = "pos") -> DataFrame:
-    """Attach (fold, role) by a range predicate on ``pos``. The folds table
-    has 2 rows per fold, so it is broadcast and the join is a map-side
-    nested loop over a handful of rows per reading."""
-    f = F.broadcast(folds)
-    return df.join(f, (F.col(pos) >= f.lo) & (F.col(pos) < f.hi), "inner").drop("lo", "hi")
+#: Where a series of n rows is split when no bounds are given: training
+#: takes 8/15 of it, the folds share the rest, and a sliding window holds 3/4
+#: (a baseline's 7/16) of the first training part.
+SPLIT_PART, SLIDING_PART, BASELINE_PART = (8, 15), (3, 4), (7, 16)
+
+
+def series_folds(df: DataFrame, keys="sensor", n_folds: int = 4, mode: str = "expanding", pos: str = "pos") -> DataFrame:
+    """Walk-forward folds (keys, fold, role, lo, hi) from each series' own
+    length; the last test part ends with the series. Modes as in
+    ``folds_table``, and ``baseline``: train [test - window, test)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    part = lambda x, p: F.floor(x * p[0] / p[1]).cast("long")
+    n, s, wf = F.col("_n"), F.col("_s"), F.col("_wf")
+    x = (df.groupBy(*keys).agg((F.max(pos) + 1).cast("long").alias("_n")).withColumn("_s", part(n, SPLIT_PART))
+           .withColumn("_wf", F.floor((n - s) / n_folds).cast("long"))
+           .withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))))
+    start, end = s + wf * F.col("fold"), F.when(F.col("fold") == n_folds - 1, n).otherwise(s + wf * (F.col("fold") + 1))
+    if mode == "expanding":
+        train, test = (F.lit(0).cast("long"), start), (start, end)
+    elif mode == "sliding":
+        train, test = (F.greatest(start - part(s, SLIDING_PART), F.lit(0)), start - 1), (start - 1, end)
+    elif mode == "baseline":
+        train, test = (F.greatest(start - part(s, BASELINE_PART), F.lit(0)), start), (start, end)
+    else:
+        raise ValueError(mode)
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi")) for r, (lo, hi) in (("train", train), ("test", test))])
+    return x.select(*keys, "fold", F.inline(roles))
+
+
+def walk_forward(df: DataFrame, folds: DataFrame, pos: str = "pos", keys="sensor") -> DataFrame:
+    """Attach (fold, role) by a range predicate on ``pos``. Folds of a whole
+    table (2 rows per fold) are broadcast; folds of their own series (those of
+    ``series_folds``) meet it by an equi-join on the keys, 2 rows per fold and
+    key, which the planner broadcasts while they are few."""
+    keys = [k for k in ([keys] if isinstance(keys, str) else keys) if k in folds.columns]
+    if not keys:
+        f = F.broadcast(folds)
+        return df.join(f, (F.col(pos) >= f.lo) & (F.col(pos) < f.hi), "inner").drop("lo", "hi")
+    return df.join(folds, keys).where((F.col(pos) >= F.col("lo")) & (F.col(pos) < F.col("hi"))).drop("lo", "hi")
 
 
 # ---------------------------------------------------------------- item 32

@@ -10,28 +10,27 @@ from ..operators.decompose import decompose
 from ..session import cut_lineage
 from .q_eval import IMPUTED_HOURLY_SQL, decompose_sql, imputed_hourly
 from .registry import ORACLE, query
+from .sqlbits2 import series_folds_sql
 
-S, WF, WINDOW, WP = 384, 72, 168, 288   # hourly analogue of 131040 / 10080 / 4 weeks / 40320
 N_Q = 999
-CAL_SPLIT = 432
+CAL_PART = (3, 5)  # training share of a series for the calibration table
 
 
 # ---- item 59: time-of-day dynamic baseline over 4 walk-forward folds ----
 @query("dynamic_baseline", sql=f"""
 WITH s AS ({IMPUTED_HOURLY_SQL}),
-f AS (SELECT CAST(i AS INTEGER) AS fold, greatest({S} + {WF} * i - {WINDOW}, 0) AS train_lo,
-             {S} + {WF} * i AS test_lo, {S} + {WF} * (i + 1) AS test_hi FROM range(4) t(i)),
+f AS (SELECT sensor AS of, fold, greatest(start - 7 * s // 16, 0) AS train_lo, start AS test_lo, stop AS test_hi FROM ({series_folds_sql("SELECT * FROM s")})),
 x AS (SELECT *, CAST(((epoch_us(ts) // 1000000) % 86400) // 3600 AS INTEGER) AS slot FROM s),
 m AS (SELECT fold, sensor, slot, avg(v) AS mean, stddev_samp(v) AS std, count(v) AS n_train
-      FROM x JOIN f ON pos >= train_lo AND pos < test_lo GROUP BY fold, sensor, slot),
-t AS (SELECT fold, sensor, ts, pos, v, slot FROM x JOIN f ON pos >= test_lo AND pos < test_hi),
+      FROM x JOIN f ON sensor = of AND pos >= train_lo AND pos < test_lo GROUP BY fold, sensor, slot),
+t AS (SELECT fold, sensor, ts, pos, v, slot FROM x JOIN f ON sensor = of AND pos >= test_lo AND pos < test_hi),
 z AS (SELECT t.*, m.mean, m.std, m.n_train, round((v - m.mean) / nullif(m.std, 0), 6) AS z_raw
       FROM t LEFT JOIN m ON t.fold = m.fold AND t.sensor = m.sensor AND t.slot = m.slot)
 SELECT fold, sensor, ts, pos, round(v, 6) AS value, round(mean, 6) AS mean, round(std, 6) AS std, n_train,
        CASE WHEN abs(z_raw) >= 3 THEN z_raw ELSE 0.0 END AS z FROM z""")
 def q_dynamic_baseline(spark, d):
-    folds = detect.baseline_folds(spark, S, WF, WINDOW)
-    z = detect.dynamic_baseline(imputed_hourly(spark, d), folds)
+    x = imputed_hourly(spark, d)
+    z = detect.dynamic_baseline(x, shape.series_folds(x, mode="baseline"))
     return z.withColumn("value", F.round("value", 6))
 
 
@@ -40,32 +39,35 @@ _PROBS = ", ".join(repr(k / (N_Q + 1)) for k in range(1, N_Q + 1))
 
 
 @query("calibrate_scores", sql=f"""
-WITH d AS (SELECT sensor, ts, pos, round(resid, 6) AS r FROM ({decompose_sql(24)}) WHERE resid IS NOT NULL),
-q AS (SELECT sensor, quantile_cont(r, [{_PROBS}]) AS qs FROM d WHERE pos < {CAL_SPLIT} GROUP BY sensor),
+WITH d0 AS (SELECT sensor, ts, pos, round(resid, 6) AS r FROM ({decompose_sql(24)}) WHERE resid IS NOT NULL),
+d AS (SELECT d0.*, cut FROM d0 JOIN (SELECT sensor, (max(pos) + 1) * {CAL_PART[0]} // {CAL_PART[1]} AS cut FROM d0 GROUP BY sensor) USING (sensor)),
+q AS (SELECT sensor, quantile_cont(r, [{_PROBS}]) AS qs FROM d WHERE pos < cut GROUP BY sensor),
 t AS (SELECT d.sensor, d.ts, d.pos, d.r AS resid,
              (len(list_filter(list_transform(q.qs, lambda v: round(v, 6)), lambda v: v <= d.r)) + 0.5) / {N_Q + 1}.0 AS cdf
-      FROM d JOIN q ON d.sensor = q.sensor WHERE d.pos >= {CAL_SPLIT}),
+      FROM d JOIN q ON d.sensor = q.sensor WHERE d.pos >= cut),
 z AS (SELECT *, round({inv_norm_sql('cdf')}, 6) AS z_raw FROM t)
 SELECT sensor, ts, pos, resid, cdf, z_raw, CASE WHEN abs(z_raw) >= 3 THEN z_raw ELSE 0.0 END AS z FROM z""")
 def q_calibrate_scores(spark, d):
     imp = imputed_hourly(spark, d)
     dec = (decompose(imp, 24).where(F.col("resid").isNotNull())
            .select("sensor", "ts", "pos", F.round("resid", 6).alias("resid")))
-    qt = detect.quantile_table(dec.where(F.col("pos") < CAL_SPLIT), "sensor", "resid", N_Q)
-    z = detect.calibrate(dec.where(F.col("pos") >= CAL_SPLIT), qt, "sensor", "resid", N_Q)
+    cut = dec.groupBy("sensor").agg(F.floor((F.max("pos") + 1) * CAL_PART[0] / CAL_PART[1]).alias("_cut"))
+    dec = dec.join(cut, "sensor")
+    qt = detect.quantile_table(dec.where(F.col("pos") < F.col("_cut")), "sensor", "resid", N_Q)
+    z = detect.calibrate(dec.where(F.col("pos") >= F.col("_cut")), qt, "sensor", "resid", N_Q)
     return z.select("sensor", "ts", "pos", "resid", "cdf", "z_raw", "z")
 
 
 def _sliding(spark, d):
-    folds = shape.folds_table(spark, S, WF, WP, 4, "sliding")
-    return shape.walk_forward(imputed_hourly(spark, d), folds)
+    x = imputed_hourly(spark, d)
+    return shape.walk_forward(x, shape.series_folds(x, mode="sliding"))
 
 
 # ---- item 62 (sizing): adaptive forest size per fold and sensor ----
 @query("forest_size", sql=f"""
 WITH s AS ({IMPUTED_HOURLY_SQL}),
-f AS (SELECT CAST(i AS INTEGER) AS fold, greatest({S} + {WF} * i - {WP}, 0) AS lo, {S} - 1 + {WF} * i AS hi FROM range(4) t(i)),
-tr AS (SELECT fold, sensor, v FROM s JOIN f ON pos >= lo AND pos < hi),
+f AS (SELECT sensor AS of, fold, greatest(start - 3 * s // 4, 0) AS lo, start - 1 AS hi FROM ({series_folds_sql("SELECT * FROM s")})),
+tr AS (SELECT fold, sensor, v FROM s JOIN f ON sensor = of AND pos >= lo AND pos < hi),
 st AS (SELECT fold, sensor, median(v) AS med, avg(v) AS mean, count(v) AS n FROM tr GROUP BY fold, sensor),
 md AS (SELECT tr.fold, tr.sensor, avg(abs(v - mean)) AS mad FROM tr JOIN st ON tr.fold = st.fold AND tr.sensor = st.sensor
        GROUP BY tr.fold, tr.sensor),
@@ -92,8 +94,8 @@ _MIXED = _MIX.format(x=f"({_MIXED}) * 73244475 % 4294967296")
 # ---- item 62 (samples): the rows of every tree, drawn by arithmetic ----
 @query("forest_samples", sql=f"""
 WITH s AS ({IMPUTED_HOURLY_SQL}), size AS ({_SIZE_SQL}),
-f AS (SELECT CAST(i AS INTEGER) AS fold, greatest({S} + {WF} * i - {WP}, 0) AS lo, {S} - 1 + {WF} * i AS hi FROM range(4) t(i)),
-tr AS (SELECT fold, sensor, pos, v FROM s JOIN f ON pos >= lo AND pos < hi),
+f AS (SELECT sensor AS of, fold, greatest(start - 3 * s // 4, 0) AS lo, start - 1 AS hi FROM ({series_folds_sql("SELECT * FROM s")})),
+tr AS (SELECT fold, sensor, pos, v FROM s JOIN f ON sensor = of AND pos >= lo AND pos < hi),
 sp AS (SELECT fold, sensor, min(pos) AS lo, max(pos) - min(pos) + 1 AS n_rows FROM tr GROUP BY 1, 2),
 d AS (SELECT fold, sensor, samples, lo, n_rows, tree, unnest(range(least(samples, n_rows))) AS j
       FROM (SELECT fold, sensor, samples, lo, n_rows, unnest(range(trees)) AS tree FROM size JOIN sp USING (fold, sensor))),
@@ -133,9 +135,8 @@ def forest_z(x, sizes):
 def q_additive_forecast(spark, d):
     from ..operators import forecast, stats
     from .domain import point_labels
-    folds = spark.createDataFrame([(0, "train", S - WP, S), (0, "test", S, S + WF)],
-                                  "fold int, role string, lo long, hi long")
-    pred = forecast.walk_forward_forecast(imputed_hourly(spark, d), folds, 3600, WP, daily=True)
+    x = imputed_hourly(spark, d)
+    pred = forecast.walk_forward_forecast(x, shape.series_folds(x, n_folds=1), 3600, daily=True)
     flagged = forecast.residual_fence(pred).join(point_labels(spark, d), "ts")
     m = stats.binary_metrics(flagged, "sensor", "label", "flag")
     err = stats.forecast_error(pred.where(F.col("role") == "test"), "sensor", "value", "yhat")
@@ -146,8 +147,8 @@ def q_additive_forecast(spark, d):
 @query("forecast_zscores")
 def q_forecast_zscores(spark, d):
     from ..operators import forecast
-    folds = shape.folds_table(spark, S, WF, WP, 4, "sliding")
-    pred = forecast.walk_forward_forecast(imputed_hourly(spark, d), folds, 3600, WP, daily=True)
+    x = imputed_hourly(spark, d)
+    pred = forecast.walk_forward_forecast(x, shape.series_folds(x, mode="sliding"), 3600, daily=True)
     z = forecast.residual_z(pred)
     return z.select("fold", "sensor", "ts", "pos", F.round("value", 6).alias("value"),
                     F.round("yhat", 6).alias("yhat"), "z")
@@ -156,19 +157,18 @@ def q_forecast_zscores(spark, d):
 # ---- items 1-3: write the scores as CSV partitioned by model, re-read with a schema ----
 @query("sink_roundtrip", sql=f"""
 WITH s AS ({IMPUTED_HOURLY_SQL}),
-f AS (SELECT CAST(i AS INTEGER) AS fold, greatest({S} + {WF} * i - {WINDOW}, 0) AS train_lo,
-             {S} + {WF} * i AS test_lo, {S} + {WF} * (i + 1) AS test_hi FROM range(4) t(i)),
+f AS (SELECT sensor AS of, fold, greatest(start - 7 * s // 16, 0) AS train_lo, start AS test_lo, stop AS test_hi FROM ({series_folds_sql("SELECT * FROM s")})),
 x AS (SELECT *, CAST(((epoch_us(ts) // 1000000) % 86400) // 3600 AS INTEGER) AS slot FROM s),
 m AS (SELECT fold, sensor, slot, avg(v) AS mean, stddev_samp(v) AS std
-      FROM x JOIN f ON pos >= train_lo AND pos < test_lo GROUP BY fold, sensor, slot),
-t AS (SELECT fold, sensor, ts, v, slot FROM x JOIN f ON pos >= test_lo AND pos < test_hi),
+      FROM x JOIN f ON sensor = of AND pos >= train_lo AND pos < test_lo GROUP BY fold, sensor, slot),
+t AS (SELECT fold, sensor, ts, v, slot FROM x JOIN f ON sensor = of AND pos >= test_lo AND pos < test_hi),
 z AS (SELECT t.sensor, t.ts, round((v - m.mean) / nullif(m.std, 0), 6) AS z_raw
       FROM t LEFT JOIN m ON t.fold = m.fold AND t.sensor = m.sensor AND t.slot = m.slot)
 SELECT 'DynamicBaseline' AS model, sensor, ts, CASE WHEN abs(z_raw) >= 3 THEN z_raw ELSE 0.0 END AS z FROM z""")
 def q_sink_roundtrip(spark, d):
     from ..sources import sinks
-    folds = detect.baseline_folds(spark, S, WF, WINDOW)
-    z = detect.dynamic_baseline(imputed_hourly(spark, d), folds)
+    x = imputed_hourly(spark, d)
+    z = detect.dynamic_baseline(x, shape.series_folds(x, mode="baseline"))
     path = sinks.result_path(spark, "scores")
     sinks.write_scores_csv(z.select(F.lit("DynamicBaseline").alias("model"), "sensor", "ts", "z"), path)
     return sinks.read_scores_csv(spark, path)

@@ -10,7 +10,7 @@ from ..sources.tables import load
 from .domain import point_labels, readings
 from .registry import query
 from .sqlbits import binned_grid
-from .sqlbits2 import POINT_LABELS_SQL
+from .sqlbits2 import POINT_LABELS_SQL, series_folds_sql
 
 SENSORS = ["click", "error", "purchase", "signup", "view"]
 DAY_US = 86400 * 10**6
@@ -68,24 +68,18 @@ def q_chrono_split(spark, d):
 
 
 # ---- item 27: walk-forward folds, expanding and sliding ----
-S, WF, WP = 384, 72, 288
-
-
 @query("walk_forward", sql=f"""
-WITH g AS ({binned_grid(3600)}),
+WITH g AS ({binned_grid(3600)}), b AS ({series_folds_sql("SELECT * FROM g")}),
 f AS (
-  SELECT 'expanding' AS mode, CAST(i AS INTEGER) AS fold, 'train' AS role, 0 AS lo, {S} + {WF} * i AS hi FROM range(4) t(i)
-  UNION ALL SELECT 'expanding', CAST(i AS INTEGER), 'test', {S} + {WF} * i, {S} + {WF} * (i + 1) FROM range(4) t(i)
-  UNION ALL SELECT 'sliding', CAST(i AS INTEGER), 'train', greatest({S} + {WF} * i - {WP}, 0), {S} - 1 + {WF} * i FROM range(4) t(i)
-  UNION ALL SELECT 'sliding', CAST(i AS INTEGER), 'test', {S} - 1 + {WF} * i, {S} + {WF} * (i + 1) FROM range(4) t(i))
-SELECT f.mode, f.fold, f.role, g.sensor, g.pos, g.ts FROM g JOIN f ON g.pos >= f.lo AND g.pos < f.hi""")
+  SELECT 'expanding' AS mode, sensor, fold, 'train' AS role, 0 AS lo, start AS hi FROM b
+  UNION ALL SELECT 'expanding', sensor, fold, 'test', start, stop FROM b
+  UNION ALL SELECT 'sliding', sensor, fold, 'train', greatest(start - 3 * s // 4, 0), start - 1 FROM b
+  UNION ALL SELECT 'sliding', sensor, fold, 'test', start - 1, stop FROM b)
+SELECT f.mode, f.fold, f.role, g.sensor, g.pos, g.ts FROM g JOIN f ON g.sensor = f.sensor AND g.pos >= f.lo AND g.pos < f.hi""")
 def q_walk_forward(spark, d):
     g = hourly(spark, d).select("sensor", "pos", "ts")
-    parts = []
-    for mode in ("expanding", "sliding"):
-        folds = shape.folds_table(spark, S, WF, WP, 4, mode)
-        parts.append(shape.walk_forward(g, folds).withColumn("mode", F.lit(mode)))
-    return parts[0].unionByName(parts[1]).select("mode", "fold", "role", "sensor", "pos", "ts")
+    modes = [shape.series_folds(g, mode=m).withColumn("mode", F.lit(m)) for m in ("expanding", "sliding")]
+    return shape.walk_forward(g, modes[0].unionByName(modes[1])).select("mode", "fold", "role", "sensor", "pos", "ts")
 
 
 # ---- item 32: scenarios of 7 days from the first day ----

@@ -54,3 +54,12 @@ POINT_LABELS_SQL = f"""
   c2 AS (SELECT ts, coalesce(n, 0) AS n FROM c),
   q AS (SELECT quantile_cont(n, 0.9) AS q90 FROM c2)
   SELECT ts, CAST(n > q90 AS INTEGER) AS label FROM c2, q"""
+
+
+def series_folds_sql(series: str) -> str:
+    """Bounds of four folds from each series' own length: sensor, fold, n, s
+    (the first split), start and stop of the test part."""
+    return f"""
+  SELECT sensor, CAST(i AS INTEGER) AS fold, n, s, s + wf * i AS start, CASE WHEN i = 3 THEN n ELSE s + wf * (i + 1) END AS stop
+  FROM (SELECT sensor, n, n * 8 // 15 AS s, (n - n * 8 // 15) // 4 AS wf FROM (SELECT sensor, max(pos) + 1 AS n FROM ({series}) GROUP BY sensor)),
+       range(4) t(i)"""
