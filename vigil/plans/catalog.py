@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-MODULES = ["q_grid", "q_shape", "q_features", "q_eval", "q_detect", "q_cluster", "q_classify", "q_stream"]
+MODULES = ["q_grid", "q_shape", "q_features", "q_eval", "q_detect", "q_cluster", "q_classify", "q_experiment", "q_stream"]
 
 for _m in MODULES:
     importlib.import_module(f"{__package__}.{_m}")
