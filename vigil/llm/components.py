@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import drop_table, write_table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     mark = None
     while True:
-        now = write_table(_star(write_table(_star(now, True), "cc-large"), False), "cc")
+        large = write_table(_star(now, True), "cc-large")
+        drop_table(now)
+        now = write_table(_star(large, False), "cc")
+        drop_table(large)
         # stars are reached when a step leaves the edge set as it is
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import broadcast_if_small, documents, text_digest, without, write_table
+from .common import broadcast_if_small, documents, drop_table, text_digest, without, write_table
 from .components import components
 
 N = 5
@@ -282,7 +282,10 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, n:
     found = texts.mapInArrow(scan, "node long, shingles binary").join(wanted, "node", "left_semi")
     found = write_table(found.dropDuplicates(["node"]), "shingles")
     both = near.join(of(found, "b", "shingles"), "b").join(of(found, "a", "shingles"), "a").select("a", "b", "a_shingles", "b_shingles")
-    return write_table(both.mapInArrow(overlap, "a long, b long"), "links")
+    out = write_table(both.mapInArrow(overlap, "a long, b long"), "links")
+    for table in (near, wanted, found):
+        drop_table(table)
+    return out
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
@@ -294,6 +297,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N)
     often = freq.select(F.col("token").alias("t"))
     rows = rows.join(often, F.shiftrightunsigned(rows["token"], SHIFT) == often["t"], "left_semi").distinct()
     rows = write_table(rows, "prefixes")
+    drop_table(freq)
 
     lead = rows.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("most")).where("node < most").select("token", "node")
     lead = rows.join(lead, ["token", "node"], "left_semi")
@@ -302,11 +306,13 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N)
     first = write_table(first.select(*pair).distinct(), "first-pairs")
     linked = verify(docs, first, nodes, percent, n)
 
-    rows = rows.join(nodes.select("node", "fold"), "node")
     found, tried, turn = linked, first, 0
     root = components(found)
+    held, rows = rows, rows.join(nodes.select("node", "fold"), "node")
     while True:
         rows = _open_rows(rows, root)
+        drop_table(held)
+        held = rows
         if not _crowded(rows, found):
             break
         # every node meets one node of each shingle, another one each turn
@@ -322,7 +328,10 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N)
     cross = rows.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") < F.col("b.root"))
                                  & _fits(percent) & _near(percent))
     cross = write_table(cross.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "cross-pairs")
-    return linked.unionByName(verify(docs, cross, nodes, percent, n))
+    out = linked.unionByName(verify(docs, cross, nodes, percent, n))
+    for table in (cross, held):
+        drop_table(table)
+    return out
 
 
 def _open_rows(rows: DataFrame, root: DataFrame) -> DataFrame:
