@@ -39,10 +39,12 @@ def drop_table(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint when the counted rows fit ``limit`` bytes; otherwise the
-    plain table, which the planner joins by shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint when the rows fit ``limit`` bytes; otherwise the plain
+    table, which the planner joins by shuffle. ``row_bytes``: a bound for every
+    row, or a column with each row's own size where rows have none."""
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 @contextlib.contextmanager

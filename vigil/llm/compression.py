@@ -1,7 +1,8 @@
 """Quality by compression (operator 8).
 
 Two zstandard dictionaries are built from a bounded sample of labelled texts,
-one from good and one from bad ones. A text is compressed with both; the
+one from good and one from bad ones: whole texts are cut into pieces, and of the
+pieces, wherever in a text they stand, a hash takes ``SAMPLE_PIECES`` of a kind. A text is compressed with both; the
 difference of the compressed sizes, normalised by the text's size and by the
 compressed sizes, says which kind it resembles. A logistic fit, which is also
 told how well the text compresses at all (endless repetition shrinks to nothing
@@ -31,8 +32,7 @@ from .labelled import TRAIN_ROWS, fit_logistic, is_fold, labelled_texts, logisti
 
 PIECE = 2048               # bytes compressed at once
 DICTIONARY = 110 << 10     # bytes of a dictionary
-SAMPLE_TEXTS = 2_000       # most texts of each kind that train a dictionary
-SAMPLE_CHARS = 8_192       # of each of them; scoring reads whole texts
+SAMPLE_PIECES = 4_000      # most pieces of each kind that train a dictionary
 LEVEL = 3
 
 
@@ -80,16 +80,31 @@ def compressed_sizes(batch, column: str, compressors) -> np.ndarray:
     return np.array(out, float).reshape(-1, 3)
 
 
-def build_dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """A trained dictionary; the texts' own bytes where they are too few to
+def build_dictionary(parts: list[bytes], size: int = DICTIONARY) -> bytes:
+    """A trained dictionary; the pieces' own bytes where they are too few to
     train one."""
-    parts = [t[i:i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
     try:
         return zstandard.train_dictionary(size, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(parts)[-size:].ljust(8, b"\n")
 
 
+def text_pieces(sample: DataFrame) -> DataFrame:
+    """(y, rank, piece) of all pieces of the whole texts of (doc_id, text, y);
+    ``rank`` orders pieces by a hash, whatever their place."""
+    def cut(batches):
+        for b in batches:
+            for rows, data, off in tb.text_chunks(b, "text"):
+                own = [(d, n, data[i:min(z, i + PIECE)].tobytes()) for d, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+                       for n, i in enumerate(range(a, z, PIECE))]
+                at = pa.array([d for d, _, _ in own], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(at), rows.column(2).take(at), pa.array([n for _, n, _ in own], pa.int64()),
+                     pa.array([p for _, _, p in own], pa.binary())], names=["doc_id", "y", "n", "piece"])
+    pieces = sample.select("doc_id", "text", "y").mapInArrow(cut, "doc_id long, y int, n long, piece binary")
+    return pieces.select("y", F.xxhash64("doc_id", "y", "n").alias("rank"), "piece")
+
+
 def train_model(docs: DataFrame, labels: DataFrame, train, label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Dictionaries from one half of the sample (by a hash of doc_id), the
     calibration from the other half."""
@@ -98,12 +113,12 @@ def train_model(docs: DataFrame, labels: DataFrame, train, label: str = "quality
     try:
         # a dictionary is trained in one task, from a bounded share of its kind
         def build(table: pa.Table) -> pa.Table:
-            texts = [t.encode() for _, t in sorted(zip(table.column("rank").to_pylist(), table.column("text").to_pylist(), strict=True)) if t]
+            pieces = [p for _, p in sorted(zip(table.column("rank").to_pylist(), table.column("piece").to_pylist(), strict=True))]
             return pa.table({"y": table.column("y").slice(0, 1).combine_chunks().cast(pa.int32()),
-                             "dictionary": pa.array([build_dictionary(texts)], pa.binary())})
+                             "dictionary": pa.array([build_dictionary(pieces)], pa.binary())})
 
-        texts = sample.where("half = 0").select("y", F.xxhash64("doc_id", "y").alias("rank"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        of = lambda y: texts.where(f"y = {y}").orderBy("rank", "text").limit(SAMPLE_TEXTS)
+        pieces = text_pieces(sample.where("half = 0"))
+        of = lambda y: pieces.where(f"y = {y}").orderBy("rank", "piece").limit(SAMPLE_PIECES)
         made = {r["y"]: bytes(r["dictionary"]) for r in of(0).unionByName(of(1)).groupBy("y").applyInArrow(build, "y int, dictionary binary").collect()}
         rate = sample.agg(F.avg("y")).first()[0]
         rate = 0.5 if rate is None else float(rate)

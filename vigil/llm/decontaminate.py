@@ -12,7 +12,11 @@ a-z and non-ASCII characters.
 2. Join: document fingerprints meet benchmark fingerprints by hash. Before
    they leave the scan they pass a bit table of fixed size filled with the
    benchmark's fingerprints (no false negatives), so only candidates, with the
-   words around them, reach the join; it needs no second scan.
+   words around them, reach the join; it needs no second scan. Fingerprints of
+   both sides carry only the words that a window around them can hold (at most
+   ``2 * span - k``), whatever the length of the item, and an item's equal
+   fingerprints with equal words around them count once. The benchmark side is
+   broadcast if its bytes, added up row by row, are few.
 3. Extend: around each candidate the words themselves are compared at every
    offset at which a window can hold the k-gram.
 
@@ -37,7 +41,7 @@ GRAM = 5
 #: Size of the bit table: 2^24 bits, 2 MB in each task whatever the benchmark.
 TABLE_BITS = 24
 
-_PRINTS = pa.list_(pa.struct([("hash", pa.int64()), ("k", pa.int32()), ("pos", pa.int32())]))
+_PRINTS = pa.list_(pa.struct([("hash", pa.int64()), ("k", pa.int32()), ("pos", pa.int32()), ("words", pa.list_(pa.string()))]))
 _FOUND = pa.list_(pa.struct([("hash", pa.int64()), ("k", pa.int32()), ("pos", pa.int32()),
                              ("first", pa.int32()), ("words", pa.list_(pa.string()))]))
 
@@ -64,24 +68,35 @@ def word_hashes(batch, column):
 
 
 def item_table(benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    """item_id, words (array of strings) and fingerprints of every item."""
+    """item_id, number of words and fingerprints of every item, each with the
+    words of all windows that hold it (``pos``: its place among these)."""
     def items(batches):
         for b in batches:
             for rows, low, starts, ends, first, h in word_hashes(b, "text"):
-                words, prints = [], []
+                prints = []
                 for i in range(len(rows)):
                     a, z = first[i], first[i + 1]
-                    words.append([low[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[a:z], ends[a:z], strict=True)])
                     size = k if z - a >= span else int(z - a)
                     grams = tb.gram_hashes(h[a:z], size) if size else h[:0]
                     at = np.flatnonzero(winnow(grams, span - k + 1)) if z - a >= span else range(len(grams))
-                    prints.append([{"hash": int(grams[p].view(np.int64)), "k": size, "pos": int(p)} for p in at])
+                    found = {}
+                    for p in at:
+                        lo, hi = max(a, a + p - (span - size)), min(z, a + p + span)
+                        around = tuple(low[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(starts[lo:hi], ends[lo:hi], strict=True))
+                        found[int(grams[p].view(np.int64)), int(a + p - lo), around] = size
+                    prints.append([{"hash": g, "k": n, "pos": p, "words": w} for (g, p, w), n in found.items()])
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).cast(pa.string()), pa.array(words, pa.list_(pa.string())), pa.array(prints, _PRINTS)],
-                    names=["item_id", "words", "prints"])
+                    [rows.column(0).cast(pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(prints, _PRINTS)],
+                    names=["item_id", "n_words", "prints"])
     table = benchmark.select("item_id", "text").mapInArrow(
-        items, "item_id string, words array<string>, prints array<struct<hash: long, k: int, pos: int>>")
-    return write_table(table.where("size(words) > 0"), "benchmark")
+        items, "item_id string, n_words long, prints array<struct<hash: long, k: int, pos: int, words: array<string>>>")
+    return write_table(table.where("n_words > 0"), "benchmark")
+
+
+def print_bytes() -> Column:
+    """Size of a row of fingerprints in memory: words with their places in the
+    array and padding, the item, and the other columns."""
+    return F.octet_length(F.concat_ws("", "item_words")) + 16 * F.size("item_words") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 128
 
 
 def bit_table(items: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
@@ -136,15 +151,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     contaminated; with ``digest``, that column too."""
     items = item_table(benchmark, span, k)
     # lengths of the items that are shorter than a window: fewer than ``span`` numbers
-    short = tuple(r[0] for r in items.where(F.size("words") < span).select(F.size("words")).distinct().collect())
+    short = tuple(r[0] for r in items.where(F.col("n_words") < span).select("n_words").distinct().collect())
     table = bit_table(items)
     rows = write_table(candidates(docs, table, short, span, k, digest).withColumn("row", F.monotonically_increasing_id()), "winnowed")
-    prints = items.select("item_id", "words", F.explode("prints").alias("p")).select(
-        "item_id", F.col("words").alias("item_words"), F.col("p.hash").alias("hash"), F.col("p.k").alias("k"), F.col("p.pos").alias("item_pos"))
-    prints = broadcast_if_small(prints, 2048)
+    prints = items.select("item_id", F.explode("prints").alias("p")).select(
+        "item_id", F.col("p.words").alias("item_words"), F.col("p.hash").alias("hash"), F.col("p.k").alias("k"), F.col("p.pos").alias("item_pos"))
+    prints = broadcast_if_small(prints, print_bytes())
     met = (rows.where("size(found) > 0").select("row", F.explode("found").alias("f")).select("row", "f.*")
            .join(prints, ["hash", "k"]))
-    n_item = F.size("item_words")
+    n_item = F.size("item_words")  # fewer than ``span`` only where the item is
     # before: words of the window that stand before the k-gram
     before = F.when(n_item < span, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(span) - F.col("k")))
     length = F.least(n_item, F.lit(span))

@@ -10,9 +10,11 @@ Forward-backward gives every word's posterior; a text's language is the one
 with the largest mean posterior, which is its score.
 
 Training maximises the conditional likelihood (exact forward-backward
-gradients, Adam) on a bounded sample of documents whose language is given:
-sequences in which stretches of different documents, hence languages, follow
-each other, so that switches are seen. It runs in one task.
+gradients, Adam) on a bounded sample of documents whose language is given. Their
+whole texts are cut into stretches of 8 to 40 words; of these, wherever in a text
+they stand, a hash takes about ``TRAIN_STRETCHES`` of each language. In the
+training sequences stretches of different documents, hence languages, follow
+each other, so that switches are seen. The fit runs in one task.
 
 Scoring is vectorised over whole chunks of texts. Long texts are cut into
 blocks of ``BLOCK`` words whose transfer matrices are combined first, so the
@@ -32,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import documents
+from .common import documents, drop_table, write_table
 from .labelled import is_fold
 
 TABLE = 1 << 17          # hashed features
 TRAIN_DOCS = 300         # documents of each language in a fit (expected)
-TRAIN_CHARS = 1_000      # of each of them; scoring reads whole texts
+TRAIN_STRETCHES = 2_500  # stretches of their texts, of each language (expected)
 STEPS = 40
 BLOCK = 32
 LETTERS = tb.byte_class([(0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)])
@@ -140,6 +142,7 @@ def posteriors(score: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.nd
 # ------------------------------------------------------------------ training
 def fit(langs, rows, tri, n_bytes, y, length: int = 64, steps: int = STEPS, rate: float = 0.1, ridge: float = 1e-4) -> Model:
     """Adam on the mean conditional log-likelihood of sequences of ``length``."""
+    length = max(1, min(length, len(y)))
     k, n = len(langs), len(y) // length * length
     rows, n_bytes, y = rows[:n], n_bytes[:n], y[:n]
     tri = tri[:int(n_bytes.sum())]
@@ -178,17 +181,45 @@ def fit(langs, rows, tri, n_bytes, y, length: int = 64, steps: int = STEPS, rate
     return Model(langs, w, moves)
 
 
-def train_model(docs: DataFrame, train, per_lang: int = TRAIN_DOCS) -> Model:
-    """Fit on about ``per_lang`` documents of each language, chosen by a hash
-    of doc_id, among those with ``train`` true."""
+def stretches(sample: DataFrame) -> DataFrame:
+    """(lang, place, text) of all stretches of 8 to 40 words of the whole texts
+    of (lang, place, text); ``place`` then orders the stretches by a hash."""
+    def cut(batches):
+        for b in batches:
+            for rows, data, off in tb.text_chunks(b, "text"):
+                starts, ends, first = tb.word_spans(tb.LOWER[data], off, LETTERS)
+                own, nth, text = [], [], []
+                for d in range(len(rows)):
+                    rng = np.random.default_rng(int(off[d + 1] - off[d]))
+                    i, n = int(first[d]), 0
+                    while i < first[d + 1]:
+                        j = min(int(first[d + 1]), i + int(rng.integers(8, 41)))
+                        own.append(d)
+                        nth.append(n)
+                        text.append(data[starts[i]:ends[j - 1]].tobytes().decode("utf-8", "replace"))
+                        i, n = j, n + 1
+                at = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(nth, pa.int64()), pa.array(text, pa.string())],
+                                                 names=["lang", "place", "nth", "text"])
+    table = sample.select("lang", "place", "text").mapInArrow(cut, "lang string, place long, nth long, text string")
+    return table.select("lang", F.pmod(F.xxhash64("place", "nth", "text"), F.lit(1_000_000)).alias("place"), "text")
+
+
+def train_model(docs: DataFrame, train, per_lang: int = TRAIN_DOCS, per_lang_stretches: int = TRAIN_STRETCHES) -> Model:
+    """Fit on about ``per_lang_stretches`` stretches of the texts of about
+    ``per_lang`` documents of each language, both chosen by hashes, among the
+    documents with ``train`` true."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0)))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(1_000_000))
-    share = F.create_map(*(F.lit(x) for lang in langs for x in (lang, int(min(1_000_000, 1_000_000 * per_lang / counts[lang]) + 1))))
-    sample = known.where(place < share[F.col("lang")]).select("lang", place.alias("place"), F.substring("text", 1, TRAIN_CHARS).alias("text"), F.lit(1).alias("fit"))
+    share = lambda most, counts: F.create_map(*(F.lit(x) for lang in langs for x in (
+        lang, int(min(1_000_000, 1_000_000 * most / max(1, counts.get(lang, 0))) + 1))))[F.col("lang")]
+    found = write_table(stretches(known.where(place < share(per_lang, counts)).select("lang", place.alias("place"), "text")), "stretches")
+    counts = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = found.where(F.col("place") < share(per_lang_stretches, counts)).withColumn("fit", F.lit(1))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("place", "ascending"), ("text", "ascending")]).combine_chunks()
@@ -199,14 +230,8 @@ def train_model(docs: DataFrame, train, per_lang: int = TRAIN_DOCS) -> Model:
         for rows, data, off in tb.text_chunks(batch, "text", 1 << 30):
             low = tb.LOWER[data]
             starts, ends, first = tb.word_spans(low, off, LETTERS)
-            # stretches of 8 to 40 words, in random order: languages alternate
-            pieces = []
-            for d in range(len(rows)):
-                i = int(first[d])
-                while i < first[d + 1]:
-                    j = min(int(first[d + 1]), i + int(rng.integers(8, 41)))
-                    pieces.append((i, j, y[d]))
-                    i = j
+            # in random order: languages alternate
+            pieces = [(int(first[d]), int(first[d + 1]), y[d]) for d in range(len(rows))]
             order = rng.permutation(len(pieces))
             words = np.concatenate([np.arange(pieces[o][0], pieces[o][1]) for o in order]) if pieces else np.zeros(0, np.int64)
             labels = np.concatenate([np.full(pieces[o][1] - pieces[o][0], pieces[o][2]) for o in order]) if pieces else np.zeros(0, np.int64)
@@ -218,7 +243,10 @@ def train_model(docs: DataFrame, train, per_lang: int = TRAIN_DOCS) -> Model:
         return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "moves": pa.array([model.moves.tobytes()], pa.binary())})
 
     got = sample.groupBy("fit").applyInArrow(run, "weights binary, moves binary").first()
+    drop_table(found)
     k = len(langs)
+    if got is None:
+        return Model([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0)))
     return Model(langs, np.frombuffer(got["weights"], np.float32).reshape(TABLE, k), np.frombuffer(got["moves"], float).reshape(k, k))
 
 
