@@ -6,12 +6,16 @@ session zone set by ``vigil.session.ensure_session`` the casts below are exact.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 US_PER_SEC = 1_000_000
 
 _UNITS = {
+    "us": Fraction(1, 1_000_000), "microsecond": Fraction(1, 1_000_000), "microseconds": Fraction(1, 1_000_000),
+    "ms": Fraction(1, 1_000), "millisecond": Fraction(1, 1_000), "milliseconds": Fraction(1, 1_000),
     "s": 1, "sec": 1, "second": 1, "seconds": 1,
     "m": 60, "min": 60, "minute": 60, "minutes": 60,
     "h": 3600, "hour": 3600, "hours": 3600,
@@ -20,14 +24,19 @@ _UNITS = {
 }
 
 
-def step_seconds(step: str | int | float) -> int:
-    """'20 minutes' / '1h' / '6 hours' / 3600 -> seconds."""
+def step_us(step: str | int | float) -> int:
+    """'20 minutes' / '1h' / '0.5s' / '250ms' / 3600 (seconds) -> microseconds,
+    exactly. A step that is not a whole, positive number of microseconds (the
+    resolution of timestamps) is an error; it is never rounded."""
     if isinstance(step, (int, float)):
-        return int(step)
-    s = step.strip().lower().replace(" ", "")
-    num = "".join(ch for ch in s if ch.isdigit() or ch == ".")
-    unit = s[len(num):]
-    return int(float(num or 1) * _UNITS[unit])
+        us = Fraction(str(step)) * US_PER_SEC
+    else:
+        s = step.strip().lower().replace(" ", "")
+        num = "".join(ch for ch in s if ch.isdigit() or ch == ".")
+        us = Fraction(num or 1) * _UNITS[s[len(num):]] * US_PER_SEC
+    if us.denominator != 1 or us < 1:
+        raise ValueError(f"step {step!r} is not a whole, positive number of microseconds")
+    return int(us)
 
 
 def col_(c) -> Column:
@@ -50,7 +59,7 @@ def from_epoch_us(us) -> Column:
 
 def floor_to_step(ts, step: str | int) -> Column:
     """Left edge of the fixed bin of width ``step`` holding ``ts`` (epoch aligned)."""
-    w = step_seconds(step) * US_PER_SEC
+    w = step_us(step)
     return from_epoch_us(F.floor(epoch_us(ts) / F.lit(w)).cast("long") * F.lit(w))
 
 

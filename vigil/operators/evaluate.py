@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import US_PER_SEC, epoch_us, step_seconds
+from ..functions.time import US_PER_SEC, epoch_us, step_us
 from .bucketing import bucketed_cumsum, bucketed_window
 from .stats import prf
 
@@ -176,7 +176,7 @@ def alarm_episodes(df: DataFrame, keys, gap: str = "10 minutes", ts: str = "ts",
     Keys are not null; alarms without a time belong to no episode.
     """
     keys = _keys(keys)
-    gap_us = step_seconds(gap) * US_PER_SEC
+    gap_us = step_us(gap)
     width = max(bucket_s * US_PER_SEC, gap_us)
     x = (df.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_c"))
            .withColumn("_us", epoch_us("_ts")).withColumn("_tb", F.floor(F.col("_us") / width).cast("long")))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import group_median
-from ..functions.time import US_PER_SEC, epoch_us, from_epoch_us, step_seconds
+from ..functions import time
+from ..functions.time import epoch_us, from_epoch_us
 from ..session import cut_lineage
 from .bucketing import DEFAULT_BUCKET, carry_forward, with_halo
 
@@ -58,7 +59,7 @@ def regularize(df: DataFrame, step: str | int, keys="sensor", ts: str = "ts",
     """
     keys = _keys(keys)
     values = list(values) if values is not None else [c for c in df.columns if c not in keys + [ts]]
-    step_us = step_seconds(step) * US_PER_SEC
+    step_us = time.step_us(step)
     x = df.select(*keys, epoch_us(ts).alias("_us"), *values)
     t0 = F.min("_us")
     if anchor == "epoch":
@@ -128,7 +129,7 @@ def resample(df: DataFrame, step: str | int, fn: str = "median", keys="sensor",
     (``count`` gives 0). Adds ``pos``."""
     keys = _keys(keys)
     out = out or value
-    step_us = step_seconds(step) * US_PER_SEC
+    step_us = time.step_us(step)
     res = _on_bin_grid(_bin_stats(df, keys, ts, value, step_us, {out: fn}), keys, ts, step_us)
     if fn == "count":
         res = res.withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long")))
@@ -153,7 +154,7 @@ def window_aggregate(df: DataFrame, every: str | int, fn: str = "stddev", keys="
         x = x.where(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
     if stop is not None:
         x = x.where(F.col(ts) < F.lit(stop).cast("timestamp_ntz"))
-    step_us = step_seconds(every) * US_PER_SEC
+    step_us = time.step_us(every)
     if create_empty:
         r = resample(x, every, fn, keys, ts, value, out)
     else:
@@ -208,7 +209,7 @@ def window_stats(df: DataFrame, every: str | int, fns=("mean", "median", "min",
     own): every window between a key's first and last one is returned (empty
     windows: NULL statistics, count 0); columns are named after the functions."""
     keys = _keys(keys)
-    step_us = step_seconds(every) * US_PER_SEC
+    step_us = time.step_us(every)
     res = _on_bin_grid(_bin_stats(df, keys, ts, value, step_us, {f: f for f in fns}), keys, ts, step_us)
     if "count" in fns:
         res = res.withColumn("count", F.coalesce(F.col("count"), F.lit(0).cast("long")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import grid
 from ..functions.quantiles import group_median
-from ..functions.time import US_PER_SEC, epoch_us, from_epoch_us, step_seconds
+from ..functions.time import US_PER_SEC, epoch_us, from_epoch_us
 
 
 # ---------------------------------------------------------------- item 24
@@ -229,7 +229,3 @@ def pad_truth(truth: DataFrame, horizon: DataFrame, n: int, label: str = "label"
 def period_index(df: DataFrame, label: str = "label") -> DataFrame:
     """Display floor: 0 -> 0.05, anything else kept."""
     return df.withColumn("display", F.when(F.col(label) == 0, F.lit(0.05)).otherwise(F.col(label).cast("double")))
-
-
-def step_us(step) -> int:
-    return step_seconds(step) * US_PER_SEC
