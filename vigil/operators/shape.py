@@ -142,8 +142,19 @@ def scenario(df: DataFrame, t0_col: str, ts: str = "ts", days: int = 7) -> DataF
 
 
 # ---------------------------------------------------------------- item 33
+def series_names(df: DataFrame, name_col: str = "sensor", most: int = 10_000) -> list:
+    """The names in ``df``, sorted, null left out: the columns of a wide table.
+    More than ``most`` (far beyond what a table has as columns) are an error,
+    so what reaches the driver is bounded and no series is dropped."""
+    names = [r[0] for r in df.where(F.col(name_col).isNotNull()).select(name_col).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} values of {name_col}: too many for columns")
+    return sorted(names)
+
+
 def to_wide(df: DataFrame, names, key: str = "ts", name_col: str = "sensor", value: str = "value") -> DataFrame:
-    """Long -> wide with an explicit column list (no distinct pass)."""
+    """Long -> wide with an explicit column list (no distinct pass); see
+    ``series_names`` for the list of all series in the data."""
     return df.groupBy(key).pivot(name_col, list(names)).agg(F.first(value))
 
 

@@ -12,6 +12,7 @@ from .registry import query
 from .sqlbits import binned_grid
 from .sqlbits2 import POINT_LABELS_SQL, series_folds_sql
 
+#: The sensors of the given tables, for the SQL; the query takes them from the data.
 SENSORS = ["click", "error", "purchase", "signup", "view"]
 DAY_US = 86400 * 10**6
 HALF_US = 43200 * 10**6
@@ -101,7 +102,8 @@ w AS (SELECT ts, {", ".join(f"round(max(CASE WHEN sensor = '{s}' THEN v END), 6)
       FROM g GROUP BY ts)
 SELECT w.*, l.label FROM w LEFT JOIN l ON w.ts = l.ts""")
 def q_pivot_scores(spark, d):
-    w = shape.to_wide(hourly(spark, d).withColumn("value", F.round("value", 6)), SENSORS)
+    names = shape.series_names(readings(spark, d))
+    w = shape.to_wide(hourly(spark, d).withColumn("value", F.round("value", 6)), names)
     return w.join(point_labels(spark, d), "ts", "left")
 
 
