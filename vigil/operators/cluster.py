@@ -3,8 +3,8 @@
 Series rows: ``(keys, chunk_id, vals ARRAY<DOUBLE>)``. All series groups
 (sensors) are clustered in one job. Centroids are a small table (k rows per
 key); each assignment step joins it to the series by key as one array row and
-picks the nearest centroid with array expressions (no shuffle of the
-series, no cross join). The update step is an aggregate per
+picks the nearest centroid with array expressions (the row is broadcast: a
+shuffle would put all series of a key into one task). The update step is an aggregate per
 (key, cluster, index). The driver loop only swaps the centroid table, which
 is checkpointed each iteration to keep lineage short.
 """
@@ -49,7 +49,7 @@ def seed_centroids(series: DataFrame, keys, k: int = 2, id_col: str = "chunk_id"
     cents = first
     for c in range(1, k):
         arr = cents.groupBy(*keys).agg(F.collect_list("vals").alias("_cs"))
-        x = series.join(arr, keys)
+        x = series.join(F.broadcast(arr), keys)
         x = x.withColumn("_d", F.array_min(F.transform("_cs", lambda cv: sq_dist(cv, F.col("vals")))))
         nxt = (x.groupBy(*keys)
                 .agg(F.max_by(F.col("vals"), F.struct(F.col("_d"), -F.col(id_col))).alias("vals"))
@@ -63,7 +63,7 @@ def assign(series: DataFrame, centroids: DataFrame, keys, dist_fn=None) -> DataF
     (ties: smaller cluster id)."""
     keys = _keys(keys)
     arr = centroids.groupBy(*keys).agg(F.collect_list(F.struct("cluster", F.col("vals").alias("cv"))).alias("_cs"))
-    x = series.join(arr, keys)
+    x = series.join(F.broadcast(arr), keys)
     dist = dist_fn or (lambda c: sq_dist(c["cv"], F.col("vals")))
     best = F.array_min(F.transform("_cs", lambda c: F.struct(dist(c).alias("d"), c["cluster"].alias("cl"))))
     return x.withColumn("_b", best).select(*[c for c in series.columns], F.col("_b.cl").alias("cluster"),
@@ -99,7 +99,7 @@ def canonical_labels(train: DataFrame, test: DataFrame, keys, label: str = "clus
     swap = cnt.select(*keys, (F.col("_n0") < F.col("_n1")).alias("swap"))
 
     def apply(df):
-        x = df.join(swap, keys, "left")
+        x = df.join(F.broadcast(swap), keys, "left")
         return x.withColumn(label, F.when(F.coalesce("swap", F.lit(False)), 1 - F.col(label))
                             .otherwise(F.col(label))).drop("swap")
     return apply(train), apply(test), swap
@@ -170,10 +170,9 @@ def dtw_align(vals: pd.Series, cent: pd.Series) -> pd.DataFrame:
 
 def _nearest_by(series: DataFrame, centroids: DataFrame, keys, found) -> DataFrame:
     """``series`` with cluster and dist of its key's nearest centroid.
-    The centroids are k arrays a key; the planner broadcasts them while their
-    measured size is small."""
+    The centroids are k arrays a key, broadcast."""
     arr = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cluster", "vals"))).alias("_cs"))
-    x = series.join(arr, keys).withColumn("_b", found)
+    x = series.join(F.broadcast(arr), keys).withColumn("_b", found)
     return x.select(*series.columns, F.element_at("_cs", F.col("_b.at") + 1)["cluster"].alias("cluster"), F.col("_b.dist").alias("dist"))
 
 
@@ -188,7 +187,7 @@ def dba_update(assigned: DataFrame, centroids: DataFrame, keys, inner_iter: int
     keys = _keys(keys)
     cents = centroids
     for _ in range(inner_iter):
-        x = assigned.join(cents.withColumnRenamed("vals", "_c"), [*keys, "cluster"])
+        x = assigned.join(F.broadcast(cents.withColumnRenamed("vals", "_c")), [*keys, "cluster"])
         x = x.withColumn("_al", dtw_align(F.col("vals"), F.col("_c")))
         e = x.select(*keys, "cluster", F.posexplode(F.arrays_zip("_al.s", "_al.n")).alias("idx", "p"))
         agg = e.groupBy(*keys, "cluster", "idx").agg(F.sum("p.s").alias("s"), F.sum("p.n").alias("n"))
@@ -262,7 +261,7 @@ def softdtw_update(assigned: DataFrame, centroids: DataFrame, keys, inner_iter:
     keys = _keys(keys)
     cents = centroids
     for _ in range(inner_iter):
-        x = assigned.join(cents.withColumnRenamed("vals", "_c"), [*keys, "cluster"])
+        x = assigned.join(F.broadcast(cents.withColumnRenamed("vals", "_c")), [*keys, "cluster"])
         x = x.withColumn("_g", softdtw_grad(F.col("vals"), F.col("_c"), F.col("gamma")))
         e = x.select(*keys, "cluster", F.posexplode("_g").alias("idx", "g"))
         g = e.groupBy(*keys, "cluster", "idx").agg(F.avg("g").alias("g"))
@@ -277,7 +276,7 @@ def softdtw_update(assigned: DataFrame, centroids: DataFrame, keys, inner_iter:
 
 def softdtw_kmeans(series: DataFrame, keys, k: int = 2, max_iter: int = 5, inner_iter: int = 5) -> DataFrame:
     keys = _keys(keys)
-    series = series.join(softdtw_gamma(series, keys), keys).persist(StorageLevel.MEMORY_AND_DISK)
+    series = series.join(F.broadcast(softdtw_gamma(series, keys)), keys).persist(StorageLevel.MEMORY_AND_DISK)
     cents = cut_lineage(seed_centroids(series, keys, k))
     for _ in range(max_iter):
         a = softdtw_assign(series, cents, keys).persist(StorageLevel.MEMORY_AND_DISK)

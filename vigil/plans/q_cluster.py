@@ -49,7 +49,7 @@ def q_nearest_series_dtw(spark, d):
 @query("nearest_series_softdtw")
 def q_nearest_series_softdtw(spark, d):
     s, cents = _seeded(spark, d)
-    s = s.join(cluster.softdtw_gamma(s, "sensor"), "sensor")
+    s = s.join(F.broadcast(cluster.softdtw_gamma(s, "sensor")), "sensor")
     return cluster.softdtw_assign(s, cents, "sensor").select("sensor", "chunk_id", "cluster", F.round("dist", 6).alias("dist"))
 
 
