@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.functions import blocks
-from vigil.operators import cluster, features
+from vigil.operators import classify, cluster, features, stats
 
 
 @pytest.fixture()
@@ -47,3 +47,16 @@ def test_blocks_have_a_partition_for_so_many_rows(spark, monkeypatch):
     got = blocks.blocks(df, ["x"], ["y"], ["id"])
     assert got.rdd.getNumPartitions() == 12
     assert sum(len(r.key) // 8 for r in got.collect()) == 1000
+
+
+def test_trials_of_a_forest_share_one_table(spark, monkeypatch):
+    df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+                                 ((F.col("id") % 20 > 9) != (F.col("id") % 7 > 3)).cast("int").alias("y")).repartition(3, "id").persist()
+    made, real = [], classify.assembled
+    monkeypatch.setattr(classify, "assembled", lambda *a: made.append(1) or real(*a))
+    found = classify.search(df, "forest", "y", {"y": 2}, ["a", "b"], ["id"], n_random=2, n_guided=1, fixed={"n_estimators": 3}, parallelism=2)
+    assert len(made) == 1
+    for t in found:  # each trial is worth what a fit of its own gives
+        pred = classify.fit_predict(df, df, "forest", {"y": 2}, ["a", "b"], ["id"], classify.model_params("forest", t["params"]) | {"n_estimators": 3})
+        assert pred.columns == [*df.columns, "pred_y"]
+        assert t["value"] == pytest.approx(float(stats.multiclass_metrics(pred, "y", "pred_y").first()["balanced_accuracy"]))
