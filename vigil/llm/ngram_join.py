@@ -6,17 +6,21 @@ similarity reaches ``percent``/100. Equal sets share one node, whose identity
 is a hash of the set, so copies cost one row per task and never become pairs.
 
 1. ``sets``: per document its node and set size.
-2. ``frequencies``: exact document counts of all shingles. Each task packs its
-   distinct shingles as sorted, delta-coded 48-bit numbers per hash range (4
-   bytes each); one group per range adds up the counts. Shingles that occur
-   once are not kept.
+2. ``frequencies``: document counts of all shingles. Each task packs its
+   distinct shingles as sorted, delta-coded and compressed numbers per hash
+   range (their upper bits, 64 times as many values as there are shingles: 2 to
+   3 bytes each); one group per range adds up the counts. Only those above
+   ``EQUAL`` are kept.
 3. Rare first: shingles are ordered by count (those of at most ``tau`` count as
-   equally rare), then by hash. ``tau`` is the least power of two with which
+   equally rare), then by hash. ``tau`` is the least such power of two with which
    the table of frequent shingles stays within ``HEAVY_ROWS``. Any fixed order
    gives the same links; the order only decides how many candidates there are.
 4. Prefix filter: similar sets share a shingle among their first
-   size - ceil(t * size) + 1. Prefix rows (shingle, node, size, position) meet
-   on shingles that occur more than once.
+   size - ceil(t * size) + 1. ``shared_bits`` counts the prefixes' shingles in
+   the same packed form and marks those that occur more than once in a bitmap
+   of at most 2^``MAX_BITS`` bits, so that most prefix rows (shingle, node,
+   size, position) that meet nothing are never written. A bit that several
+   shingles have in common only lets a row through.
 5. Candidates pass a length filter and a positional filter at the first shingle
    they share (those left after it bound the overlap), and, once per pair, a
    suffix filter: the Hamming distance of two parity signatures (2 bits or more
@@ -48,14 +52,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import broadcast_if_small, documents, drop_table, text_digest, without, write_table
+from .common import broadcast_if_small, documents, drop_table, settings, text_digest, without, write_table
 from .components import components
 
 N = 5
 PERCENT = 75
 RANGE_TOKENS = 2_000_000  # shingles that one range gathers, on average
 HEAVY_ROWS = 1_000_000
-SHIFT = 16                # counts are kept by the upper 48 bits
+EQUAL = 16                # counts up to this one are equally rare
+MAX_BITS = 29             # logarithm of the bits of the shared shingles (64 MB)
 CROWDED = 4               # pairs a row from which further turns pay
 FOLD = 8                  # 64-bit numbers of a folded signature
 
@@ -140,58 +145,81 @@ def sets(docs: DataFrame, n: int = N, digest: Column | None = None) -> DataFrame
         scan, "doc_id long, digest binary, node long, size int, sign binary, fold array<long>")
 
 
+def token_bits(total: int) -> int:
+    """Upper bits by which ``total`` shingles are counted; two share a number
+    by chance with a probability of at most 1/64 (up to 2^40 shingles)."""
+    return min(46, max(16, total.bit_length() + 6))
+
+
 def pack(tokens: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted numbers as 32-bit differences (escapes as 64-bit), and counts."""
+    """Sorted numbers as 32-bit differences (escapes as 64-bit), and counts,
+    both byte by byte, compressed."""
     gap = np.diff(tokens, prepend=np.uint64(0))
     wide = gap >= np.uint64(0xFFFFFFFF)
     head = np.array([len(tokens), wide.sum()], np.int64)
-    return b"".join((head.tobytes(), np.where(wide, np.uint64(0xFFFFFFFF), gap).astype(np.uint32).tobytes(),
-                     gap[wide].tobytes(), counts.astype(np.uint16).tobytes()))
+    planes = lambda x: x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    body = b"".join((planes(np.where(wide, np.uint64(0xFFFFFFFF), gap).astype(np.uint32)), planes(counts.astype(np.uint16)), gap[wide].tobytes()))
+    return head.tobytes() + pa.Codec("zstd", 1).compress(body, asbytes=True)
 
 
 def unpack(blob: bytes):
-    n, w = np.frombuffer(blob, np.int64, 2)
-    gap = np.frombuffer(blob, np.uint32, n, 16).astype(np.uint64)
-    gap[gap == np.uint64(0xFFFFFFFF)] = np.frombuffer(blob, np.uint64, w, 16 + 4 * n)
-    return np.cumsum(gap, dtype=np.uint64), np.frombuffer(blob, np.uint16, n, 16 + 4 * n + 8 * w)
-
+    n, w = (int(v) for v in np.frombuffer(blob, np.int64, 2))
+    body = pa.Codec("zstd", 1).decompress(blob[16:], 6 * n + 8 * w, asbytes=True)
+    whole = lambda kind, at: np.frombuffer(body, np.uint8, n * kind().itemsize, at).reshape(kind().itemsize, n).T.copy().view(kind).ravel()
+    gap = whole(np.uint32, 0).astype(np.uint64)
+    gap[gap == np.uint64(0xFFFFFFFF)] = np.frombuffer(body, np.uint64, w, 6 * n)
+    return np.cumsum(gap, dtype=np.uint64), whole(np.uint16, 4 * n)
+
+
+def packed(val: np.ndarray, bits: int, ranges: int) -> pa.RecordBatch:
+    """(part, blob): the numbers of the shingles and their counts, by range."""
+    t, c = np.unique(val >> np.uint64(64 - bits), return_counts=True)
+    cut = np.searchsorted((t * np.uint64(ranges)) >> np.uint64(bits), np.arange(ranges + 1, dtype=np.uint64))
+    c = np.minimum(c, 0xFFFF)
+    full = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full.astype(np.int32)), pa.array([pack(t[cut[i]:cut[i + 1]], c[cut[i]:cut[i + 1]]) for i in full], pa.binary())], names=["part", "blob"])
+
+
+def added(table: pa.Table):
+    """The distinct numbers of a range and the sums of their counts."""
+    parts = [unpack(x.as_py()) for x in table.column("blob")]
+    t = np.concatenate([p[0] for p in parts])
+    c = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    order = np.argsort(t, kind="stable")
+    t, c = t[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    return t[at], np.add.reduceat(c, at)
+
+
+def one_of_each(ids: np.ndarray) -> np.ndarray:
+    """Marks the first of equal sets of a chunk."""
+    one = np.zeros(len(ids), bool)
+    one[np.unique(ids, return_index=True)[1]] = True
+    return one
+
+
+def frequencies(docs: DataFrame, total: int, n: int = N) -> DataFrame:
+    """(token, count) of the shingles (their upper ``token_bits``) that occur
+    more than ``EQUAL`` times; ``total``: how many there are in all sets."""
+    bits, ranges = token_bits(total), total // RANGE_TOKENS + 1
 
-def frequencies(docs: DataFrame, ranges: int, n: int = N) -> DataFrame:
-    """(token, count) of the shingles (their upper 48 bits) in several rows."""
     def scan(batches):
         for b in batches:
             for _, val, first in doc_sets(b, n):
-                # equal sets of a chunk count once
-                ids = node_ids(val, first)
-                one = np.zeros(len(ids), bool)
-                one[np.unique(ids, return_index=True)[1]] = True
-                t, c = np.unique(val[np.repeat(one, np.diff(first))] >> np.uint64(SHIFT), return_counts=True)
-                part = (t * np.uint64(ranges)) >> np.uint64(64 - SHIFT)
-                cut = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-                c = np.minimum(c, 0xFFFF)
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int32)), pa.array([pack(t[cut[i]:cut[i + 1]], c[cut[i]:cut[i + 1]]) for i in full], pa.binary())],
-                    names=["part", "blob"])
+                yield packed(val[np.repeat(one_of_each(node_ids(val, first)), np.diff(first))], bits, ranges)
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in table.column("blob")]
-        t = np.concatenate([p[0] for p in parts])
-        c = np.concatenate([p[1] for p in parts]).astype(np.int64)
-        order = np.argsort(t, kind="stable")
-        t, c = t[order], c[order]
-        at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        total = np.add.reduceat(c, at)
-        keep = total > 1
-        return pa.table({"token": pa.array(t[at][keep].view(np.int64)), "count": pa.array(total[keep])})
+        t, c = added(table)
+        return pa.table({"token": pa.array(t[c > EQUAL].view(np.int64)), "count": pa.array(c[c > EQUAL])})
 
-    packed = docs.select(F.lit(0).alias("doc_id"), "text").mapInArrow(scan, "part int, blob binary")
-    return packed.groupBy("part").applyInArrow(add, "token long, count long")
+    return (docs.select(F.lit(0).alias("doc_id"), "text").mapInArrow(scan, "part int, blob binary")
+            .groupBy("part").applyInArrow(add, "token long, count long"))
 
 
 def heavy_table(freq: DataFrame, limit: int = HEAVY_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles and their counts: at most ``limit`` of them."""
-    tau = 16
+    tau = EQUAL
     by = {int(r[0]): int(r[1]) for r in freq.where(f"count > {tau}").groupBy(F.floor(F.log2(F.col("count") - 1))).count().collect()}
     while sum(v for k, v in by.items() if 2 ** k >= tau) > limit:
         tau *= 2
@@ -199,32 +227,73 @@ def heavy_table(freq: DataFrame, limit: int = HEAVY_ROWS) -> tuple[np.ndarray, n
     return rows["token"].to_numpy(np.int64).astype(np.uint64), rows["count"].to_numpy(np.int64)
 
 
-def prefixes(docs: DataFrame, heavy, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """(token, node, size, pos) of each set's first shingles, rare ones first."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+def doc_prefixes(batch, heavy, bits: int, percent: int, n: int):
+    """(shingle, node, size, position) arrays of the first shingles, rare ones
+    first, of each different set of a chunk."""
+    keys, counts = heavy
+    for _, val, first in doc_sets(batch, n):
+        ids, size = node_ids(val, first), np.diff(first)
+        one = one_of_each(ids) & (size > 0)
+        doc = np.repeat(np.arange(len(ids)), size)
+        rank = np.zeros(len(val), np.int64)
+        if len(keys):
+            short = val >> np.uint64(64 - bits)
+            at = np.searchsorted(keys, short)
+            at[at == len(keys)] = 0
+            rank = np.where(keys[at] == short, counts[at], 0)
+        order = np.lexsort((val, rank, doc))
+        pos = np.arange(len(val)) - first[doc]
+        keep = one[doc] & (pos < prefix_len(size, percent)[doc])
+        d = doc[keep]
+        yield val[order][keep], ids[d], size[d].astype(np.int32), pos[keep].astype(np.int32)
+
+
+def slots(tokens: np.ndarray, own: int, bits: int) -> np.ndarray:
+    """Places in the bitmap of numbers of ``own`` bits."""
+    return (tokens >> np.uint64(own - bits)).astype(np.int64)
+
+
+def shared_bits(docs: DataFrame, heavy, total: int, percent: int = PERCENT, n: int = N) -> tuple[np.ndarray, int]:
+    """A bitmap of the prefixes' shingles that occur more than once, and the
+    logarithm of its length. ``heavy``: broadcast frequent shingles."""
+    own, ranges = token_bits(total), total // RANGE_TOKENS + 1
+    bits = min(MAX_BITS, max(10, total.bit_length()))
 
     def scan(batches):
-        keys, counts = shared.value
         for b in batches:
-            for _, val, first in doc_sets(b, n):
-                ids, size = node_ids(val, first), np.diff(first)
-                one = np.zeros(len(ids), bool)
-                one[np.unique(ids, return_index=True)[1]] = True
-                one &= size > 0
-                doc = np.repeat(np.arange(len(ids)), size)
-                rank = np.zeros(len(val), np.int64)
-                if len(keys):
-                    short = val >> np.uint64(SHIFT)
-                    at = np.searchsorted(keys, short)
-                    at[at == len(keys)] = 0
-                    rank = np.where(keys[at] == short, counts[at], 0)
-                order = np.lexsort((val, rank, doc))
-                pos = np.arange(len(val)) - first[doc]
-                keep = one[doc] & (pos < prefix_len(size, percent)[doc])
-                v, d = val[order][keep], doc[keep]
+            for val, *_ in doc_prefixes(b, heavy.value, own, percent, n):
+                yield packed(val, own, ranges)
+
+    def mark(table: pa.Table) -> pa.Table:
+        t, c = added(table)
+        at = slots(t[c > 1], own, bits)
+        if not len(at):
+            return pa.table({"start": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
+        start = int(at[0]) // 8
+        on = np.zeros(int(at[-1]) + 1 - 8 * start, np.uint8)
+        on[at - 8 * start] = 1
+        return pa.table({"start": pa.array([start]), "marks": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    found = docs.select(F.lit(0).alias("doc_id"), "text").mapInArrow(scan, "part int, blob binary").groupBy("part").applyInArrow(mark, "start long, marks binary")
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in found.collect():
+        out[r["start"]:r["start"] + len(r["marks"])] |= np.frombuffer(r["marks"], np.uint8)
+    return out, bits
+
+
+def prefixes(docs: DataFrame, heavy, shared, total: int, percent: int = PERCENT, n: int = N) -> DataFrame:
+    """(token, node, size, pos) of each set's first shingles that may occur in
+    another one's. ``heavy`` and ``shared``: broadcast results of the counts."""
+    own = token_bits(total)
+
+    def scan(batches):
+        marks, bits = shared.value
+        for b in batches:
+            for v, node, size, pos in doc_prefixes(b, heavy.value, own, percent, n):
+                at = slots(v, 64, bits)
+                met = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v.view(np.int64)), pa.array(ids[d]), pa.array(size[d].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
-                    names=["token", "node", "size", "pos"])
+                    [pa.array(v[met].view(np.int64)), pa.array(node[met]), pa.array(size[met]), pa.array(pos[met])], names=["token", "node", "size", "pos"])
     return docs.select(F.lit(0).alias("doc_id"), "text").mapInArrow(scan, "token long, node long, size int, pos int")
 
 
@@ -291,26 +360,29 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, n:
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """Verified links (a, b) between nodes; with those between equal sets they
     connect exactly the documents that all links connect."""
-    total = nodes.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
-    freq = write_table(frequencies(docs, int(total // RANGE_TOKENS) + 1, n), "frequencies")
-    rows = prefixes(docs, heavy_table(freq), percent, n)
-    often = freq.select(F.col("token").alias("t"))
-    rows = rows.join(often, F.shiftrightunsigned(rows["token"], SHIFT) == often["t"], "left_semi").distinct()
-    rows = write_table(rows, "prefixes")
+    total = int(nodes.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0)
+    send = docs.sparkSession.sparkContext.broadcast
+    freq = write_table(frequencies(docs, total, n), "frequencies")
+    heavy = send(heavy_table(freq))
     drop_table(freq)
-
-    lead = rows.groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("most")).where("node < most").select("token", "node")
-    lead = rows.join(lead, ["token", "node"], "left_semi")
+    shared = send(shared_bits(docs, heavy, total, percent, n))
+    rows = write_table(prefixes(docs, heavy, shared, total, percent, n).distinct(), "prefixes")
+    heavy.unpersist()
+    shared.unpersist()
+
+    # dealt by shingle once, for the least nodes and the rows they meet
+    dealt, least = rows.repartition("token"), F.min(F.struct("node", "size", "pos"))
+    lead = dealt.groupBy("token").agg(least.alias("a"), F.max("node").alias("most")).where("a.node < most").select("token", "a.*")
     pair = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
-    first = lead.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _fits(percent))
+    first = lead.alias("a").join(dealt.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _fits(percent))
     first = write_table(first.select(*pair).distinct(), "first-pairs")
     linked = verify(docs, first, nodes, percent, n)
 
     found, tried, turn = linked, first, 0
     root = components(found)
-    held, rows = rows, rows.join(nodes.select("node", "fold"), "node")
+    held = rows
     while True:
-        rows = _open_rows(rows, root)
+        rows = _open_rows(rows, root, nodes)
         drop_table(held)
         held = rows
         if not _crowded(rows, found):
@@ -334,11 +406,13 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N)
     return out
 
 
-def _open_rows(rows: DataFrame, root: DataFrame) -> DataFrame:
-    """Prefix rows, with their component, of the shingles that hold several."""
-    rows = rows.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _open_rows(rows: DataFrame, root: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Prefix rows, with their component and folded signature, of the shingles
+    that hold several components."""
+    root = broadcast_if_small(root, 16)
+    rows = rows.select("token", "node", "size", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("token")
     many = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    return write_table(rows.join(many, "token", "left_semi"), "open")
+    return write_table(rows.join(many, "token", "left_semi").join(nodes.select("node", "fold"), "node"), "open")
 
 
 def _crowded(rows: DataFrame, found: DataFrame) -> bool:
@@ -354,12 +428,14 @@ def placed(docs: DataFrame, percent: int = PERCENT, n: int = N, digest: Column |
     """Per row of ``docs``: doc_id, digest, size, and of its component the
     smallest doc_id (component_id) and the row that comes first by doc_id
     (null last), then digest; both null for an empty set."""
-    index = write_table(sets(docs, n, digest), "sets")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    nodes = index.where("size > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.min(place).alias("row"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "sign", "fold")))
-    nodes = write_table(nodes, "nodes")
-    root = components(links(docs, nodes, percent, n))
+    # every step below is written once: its shuffle files go when it is done
+    with settings(docs.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        index = write_table(sets(docs, n, digest), "sets")
+        nodes = index.where("size > 0").groupBy("node").agg(
+            F.min("doc_id").alias("doc_id"), F.min(place).alias("row"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("size", "sign", "fold")))
+        nodes = write_table(nodes, "nodes")
+        root = write_table(components(links(docs, nodes, percent, n)), "roots")
     nodes = nodes.select("node", "row").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = nodes.groupBy("root").agg(F.min("row").alias("row"))
     nodes = nodes.drop("row").join(firsts, "root").select("node", F.col("row.doc_id").alias("component_id"), F.col("row.digest").alias("first_digest"))
