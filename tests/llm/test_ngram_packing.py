@@ -42,3 +42,36 @@ def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(nj, "MAX_BITS", 4)  # every shingle shares its bit
     assert sorted(map(tuple, nj.ngram_components(d).collect())) == want
     assert sum(r[0] != r[2] for r in want) == 4 and spark.conf.get(key) == before
+
+
+def test_many_chunks_are_packed_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    vals = [np.unique(rng.integers(0, (1 << 64) - 1, 3000, dtype=np.uint64)) for _ in range(12)]
+    total, bits = sum(map(len, vals)), nj.count_bits(36000 << 4)
+
+    def both(together):
+        monkeypatch.setattr(nj, "PACKED", together)
+        found = pa.Table.from_batches(list(nj.packs(iter(vals), bits, 3)))
+        counts = {}
+        for part in range(3):
+            t, c = nj.added(found.filter(pa.array([p == part for p in found["part"].to_pylist()])))
+            counts |= dict(zip(t.tolist(), c.tolist()))
+        return counts, sum(len(b) for b in found["blob"].to_pylist())
+    (apart, more), (one, less) = both(1), both(1 << 21)
+    assert one == apart and sum(one.values()) == total and less < 0.9 * more
+
+
+def test_prefix_rows_are_dealt_once(spark):
+    rows = [(t, n, 20 + n % 7, (t + n) % 9) for t in range(40) for n in {(t * k) % 23 for k in range(t % 5 + 1)}]
+    d = spark.createDataFrame(rows + rows[::3], "token long, node long, size int, pos int")
+    got = nj.met(d, 75)
+    want = set()
+    for t, n, s, p in rows:
+        own = [r for r in rows if r[0] == t]
+        _, a, x, y = min(own, key=lambda r: r[1])
+        fits = a < n and 100 * min(s, x) >= 75 * max(s, x) and 175 * min(s - p, x - y) >= 75 * (s + x)
+        if len(own) > 1:
+            want.add((t, n, s, p, a if fits else None))
+    found = [tuple(r) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want) and {r[4] is None for r in want} == {True, False}
+    assert nj.met(d, 75)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -7,20 +7,23 @@ is a hash of the set, so copies cost one row per task and never become pairs.
 
 1. ``sets``: per document its node and set size.
 2. ``frequencies``: document counts of all shingles. Each task packs its
-   distinct shingles as sorted, delta-coded and compressed numbers per hash
-   range (their upper bits, 64 times as many values as there are shingles: 2 to
-   3 bytes each); one group per range adds up the counts. Only those above
-   ``EQUAL`` are kept.
+   distinct shingles, ``PACKED`` at a time, as sorted, delta-coded and
+   compressed numbers per hash range (their upper bits, 4 times as many values
+   as there are shingles: 1 to 2 bytes each); one group per range adds up the
+   counts. Only those above ``EQUAL`` are kept.
 3. Rare first: shingles are ordered by count (those of at most ``tau`` count as
    equally rare), then by hash. ``tau`` is the least such power of two with which
    the table of frequent shingles stays within ``HEAVY_ROWS``. Any fixed order
    gives the same links; the order only decides how many candidates there are.
 4. Prefix filter: similar sets share a shingle among their first
    size - ceil(t * size) + 1. ``shared_bits`` counts the prefixes' shingles in
-   the same packed form and marks those that occur more than once in a bitmap
-   of at most 2^``MAX_BITS`` bits, so that most prefix rows (shingle, node,
-   size, position) that meet nothing are never written. A bit that several
-   shingles have in common only lets a row through.
+   the same packed form (64 times as many values) and marks those that occur
+   more than once in a bitmap of at most 2^``MAX_BITS`` bits, so that most
+   prefix rows (shingle, node, size, position) that meet nothing are never
+   written. A bit that several shingles have in common only lets a row through.
+   ``met`` deals the rows by shingle once, drops repeated ones, and leaves those
+   whose shingle several nodes have, each with the pair it makes with the least
+   node of its shingle.
 5. Candidates pass a length filter and a positional filter at the first shingle
    they share (those left after it bound the overlap), and, once per pair, a
    suffix filter: the Hamming distance of two parity signatures (2 bits or more
@@ -48,16 +51,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import broadcast_if_small, documents, drop_table, settings, text_digest, without, write_table
+from .common import BROADCAST_BYTES, broadcast_if_small, documents, drop_table, settings, text_digest, without, write_table
 from .components import components
 
 N = 5
 PERCENT = 75
 RANGE_TOKENS = 2_000_000  # shingles that one range gathers, on average
+PACKED = 1 << 21          # shingles that a task packs together
 HEAVY_ROWS = 1_000_000
 EQUAL = 16                # counts up to this one are equally rare
 MAX_BITS = 29             # logarithm of the bits of the shared shingles (64 MB)
@@ -146,11 +150,18 @@ def sets(docs: DataFrame, n: int = N, digest: Column | None = None) -> DataFrame
 
 
 def token_bits(total: int) -> int:
-    """Upper bits by which ``total`` shingles are counted; two share a number
-    by chance with a probability of at most 1/64 (up to 2^40 shingles)."""
+    """Upper bits by which the prefixes of ``total`` shingles are counted; two share
+    a number by chance with a probability of at most 1/64 (up to 2^40 shingles)."""
     return min(46, max(16, total.bit_length() + 6))
 
 
+def count_bits(total: int) -> int:
+    """Upper bits by which ``total`` shingles are counted for their order. A
+    number that several share has their counts together, which may only change
+    the order (of all their occurrences alike)."""
+    return min(46, max(16, total.bit_length() + 2))
+
+
 def pack(tokens: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted numbers as 32-bit differences (escapes as 64-bit), and counts,
     both byte by byte, compressed."""
@@ -181,6 +192,20 @@ def packed(val: np.ndarray, bits: int, ranges: int) -> pa.RecordBatch:
         [pa.array(full.astype(np.int32)), pa.array([pack(t[cut[i]:cut[i + 1]], c[cut[i]:cut[i + 1]]) for i in full], pa.binary())], names=["part", "blob"])
 
 
+def packs(vals, bits: int, ranges: int):
+    """``packed`` batches of the shingles of many chunks, ``PACKED`` or more at
+    a time: the more lie in one batch, the smaller their differences."""
+    held, size = [], 0
+    for val in vals:
+        held.append(val)
+        size += len(val)
+        if size >= PACKED:
+            yield packed(np.concatenate(held), bits, ranges)
+            held, size = [], 0
+    if size:
+        yield packed(np.concatenate(held), bits, ranges)
+
+
 def added(table: pa.Table):
     """The distinct numbers of a range and the sums of their counts."""
     parts = [unpack(x.as_py()) for x in table.column("blob")]
@@ -200,14 +225,13 @@ def one_of_each(ids: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, total: int, n: int = N) -> DataFrame:
-    """(token, count) of the shingles (their upper ``token_bits``) that occur
+    """(token, count) of the shingles (their upper ``count_bits``) that occur
     more than ``EQUAL`` times; ``total``: how many there are in all sets."""
-    bits, ranges = token_bits(total), total // RANGE_TOKENS + 1
+    bits, ranges = count_bits(total), total // RANGE_TOKENS + 1
 
     def scan(batches):
-        for b in batches:
-            for _, val, first in doc_sets(b, n):
-                yield packed(val[np.repeat(one_of_each(node_ids(val, first)), np.diff(first))], bits, ranges)
+        chunks = (c for b in batches for c in doc_sets(b, n))
+        yield from packs((val[np.repeat(one_of_each(node_ids(val, first)), np.diff(first))] for _, val, first in chunks), bits, ranges)
 
     def add(table: pa.Table) -> pa.Table:
         t, c = added(table)
@@ -256,13 +280,11 @@ def slots(tokens: np.ndarray, own: int, bits: int) -> np.ndarray:
 def shared_bits(docs: DataFrame, heavy, total: int, percent: int = PERCENT, n: int = N) -> tuple[np.ndarray, int]:
     """A bitmap of the prefixes' shingles that occur more than once, and the
     logarithm of its length. ``heavy``: broadcast frequent shingles."""
-    own, ranges = token_bits(total), total // RANGE_TOKENS + 1
+    own, order, ranges = token_bits(total), count_bits(total), total // RANGE_TOKENS + 1
     bits = min(MAX_BITS, max(10, total.bit_length()))
 
     def scan(batches):
-        for b in batches:
-            for val, *_ in doc_prefixes(b, heavy.value, own, percent, n):
-                yield packed(val, own, ranges)
+        yield from packs((val for b in batches for val, *_ in doc_prefixes(b, heavy.value, order, percent, n)), own, ranges)
 
     def mark(table: pa.Table) -> pa.Table:
         t, c = added(table)
@@ -284,12 +306,12 @@ def shared_bits(docs: DataFrame, heavy, total: int, percent: int = PERCENT, n: i
 def prefixes(docs: DataFrame, heavy, shared, total: int, percent: int = PERCENT, n: int = N) -> DataFrame:
     """(token, node, size, pos) of each set's first shingles that may occur in
     another one's. ``heavy`` and ``shared``: broadcast results of the counts."""
-    own = token_bits(total)
+    order = count_bits(total)
 
     def scan(batches):
         marks, bits = shared.value
         for b in batches:
-            for v, node, size, pos in doc_prefixes(b, heavy.value, own, percent, n):
+            for v, node, size, pos in doc_prefixes(b, heavy.value, order, percent, n):
                 at = slots(v, 64, bits)
                 met = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 yield pa.RecordBatch.from_arrays(
@@ -313,6 +335,26 @@ def _near(percent: int):
     return (100 + percent) * apart <= (100 - percent) * (F.col("a.size") + F.col("b.size"))
 
 
+def _over(value: Column) -> Column:
+    """``value`` over all rows of a shingle."""
+    return value.over(Window.partitionBy("token"))
+
+
+def met(rows: DataFrame, percent: int) -> DataFrame:
+    """The different prefix rows whose shingle several nodes have, with the least
+    node of the shingle (``least``) where the two may link and null elsewhere."""
+    row = F.struct("node", "size", "pos")
+    # dealt by shingle once, for the distinct rows, the least nodes and those they meet
+    rows = rows.repartition("token").distinct().select(
+        "token", row.alias("b"), _over(F.min(row)).alias("a"), _over(F.max("node")).alias("most")).where("a.node < most")
+    return rows.select("token", "b.*", F.when((F.col("a.node") < F.col("b.node")) & _fits(percent), F.col("a.node")).alias("least"))
+
+
+def if_few(nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """Only the nodes of ``some`` where these can be broadcast, else all."""
+    return nodes.join(F.broadcast(some), "node", "left_semi") if some.count() * 16 <= BROADCAST_BYTES else nodes
+
+
 def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, n: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link."""
     def scan(batches):
@@ -339,16 +381,17 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, percent: int, n:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda rows, end, *cols: rows.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in cols))
+    both_ends = lambda rows: rows.select(F.col("a").alias("node")).unionByName(rows.select(F.col("b").alias("node"))).distinct()
+    nodes = if_few(nodes, both_ends(pairs))
     near = (pairs.join(of(nodes, "b", "size", "sign"), "b").join(of(nodes, "a", "size", "sign"), "a")
             .select("a", "b", "a_size", "b_size", "a_sign", "b_sign").mapInArrow(suffix, "a long, b long"))
     near = write_table(near, "near-pairs")
     # one document of each node that is left supplies its text
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = write_table(nodes.select("node", "doc_id").join(ends, "node", "left_semi"), "wanted")
+    wanted = write_table(nodes.select("node", "doc_id").join(broadcast_if_small(both_ends(near), 16), "node", "left_semi"), "wanted")
     ids = broadcast_if_small(wanted.select(F.col("doc_id").alias("_id")).distinct(), 16)
     texts = docs.select("doc_id", "text")
     texts = texts.join(ids, texts["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    found = texts.mapInArrow(scan, "node long, shingles binary").join(wanted, "node", "left_semi")
+    found = texts.mapInArrow(scan, "node long, shingles binary").join(broadcast_if_small(wanted.select("node"), 16), "node", "left_semi")
     found = write_table(found.dropDuplicates(["node"]), "shingles")
     both = near.join(of(found, "b", "shingles"), "b").join(of(found, "a", "shingles"), "a").select("a", "b", "a_shingles", "b_shingles")
     out = write_table(both.mapInArrow(overlap, "a long, b long"), "links")
@@ -366,16 +409,12 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N)
     heavy = send(heavy_table(freq))
     drop_table(freq)
     shared = send(shared_bits(docs, heavy, total, percent, n))
-    rows = write_table(prefixes(docs, heavy, shared, total, percent, n).distinct(), "prefixes")
+    rows = write_table(met(prefixes(docs, heavy, shared, total, percent, n), percent), "prefixes")
     heavy.unpersist()
     shared.unpersist()
 
-    # dealt by shingle once, for the least nodes and the rows they meet
-    dealt, least = rows.repartition("token"), F.min(F.struct("node", "size", "pos"))
-    lead = dealt.groupBy("token").agg(least.alias("a"), F.max("node").alias("most")).where("a.node < most").select("token", "a.*")
     pair = [F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")]
-    first = lead.alias("a").join(dealt.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & _fits(percent))
-    first = write_table(first.select(*pair).distinct(), "first-pairs")
+    first = write_table(rows.where("least IS NOT NULL").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "first-pairs")
     linked = verify(docs, first, nodes, percent, n)
 
     found, tried, turn = linked, first, 0
@@ -389,10 +428,9 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, n: int = N)
             break
         # every node meets one node of each shingle, another one each turn
         turn += 1
-        order = F.struct(F.xxhash64("node", "token", F.lit(turn)), "node")
-        lead = rows.join(rows.groupBy("token").agg(F.min(order)["node"].alias("node")), ["token", "node"], "left_semi")
-        pairs = lead.alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root"))
-                                     & _fits(percent) & _near(percent))
+        row = ["node", "root", "size", "pos", "fold"]
+        lead = _over(F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("order"), *row)))
+        pairs = rows.select(lead.alias("a"), F.struct(*row).alias("b")).where((F.col("a.root") != F.col("b.root")) & _fits(percent) & _near(percent))
         pairs = write_table(pairs.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "turn-pairs")
         found = verify(docs, pairs, nodes, percent, n)
         linked, tried = linked.unionByName(found), tried.unionByName(pairs)
@@ -410,16 +448,16 @@ def _open_rows(rows: DataFrame, root: DataFrame, nodes: DataFrame) -> DataFrame:
     """Prefix rows, with their component and folded signature, of the shingles
     that hold several components."""
     root = broadcast_if_small(root, 16)
-    rows = rows.select("token", "node", "size", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("token")
-    many = rows.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    return write_table(rows.join(many, "token", "left_semi").join(nodes.select("node", "fold"), "node"), "open")
+    rows = rows.select("token", "node", "size", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    many = rows.withColumn("lo", _over(F.min("root"))).withColumn("hi", _over(F.max("root"))).where("lo <> hi").drop("lo", "hi")
+    return write_table(many.join(nodes.select("node", "fold"), "node"), "open")
 
 
 def _crowded(rows: DataFrame, found: DataFrame) -> bool:
     """Whether another turn of one meeting a row pays: the pairs across
     components outnumber the rows by far, and the last step found links for
     more than a thousandth of the rows. It decides the cost, not the result."""
-    per = rows.groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("same"))
+    per = rows.select("token", "root").repartition("token").groupBy("token", "root").count().groupBy("token").agg(F.sum("count").alias("n"), F.sum(F.expr("double(count) * count")).alias("same"))
     n, pairs = per.agg(F.sum("n"), F.sum(F.expr("(double(n) * n - same) / 2"))).first()
     return n is not None and pairs > CROWDED * n and 1000 * found.count() > n
 
