@@ -60,3 +60,14 @@ def test_trials_of_a_forest_share_one_table(spark, monkeypatch):
         pred = classify.fit_predict(df, df, "forest", {"y": 2}, ["a", "b"], ["id"], classify.model_params("forest", t["params"]) | {"n_estimators": 3})
         assert pred.columns == [*df.columns, "pred_y"]
         assert t["value"] == pytest.approx(float(stats.multiclass_metrics(pred, "y", "pred_y").first()["balanced_accuracy"]))
+
+
+def test_a_kept_partition_holds_about_as_many_rows_as_a_block_partition(spark, monkeypatch):
+    """Files of densely packed rows make few partitions of many rows each."""
+    d = spark.createDataFrame([(i, None if i % 3 else i % 7) for i in range(5000)] * 2, "k long, v int").coalesce(1)
+    assert blocks.bounded(d).rdd.getNumPartitions() == 1  # few rows stay as they are
+    monkeypatch.setattr(blocks, "PART_ROWS", 500)
+    got = blocks.bounded(d)
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 800
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, d.collect()), key=str)
